@@ -115,3 +115,20 @@ def default_tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new path below the shared checkpoint folder. Nothing is created."""
+    from uuid import uuid4
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def remove_folder(spark, path: str) -> None:
+    """Delete ``path`` through Hadoop's file systems, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
