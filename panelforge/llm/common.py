@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from array import array
+from unicodedata import is_normalized
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,46 +50,50 @@ class WordTokenizer:
     """
 
     #: Chunks kept at once; the cache is emptied when it is full.
-    CACHE = 300_000
-    MARK = "<|endoftext|>"
+    CACHE = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.mark = self.encoder.token_to_id(self.MARK)
         self.cache: dict[str, bytes] = {"": b""}
-        self.stop = {p: self._plain(p) for p in ".,"}
-
-    def _plain(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Encode all new chunks in one call, told apart by a special token between them."""
-        import numpy as np
-
-        cores: dict[str, str] = {}
+        self.stop = {p: self._pack(self.encoder.encode(p, add_special_tokens=False).ids) for p in ".,"}
+        # byte-level models spell bytes as printable characters: those that are printable stand for themselves
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in shown]
+        self.spelling = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _letters(self, core: str) -> str | None:
+        """A run of Latin letters as the model spells it; None for what needs the whole encoder."""
+        if core.isascii():
+            return core.lower() if core.isalpha() else None
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core):
+            return "".join(map(self.spelling.__getitem__, core.lower().encode()))
+        return None
+
+    def _learn(self, chunks: list[str]) -> None:
+        cache, model, odd = self.cache, self.encoder.model, []
         for chunk in chunks:
             # a letter and one closing mark are separate pre-tokens, so the mark's ids can be added afterwards
-            core = chunk[:-1] if chunk[-1] in ".," and len(chunk) > 1 and chunk[-2].isalpha() else chunk
-            cores[chunk] = core.lower() if core.isascii() and "<|" not in core else core
-        new = [c for c in dict.fromkeys(cores.values()) if c not in self.cache]
-        odd = [c for c in new if self.mark is None or "<|" in c]
-        even = [c for c in new if not (self.mark is None or "<|" in c)]
-        for c in odd:
-            self.cache[c] = self._plain(c)
-        for at in range(0, len(even), 20_000):
-            part = even[at : at + 20_000]
-            ids = np.asarray(self.encoder.encode(self.MARK.join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            for c, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.cache[c] = ids[a:b].tobytes()
-        for chunk, core in cores.items():
-            if chunk not in self.cache:
-                tail = self.stop[chunk[-1]] if len(core) < len(chunk) else b""
-                self.cache[chunk] = self.cache[core] + tail
+            tail = self.stop.get(chunk[-1], b"") if chunk[-2:-1].isalpha() else b""
+            core = chunk[:-1] if tail else chunk
+            spelled = self._letters(core)
+            if spelled is None:
+                odd.append(chunk)
+                continue
+            ids = cache.get(spelled) if core.isascii() else None
+            if ids is None:
+                ids = self._pack([t.id for t in model.tokenize(spelled)])
+                if core.isascii():
+                    cache[spelled] = ids
+            cache[chunk] = ids + tail
+        if odd:
+            for chunk, found in zip(odd, self.encoder.encode_batch(odd, add_special_tokens=False), strict=True):
+                cache[chunk] = self._pack(found.ids)
 
     def encode(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -97,7 +102,7 @@ class WordTokenizer:
         except KeyError:
             if len(self.cache) > self.CACHE:
                 self.cache = {"": b""}
-            self._learn(set(chunks) - self.cache.keys())
+            self._learn([c for c in set(chunks) if c not in self.cache])
             return b"".join(map(self.cache.__getitem__, chunks))
 
 

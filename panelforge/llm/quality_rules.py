@@ -3,9 +3,11 @@
 Base statistics are exact counts over the whole text. On top, a document's
 histograms of character classes and of common words are compared with those of
 its language by Jensen-Shannon distance. The language references are sums over
-all documents of the language, so they need one grouped aggregation of a narrow
-table; they are as many rows as there are listed languages. Documents below the
-minimum lengths are not judged by a histogram they are too short to fill.
+all documents of the language, so they need a grouped aggregation of a narrow
+table; they are as many rows as there are listed languages. They are made anew
+from the documents that the first ones keep, so that junk doesn't shift what it
+is measured against. Documents below the minimum length are not judged by
+histograms they are too short to fill.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ WINDOW = 5
 LEAST_WORDS = 10
 #: A document fails if more than this share of its words is in repeated windows.
 MOST_REPEATED = 20
-#: Words, and common words, that a histogram must be made of to be compared.
+#: Words that a histogram must be made of to be compared.
 GUARD_WORDS = 40
-GUARD_COMMON = 20
+#: Times that the references are made anew from the documents that the last ones keep.
+REFITS = 2
 #: Jensen-Shannon distances (base 2, 0 to 1) beyond which a document is rejected.
 MOST_CLASS_DISTANCE = 0.22
 MOST_WORD_DISTANCE = 0.75
@@ -122,46 +125,60 @@ def _class_histogram() -> list[Column]:
     return [*named, rest]
 
 
-def language_references(stats: DataFrame) -> dict[str, tuple[list[float], list[float] | None]]:
+def _word_histogram(width: int) -> list[Column]:
+    """Counts of each common word and of all other words."""
+    hits = F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x)
+    return [*(F.get("_common", F.lit(i)) for i in range(width)), F.col("n_words") - hits]
+
+
+def language_references(stats: DataFrame) -> dict[str, tuple[list[float] | None, list[float] | None]]:
     """Class and common-word histograms by language, from all rows of ``stats``; one row a listed language."""
     width = max(map(len, COMMON_WORDS.values()))
     sums = [F.sum(c).alias(f"c{i}") for i, c in enumerate(_class_histogram())]
-    sums += [F.coalesce(F.sum(F.get("_common", F.lit(i))), F.lit(0)).alias(f"w{i}") for i in range(width)]
+    sums += [F.sum(c).alias(f"w{i}") for i, c in enumerate(_word_histogram(width))]
     found = {}
     for row in stats.groupBy("lang").agg(*sums).collect():
         classes = [row[f"c{i}"] or 0 for i in range(len(CLASSES) + 1)]
-        words = [row[f"w{i}"] for i in range(len(COMMON_WORDS.get(row["lang"], [])))]
+        n = len(COMMON_WORDS.get(row["lang"], []))
+        words = [row[f"w{i}"] or 0 for i in (*range(n), width)] if n else []
         share = lambda xs: [x / sum(xs) for x in xs] if sum(xs) else None
         found[row["lang"]] = (share(classes), share(words))
     return found
 
 
+def _with_distances(stats: DataFrame, references: dict) -> DataFrame:
+    classes, size = _class_histogram(), F.col("word_chars")
+    class_distance = word_distance = F.lit(None).cast("double")
+    for lang, (c, w) in references.items():
+        if c:
+            class_distance = F.when(F.col("lang") == lang, _js_distance([F.try_divide(x, size) for x in classes], c)).otherwise(class_distance)
+        if w:
+            words = [F.try_divide(x, F.col("n_words")) for x in _word_histogram(len(w) - 1)]
+            word_distance = F.when(F.col("lang") == lang, _js_distance(words, w)).otherwise(word_distance)
+    enough = F.col("n_words") >= GUARD_WORDS
+    return stats.withColumn("class_distance", F.when(enough, class_distance)).withColumn("word_distance", F.when(enough, word_distance))
+
+
+def _far() -> Column:
+    return (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, base_failed, class_distance, word_distance and kept of every row.
 
-    Distances are null where a guard holds them back: fewer than 40 words, fewer
-    than 20 common words, or a language that isn't listed (word_distance only).
-    Null and empty texts have no words and fail. Repeated rows are judged alike;
-    columns other than the three named ones are not read.
+    Distances are null where a guard holds them back: fewer than 40 words, or a
+    language that isn't listed (word_distance only; such documents share one
+    class reference). Null and empty texts have no words and fail. Repeated rows
+    are judged alike; columns other than the three named ones are not read.
     """
     stats = checkpoint(text_statistics(docs, id_col, text_col, lang_col))
-    found = language_references(stats)
-    histogram = _class_histogram()
-    size = sum(histogram[1:], histogram[0])
-    class_distance = word_distance = F.lit(None).cast("double")
-    for lang, (classes, words) in found.items():
-        if classes:
-            share = [F.try_divide(c, size) for c in histogram]
-            class_distance = F.when(F.col("lang") == lang, _js_distance(share, classes)).otherwise(class_distance)
-        if words:
-            hits = F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x)
-            share = [F.try_divide(F.get("_common", F.lit(i)), hits) for i in range(len(words))]
-            word_distance = F.when((F.col("lang") == lang) & (hits >= GUARD_COMMON), _js_distance(share, words)).otherwise(word_distance)
-    enough = F.col("n_words") >= GUARD_WORDS
-    judged = stats.withColumn("class_distance", F.when(enough, class_distance)).withColumn("word_distance", F.when(enough, word_distance))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return judged.select(
+    sound = stats.where(~failed)
+    references = language_references(sound)
+    for _ in range(REFITS):
+        kept = _with_distances(sound, references).where(~_far())
+        references |= {lang: r for lang, r in language_references(kept).items() if r[0]}
+    return _with_distances(stats, references).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -169,7 +186,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & ~far).alias("kept"),
+        (~failed & ~_far()).alias("kept"),
         "class_distance",
         "word_distance",
     )
