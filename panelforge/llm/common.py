@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from array import array
 from unicodedata import is_normalized
@@ -49,7 +50,7 @@ class WordTokenizer:
     ``tests/llm`` compares it with the plain encoder.
     """
 
-    #: Chunks kept at once; the cache is emptied when it is full.
+    #: Chunks in the young half of the cache. When it is full it becomes the old half, from which chunks in use return.
     CACHE = 500_000
 
     def __init__(self, path: str):
@@ -57,7 +58,8 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
-        self.stop = {p: self._pack(self.encoder.encode(p, add_special_tokens=False).ids) for p in ".,"}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         # byte-level models spell bytes as printable characters: those that are printable stand for themselves
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in shown]
@@ -67,45 +69,64 @@ class WordTokenizer:
     def _pack(ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
-    def _letters(self, core: str) -> str | None:
+    def _mark(self, tail: str) -> bytes:
+        if tail not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[tail] = self._pack(self.encoder.encode(tail, add_special_tokens=False).ids)
+        return self.marks[tail]
+
+    def _spelled(self, core: str) -> str | None:
         """A run of Latin letters as the model spells it; None for what needs the whole encoder."""
+        if not core.isalpha():
+            return None
         if core.isascii():
-            return core.lower() if core.isalpha() else None
-        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core and is_normalized("NFC", core):
+            return core.lower()
+        if not _PAST_LATIN.search(core) and is_normalized("NFC", core):
             return "".join(map(self.spelling.__getitem__, core.lower().encode()))
         return None
 
     def _learn(self, chunks: list[str]) -> None:
-        cache, model, odd = self.cache, self.encoder.model, []
+        cache, old, tokenize, odd = self.cache, self.old, self.encoder.model.tokenize, []
         for chunk in chunks:
-            # a letter and one closing mark are separate pre-tokens, so the mark's ids can be added afterwards
-            tail = self.stop.get(chunk[-1], b"") if chunk[-2:-1].isalpha() else b""
-            core = chunk[:-1] if tail else chunk
-            spelled = self._letters(core)
-            if spelled is None:
-                odd.append(chunk)
-                continue
-            ids = cache.get(spelled) if core.isascii() else None
+            ids = old.get(chunk)
             if ids is None:
-                ids = self._pack([t.id for t in model.tokenize(spelled)])
-                if core.isascii():
-                    cache[spelled] = ids
-            cache[chunk] = ids + tail
+                # letters and the marks after them are separate pre-tokens, so the marks' ids can be added afterwards
+                core = chunk.rstrip(_MARKS)
+                tail = self._mark(chunk[len(core) :]) if core else b""
+                spelled = self._spelled(core)
+                if spelled is None:
+                    odd.append(chunk)
+                    continue
+                ids = (cache.get(core) or old.get(core)) if tail else None
+                if ids is None:
+                    ids = self._pack([t.id for t in tokenize(spelled)])
+                    if tail:
+                        cache[core] = ids
+                ids += tail
+            cache[chunk] = ids
         if odd:
             for chunk, found in zip(odd, self.encoder.encode_batch(odd, add_special_tokens=False), strict=True):
                 cache[chunk] = self._pack(found.ids)
 
     def encode(self, text: str) -> bytes:
+        # the tokenizer lower-cases; doing it here first halves the chunks to learn. Special tokens have a case
+        if "<|" not in text and (text.isascii() or not _PAST_LATIN.search(text)):
+            text = text.lower()
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
             if len(self.cache) > self.CACHE:
-                self.cache = {"": b""}
+                self.cache, self.old = {"": b""}, self.cache
             self._learn([c for c in set(chunks) if c not in self.cache])
             return b"".join(map(self.cache.__getitem__, chunks))
 
 
+#: ASCII marks that never join the letters before them: all but the apostrophe.
+_MARKS = ".,;:!?*#$%&|<>\"()[]{}-_/+=~^@`\\"
+#: Letters whose lower case could differ between libraries, and combining marks, are beyond this range.
+_PAST_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
