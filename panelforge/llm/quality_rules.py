@@ -28,8 +28,8 @@ GUARD_WORDS = 40
 #: Times that the references are made anew from the documents that the last ones keep.
 REFITS = 2
 #: Jensen-Shannon distances (base 2, 0 to 1) beyond which a document is rejected.
-MOST_CLASS_DISTANCE = 0.22
-MOST_WORD_DISTANCE = 0.75
+MOST_CLASS_DISTANCE = 0.2
+MOST_WORD_DISTANCE = 0.27
 
 #: Function words by language: fixed values.
 COMMON_WORDS = {
