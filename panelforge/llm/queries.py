@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import line_dedup, packing, quality_rules, sharding, simhash, tokencount, urlfilter
+from panelforge.llm import chat, decontam, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(chat.export_lines(_table(spark, sf_dir, "conversations")))
+    return chats.withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_token_counts, op3_url_filter, op5_external_shuffle, op6_line_dedup, op7_simhash_groups, op8_quality_rules)
+    found = (
+        op1_best_fit_packing,
+        op2_token_counts,
+        op3_url_filter,
+        op4_quality_classifier,
+        op5_external_shuffle,
+        op6_line_dedup,
+        op7_simhash_groups,
+        op8_quality_rules,
+        op9_decontamination,
+        op10_chat_format,
+    )
     return {f.__name__: f for f in found}
 
 
