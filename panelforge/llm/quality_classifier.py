@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checkpoint
+from panelforge.llm.common import checkpoint, small_batches
 from panelforge.llm.components import skew_join
 
 #: Labelled documents that the models are fitted on, at most: those with the least hash of their id.
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
 
 def evidence(docs: DataFrame, model: Model | None, keep: list[str], host: Column, path: Column, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with _host, _path, _q and _t: log-odds of the good and of the toxic class."""
-    chosen = docs.select(*keep, host.alias("_host"), path.alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    chosen = small_batches(docs).select(*keep, host.alias("_host"), path.alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = chosen.schema[:-1].add("_q", "double").add("_t", "double")
 
     def run(batches):
