@@ -20,10 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checkpoint
+from panelforge.llm.common import checkpoint, for_workers
 
 ROLES = ("system", "user", "assistant")
 #: State 2 * role begins a turn of it, state 2 * role + 1 goes on with it.
@@ -33,6 +33,8 @@ BEFORE = STATES - 1
 #: Places (such as turns of the source) in a chunk, and chunks in a chunk of the next level.
 CHUNK = 256
 FAN = 64
+#: Places beyond this, either way, count as this.
+MOST_PLACE = 1 << 61
 
 #: Markers that exports put before a turn, by role: fixed values.
 MARKERS = {
@@ -168,6 +170,10 @@ def _grouped(batches, keys: int):
         yield tuple(held.column(k)[0].as_py() for k in range(keys)), held
 
 
+def _div(x: Column, by: int) -> Column:
+    return F.call_function("div", x, F.lit(by))
+
+
 def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
@@ -262,14 +268,16 @@ def parse_lines(lines: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFra
     Lines are ordered by place, then idx; lines that tie in both are ordered by
     their text. An empty table gives an empty one.
     """
-    cut = lines.select("conv", F.floor(F.col("place") / chunk).alias("chunk"), "place", "idx", "line")
+    # places from 0 on, so that all chunks of a conversation meet in one of a higher level
+    place = F.greatest(F.least("place", F.lit(MOST_PLACE)), F.lit(-MOST_PLACE)) + MOST_PLACE
+    cut = for_workers(lines).select("conv", _div(place, chunk).alias("chunk"), "place", "idx", "line")
     levels = [checkpoint(_dealt(cut, ["conv", "chunk"], ["place", "idx", "line"]).select("conv", "chunk", "line").mapInArrow(_chunk_matrices, "conv string, chunk long, m array<double>"))]
     while (levels[-1].groupBy("conv").count().agg(F.max("count")).first()[0] or 0) > 1:
-        up = levels[-1].select("conv", F.floor(F.col("chunk") / fan).alias("up"), "chunk", "m")
+        up = levels[-1].select("conv", _div(F.col("chunk"), fan).alias("up"), "chunk", "m")
         levels.append(checkpoint(_dealt(up, ["conv", "up"], ["chunk"]).mapInArrow(_products, "conv string, chunk long, m array<double>")))
     ends = levels[-1].mapInArrow(_top_ends, "conv string, chunk long, first int, last int")
     for level in levels[-2::-1]:
-        below = level.select("conv", F.floor(F.col("chunk") / fan).alias("up"), "chunk", "m").join(ends.withColumnRenamed("chunk", "up"), ["conv", "up"])
+        below = level.select("conv", _div(F.col("chunk"), fan).alias("up"), "chunk", "m").join(ends.withColumnRenamed("chunk", "up"), ["conv", "up"])
         ends = checkpoint(_dealt(below, ["conv", "up"], ["chunk"]).mapInArrow(_hand_down, "conv string, chunk long, first int, last int"))
     known = cut.join(ends, ["conv", "chunk"])
     parts = _dealt(known, ["conv", "chunk"], ["place", "idx", "line"]).select("conv", "chunk", "line", "first", "last")

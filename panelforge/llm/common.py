@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 from array import array
+from pathlib import Path
 from unicodedata import is_normalized
 
 from pyspark.sql import Column, DataFrame
@@ -34,11 +36,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are small enough for whole texts."""
+def for_workers(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for whole texts and whose Python workers find this package."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
     return df
 
 

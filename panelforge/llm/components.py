@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import checkpoint
 
+#: Edges that a task writes, about.
+EDGES_PER_TASK = 100_000
+
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key``, planned so that adaptive execution can split a hot key of ``left``.
@@ -45,8 +48,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = skew_join(both, _least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         # every edge of large runs from the greater to the lesser end
         joined = skew_join(large, _least_neighbour(large), "u")
+        # few edges need few files
+        tasks = min(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), seen[0] // EDGES_PER_TASK + 1)
         ends = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))).alias("x"))
-        e = checkpoint(ends.select("x.u", "x.v").where("u <> v").distinct())
+        e = checkpoint(ends.select("x.u", "x.v").where("u <> v").distinct().coalesce(tasks))
         now = _digest(e)
         if now == seen:
             break

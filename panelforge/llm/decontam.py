@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checkpoint
+from panelforge.llm.common import SPACE_CLASS, checkpoint
 from panelforge.llm.quality_rules import let, words_of
 
 WINDOW = 5
@@ -36,7 +36,8 @@ UNITS = [
     "minute", "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year", "dollars", "dollar", "cents", "cent", "euros", "euro",
     "degrees", "degree", "mph", "kmh", "meters", "meter", "metres", "metre", "kilometers", "kilometres", "square", "cubic",
 ]
-MARKS = ".,;:!?\"'()[]{}"
+#: Stripped from a word; with white space, from a text.
+MARKS = ".,;:!?\"'()[]{} \t\n\x0b\x0c\r"
 
 
 def template(words: Column) -> Column:
@@ -58,19 +59,39 @@ def template(words: Column) -> Column:
     return F.transform(words, token)
 
 
+def canonical_tokens(text: Column) -> Column:
+    """A struct of t (template tokens) and v (values in slots; null for a text without slots) of a text.
+
+    Most texts have no digit and no capital inside a sentence, so nothing in
+    them becomes a slot: one split gives their tokens.
+    """
+    marks = r"[.,;:!?\"'()\[\]{}]*"
+    inner_capital = rf'[^.!?:;|>"\x20\x09-\x0D]{SPACE_CLASS}+{marks}\p{{Lu}}[\p{{Ll}}\'’-]'
+    slotted = F.regexp_like(text, F.lit(r"\p{Nd}")) | F.regexp_like(text, F.lit(inner_capital))
+    named = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
+    slow = let(let(words_of(text), template), lambda w: let(F.filter(w, lambda x: x["t"] != ""), lambda x: named(x["t"], x["v"])))
+    tokens = F.filter(F.split(F.trim(F.lower(text), F.lit(MARKS)), f"{marks}{SPACE_CLASS}+{marks}"), lambda t: t != "")
+    return F.when(slotted, slow).otherwise(named(tokens, F.lit(None).cast("array<string>")))
+
+
 def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
-    """key, pos, h, slots (values in slots; null: a literal) of every window; texts shorter than a window are one window."""
-    tokens = rows.select(key, let(words_of(F.coalesce(text, F.lit(""))), template).alias("_w"))
-    tokens = tokens.withColumn("_t", F.col("_w.t")).withColumn("_v", F.col("_w.v")).where(F.size("_t") > 0)
-    # _t is read more than once, so it stays a column of its own
+    """key, _v (values in slots), pos, h of every window; texts shorter than a window are one window."""
+    tokens = rows.select(key, canonical_tokens(F.coalesce(text, F.lit(""))).alias("_x"))
+    tokens = tokens.select(key, F.col("_x.t").alias("_t"), F.col("_x.v").alias("_v")).where(F.size("_t") > 0)
     hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, window)))
     return tokens.select(key, "_v", F.size("_t").alias("_n"), F.posexplode(hashed).alias("pos", "h"))
 
 
+def _slots(window: int) -> Column:
+    """Slot values of a window; literals are null."""
+    size = F.least(F.lit(window), F.col("_n"))
+    return F.coalesce(F.slice("_v", F.col("pos") + 1, window), F.array_repeat(F.lit(None).cast("string"), size))
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """item, pos, h, slots, n_windows of the benchmark's windows that have enough literal words."""
     every = _windows(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("_text")), "item", F.col("_text"), window)
-    slots = F.slice("_v", F.col("pos") + 1, window)
+    slots = _slots(window)
     literals = F.size(F.filter(slots, lambda v: v.isNull()))
     kept = every.select("item", "pos", "h", slots.alias("slots")).where(literals >= F.least(F.lit(LEAST_LITERALS), F.size("slots")))
     # rows that share an id are one item: windows of all of them count
@@ -90,7 +111,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_sha
     items = items.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"})
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
     found = _windows(own, "doc", F.col("_text"), window)
-    slots = F.slice("_v", F.col("pos") + 1, window)
+    slots = _slots(window)
     if items.count() <= broadcast_windows:
         # slot values are cut out for matches only
         matched = found.join(F.broadcast(items), "h").select("doc", "item", "n_windows", "pos", "item_pos", "item_slots", slots.alias("slots"))

@@ -125,15 +125,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     repeated = repeated_lines(docs, id_col, text_col, least_docs, batches, fanout)
     lost = line_hashes(docs, id_col, text_col).join(repeated, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
-    lost = lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h1").alias("_lost"))
-    joined = docs.select(*own).join(lost, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
-    lines = F.col("_lines")
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(line_key(x)))))
-    out = joined.withColumn("_lines", _lines(F.col(text_col))).withColumn("_kept", kept)
+    lost = lost.groupBy("doc").agg(F.collect_set("h1").alias("hashes"))
+    # the row's own columns are kept in one, so that their names can't clash with those made here
+    rows = docs.select(F.struct(*own).alias("row"))
+    joined = rows.join(lost, F.col("row")[id_col].eqNullSafe(F.col("doc")), "left")
+    hashes, before = F.col("hashes"), F.col("before")
+    after = F.when(hashes.isNull(), before).otherwise(F.filter(before, lambda x: ~F.array_contains(hashes, F.xxhash64(line_key(x)))))
+    out = joined.select("row", "hashes", _lines(F.col("row")[text_col]).alias("before")).withColumn("after", after)
     return out.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in own],
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        *[(F.array_join("after", "\n") if c == text_col else F.col("row")[c]).alias(c) for c in own],
+        F.size("before").cast("long").alias("n_lines"),
+        (F.size("before") - F.size("after")).cast("long").alias("n_dropped"),
     )
 
 

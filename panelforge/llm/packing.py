@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelforge.llm.common import checkpoint, default_tokenizer_path, small_batches, tokenizer
+from panelforge.llm.common import checkpoint, default_tokenizer_path, for_workers, tokenizer
 
 #: Appended to every document.
 END_ID = 0
@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
     id are kept apart. Only the two named columns are read, so extra columns
     with clashing names don't matter.
     """
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = for_workers(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(batches):
@@ -157,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
     """
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     # numbering rows is repeatable only over stored rows
-    stored = checkpoint(pieces.select(*own)).withColumn("_row", F.monotonically_increasing_id())
+    stored = checkpoint(for_workers(pieces).select(*own)).withColumn("_row", F.monotonically_increasing_id())
     histogram = {int(n): int(c) for n, c in stored.groupBy("length").count().collect()}
     placed, _ = best_fit_decreasing(histogram, capacity)
     buckets = max(64, sum(histogram.values()) // bucket_rows)

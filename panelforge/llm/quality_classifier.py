@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import checkpoint, small_batches
+from panelforge.llm.common import checkpoint, for_workers
 from panelforge.llm.components import skew_join
 
 #: Labelled documents that the models are fitted on, at most: those with the least hash of their id.
@@ -167,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
 
 
 def evidence(docs: DataFrame, model: Model | None, keep: list[str], host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with _host, _path, _q and _t: log-odds of the good and of the toxic class."""
-    chosen = small_batches(docs).select(*keep, host.alias("_host"), path.alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    """_row (a struct of the columns ``keep``, if any), _host, _path, _q and _t: log-odds of the good and of the toxic class."""
+    own = [F.struct(*keep).alias("_row")] if keep else []
+    chosen = for_workers(docs).select(*own, host.alias("_host"), path.alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = chosen.schema[:-1].add("_q", "double").add("_t", "double")
 
     def run(batches):
@@ -230,4 +231,4 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     joined = scored.join(F.broadcast(sites), "_site", "left") if sites.count() <= BROADCAST_SITES else skew_join(scored, sites, "_site", "left")
     found = joined.withColumns({"quality_score": _sigmoid(posterior("q")), "toxicity_score": _sigmoid(posterior("t"))})
     verdict = (F.col("quality_score") >= LEAST_QUALITY) & (F.col("toxicity_score") <= MOST_TOXICITY) if model else F.lit(True)
-    return found.select(*keep, "quality_score", "toxicity_score", verdict.alias("kept"))
+    return found.select("_row.*", "quality_score", "toxicity_score", verdict.alias("kept"))

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import for_workers
+
 SHARDS = 8
 SEED = 20_240_607
 #: Bytes of records that one bucket holds, about.
@@ -75,7 +77,7 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_b
 
 def _shuffled(records: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int) -> DataFrame:
     """``records`` with _position, their place in the shuffled corpus."""
-    dealt = scatter(records, keys, buckets, seed)
+    dealt = scatter(for_workers(records), keys, buckets, seed)
     counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row a bucket: a bucket holds a fixed share of memory, so this stays small
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import LOWER, UPPER, checkpoint, small_batches
+from panelforge.llm.common import LOWER, UPPER, checkpoint, for_workers
 from panelforge.llm.components import connected_components, skew_join
 
 BITS = 64
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return for_workers(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # --- partitions and thresholds ------------------------------------------------------------------------------
@@ -263,7 +263,7 @@ def ball_links(values: DataFrame, distance: int) -> DataFrame:
 
 def links(values: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucket: int = BUCKET) -> DataFrame:
     """src, dst: links that connect every two of the distinct ``values`` (fp) within ``distance`` bits."""
-    n, both = bit_statistics(values)
+    n, both = bit_statistics(for_workers(values))
     groups = group_bits(n, both, parts)
     thresholds = allocate(n, both, groups, distance)
     dealt = probes(values, groups, thresholds)

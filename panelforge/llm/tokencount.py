@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import default_tokenizer_path, small_batches, tokenizer
+from panelforge.llm.common import default_tokenizer_path, for_workers, tokenizer
 
 #: Lengths whose suffix sums are made in one task.
 BLOCK = 1024
@@ -28,7 +28,7 @@ def encoded_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc
             counts = [len(encode(text.as_py() or "")) // 4 for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return for_workers(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int = BLOCK) -> DataFrame:
