@@ -43,18 +43,21 @@ MARKS = ".,;:!?\"'()[]{} \t\n\x0b\x0c\r"
 def template(words: Column) -> Column:
     """One struct (t: template token, v: the value in a slot, else null) a word."""
 
-    def token(w: Column, i: Column) -> Column:
+    literal = lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("v"))
+
+    def marked(w: Column, i: Column, bare: Column) -> Column:
         before = F.when(i > 0, F.get(words, i - 1))
-        bare = F.trim(w, F.lit(MARKS))
         low = F.lower(bare)
-        literal = lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("v"))
         slot = lambda kind: F.struct(F.lit(kind).alias("t"), low.alias("v"))
         number = F.regexp_like(bare, F.lit(r"^[-+$€£#]?\p{Nd}[\p{Nd}.,:/]*%?$"))
         unit = bare.isin(UNITS) & F.regexp_like(F.coalesce(before, F.lit("")), F.lit(r"\p{Nd}[.,]?$"))
         name = F.regexp_like(bare, F.lit(r"^\p{Lu}[\p{Ll}'’-]+$")) & F.regexp_like(F.coalesce(before, F.lit(".")), F.lit(r"[^.!?:;|>\"]$"))
+        return F.when(number, slot("<num>")).when(unit, slot("<unit>")).when(name, slot("<name>")).otherwise(literal(low))
+
+    def token(w: Column, i: Column) -> Column:
         # most words are lower-case letters and need one pattern only
-        plain = F.regexp_like(w, F.lit(r"^\p{Ll}+[.,;:!?]?$")) & ~bare.isin(UNITS)
-        return F.when(plain, literal(bare)).when(number, slot("<num>")).when(unit, slot("<unit>")).when(name, slot("<name>")).otherwise(literal(low))
+        plain = F.regexp_like(w, F.lit(r"^\p{Ll}+$")) & ~w.isin(UNITS)
+        return F.when(plain, literal(w)).otherwise(let(F.trim(w, F.lit(MARKS)), lambda bare: marked(w, i, bare)))
 
     return F.transform(words, token)
 
@@ -70,16 +73,23 @@ def canonical_tokens(text: Column) -> Column:
     slotted = F.regexp_like(text, F.lit(r"\p{Nd}")) | F.regexp_like(text, F.lit(inner_capital))
     named = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
     slow = let(let(words_of(text), template), lambda w: let(F.filter(w, lambda x: x["t"] != ""), lambda x: named(x["t"], x["v"])))
-    tokens = F.filter(F.split(F.trim(F.lower(text), F.lit(MARKS)), f"{marks}{SPACE_CLASS}+{marks}"), lambda t: t != "")
+    tokens = F.array_remove(F.split(F.trim(F.lower(text), F.lit(MARKS)), f"{marks}{SPACE_CLASS}+{marks}"), "")
     return F.when(slotted, slow).otherwise(named(tokens, F.lit(None).cast("array<string>")))
 
 
 def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
-    """key, _v (values in slots), pos, h of every window; texts shorter than a window are one window."""
+    """key, _v (values in slots), _n, pos, h of every window; texts shorter than a window are one window.
+
+    A window is a row of the tokens zipped with themselves shifted, so rows are
+    hashed in generated code.
+    """
     tokens = rows.select(key, canonical_tokens(F.coalesce(text, F.lit(""))).alias("_x"))
     tokens = tokens.select(key, F.col("_x.t").alias("_t"), F.col("_x.v").alias("_v")).where(F.size("_t") > 0)
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_t") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_t", i, window)))
-    return tokens.select(key, "_v", F.size("_t").alias("_n"), F.posexplode(hashed).alias("pos", "h"))
+    n = F.size("_t")
+    shifted = [F.slice("_t", k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(window)]
+    each = tokens.select(key, "_v", n.alias("_n"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_z"))
+    whole = F.col(f"_z.w{window - 1}").isNotNull() | ((F.col("pos") == 0) & (F.col("_n") < window))
+    return each.where(whole).select(key, "_v", "_n", "pos", F.xxhash64(*[F.col(f"_z.w{k}") for k in range(window)]).alias("h"))
 
 
 def _slots(window: int) -> Column:
