@@ -16,6 +16,11 @@ from pyspark.sql.window import WindowSpec
 NOISE = 1e-15
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, also where a lambda uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 

@@ -11,7 +11,8 @@ from panelforge.functions.stats import average_rank, ratio, safe_corr, series
 def autocorrelation(signal: DataFrame, max_lag: int = 20) -> DataFrame:
     """factor, lag, autocorr: each ticker's correlation with itself, averaged over tickers that have one."""
     w = series("factor", "ticker")
-    lagged = signal.select("factor", "ticker", "value", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("value", k).over(w).alias("before")) for k in range(1, max_lag + 1)])))
+    each = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("value", k).over(w).alias("before")) for k in range(1, max_lag + 1)])
+    lagged = signal.select("factor", "ticker", "value", each.alias("x")).select("factor", "ticker", "value", F.inline("x"))
     own = lagged.groupBy("factor", "lag", "ticker").agg(safe_corr(F.col("value"), F.col("before")).alias("c"))
     return own.groupBy("factor", "lag").agg(F.avg("c").alias("autocorr"))
 
@@ -31,7 +32,8 @@ def lead_lag(signal: DataFrame, panel: DataFrame, max_lead: int = 10, max_lag: i
     """factor, offset, mean_ic of the signal with the one-row return ``offset`` rows on (negative: back). Any two pairs are enough."""
     offsets = list(range(-max_lag, max_lead + 1))
     w = series("ticker")
-    moved = panel.select("date", "ticker", F.inline(F.array(*[F.struct(F.lit(k).alias("offset"), (F.lead("ret", k) if k >= 0 else F.lag("ret", -k)).over(w).alias("y")) for k in offsets])))
+    each = F.array(*[F.struct(F.lit(k).alias("offset"), (F.lead("ret", k) if k >= 0 else F.lag("ret", -k)).over(w).alias("y")) for k in offsets])
+    moved = panel.select("date", "ticker", each.alias("x")).select("date", "ticker", F.inline("x"))
     pairs = signal.select("factor", "date", "ticker", F.col("value").alias("x")).join(moved, ["date", "ticker"]).where("x is not null and y is not null")
     keys = ("factor", "offset", "date")
     ranked = pairs.withColumn("rx", average_rank(F.col("x"), *keys)).withColumn("ry", average_rank(F.col("y"), *keys))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.stats import average_rank, ratio, rolling, sample_skewness, series
+from panelforge.functions.stats import average_rank, let, ratio, rolling, sample_skewness, series
 
 TICKER = series("ticker")
 #: Denominators up to this are taken for zero.
@@ -186,11 +186,15 @@ class RollingCVaR(Factor):
         window = rolling(F.collect_list, F.col("ret"), self.window, TICKER)
         at = (self.window - 1) * self.confidence
         low, high = int(at), min(int(at) + 1, self.window - 1)
-        s = F.col("_step0")
-        cut = F.get(s, F.lit(low)) + (F.get(s, F.lit(high)) - F.get(s, F.lit(low))) * (at - low)
-        tail = F.filter(F.col("_step0"), lambda x: x <= F.col("_step1"))
-        mean = F.aggregate(F.col("_step2"), F.lit(0.0), lambda a, x: a + x) / F.size("_step2")
-        return [F.sort_array(window), cut, tail, F.when(F.size("_step2") > 0, mean)]
+
+        def cut(s: Column) -> Column:
+            return F.get(s, F.lit(low)) + (F.get(s, F.lit(high)) - F.get(s, F.lit(low))) * (at - low)
+
+        def mean(tail: Column) -> Column:
+            return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
+
+        tail = lambda s: let(cut(s), lambda c: let(F.filter(s, lambda x: x <= c), mean))
+        return [window, F.when(F.col("_step0").isNotNull(), let(F.sort_array("_step0"), tail))]
 
 
 @dataclass

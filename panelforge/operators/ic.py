@@ -14,6 +14,8 @@ from panelforge.functions.stats import average_rank, ratio, safe_corr
 from panelforge.sources.panel import forward_returns
 
 KEYS = ("factor", "horizon")
+#: A coefficient of ranks is a multiple of far more than this; up to it, it is zero but for rounding.
+NOISE_IC = 1e-12
 #: A 31-bit linear congruential generator: fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
 
@@ -84,7 +86,7 @@ def summary(ic: DataFrame, with_newey_west: bool = True) -> DataFrame:
         mean.alias("mean"),
         F.stddev_samp("ic").alias("std"),
         ratio(mean, sd).alias("icir"),
-        F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("hit_rate"),
+        F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > NOISE_IC).cast("double"))).alias("hit_rate"),
         (ratio(mean, sd) * F.sqrt(n)).alias("t_stat"),
         n.alias("n_dates"),
         F.avg("n_valid").alias("avg_coverage"),
@@ -146,5 +148,6 @@ def correlation_matrix(ic: DataFrame) -> DataFrame:
 def autocorrelation(ic: DataFrame, lags: list[int]) -> DataFrame:
     """factor, horizon, lag, corr of a series with itself ``lag`` dates before."""
     w = Window.partitionBy(*KEYS).orderBy("rn")
-    pairs = ic.select(*KEYS, "rn", "ic", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("ic", k).over(w).alias("before")) for k in lags])))
+    each = F.array(*[F.struct(F.lit(k).alias("lag"), F.lag("ic", k).over(w).alias("before")) for k in lags])
+    pairs = ic.select(*KEYS, "ic", each.alias("x")).select(*KEYS, "ic", F.inline("x"))
     return pairs.groupBy(*KEYS, "lag").agg(safe_corr(F.col("ic"), F.col("before")).alias("corr"))

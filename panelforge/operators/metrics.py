@@ -3,7 +3,7 @@
 Input: the key columns, date, ret and, for the benchmark metrics, bench. Null
 returns are missing; they still count toward the length where a metric is per
 period. Every edge (no rows, one row, no losses, a flat series) has the value
-that its line below says.
+that its line below says; a fall of more than everything has no annual rate.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ def full_summary(returns: DataFrame, keys: list[str], periods: int = PERIODS, rf
     pairs = F.count(p)
     cuts = x.groupBy(*keys).agg(F.percentile(r, 1 - 0.95).alias("_var"), F.percentile(r, tail).alias("_low"), F.percentile(r, 1 - tail).alias("_high"))
     fall = drawdowns(x, keys).groupBy(*keys).agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("_mdd"))
-    same = [x[k].eqNullSafe(cuts[k]) for k in keys]
-    j = x.join(F.broadcast(cuts), same).select(*[x[c] for c in x.columns], "_var", "_low", "_high")
+    # one row a key, left to Spark to broadcast
+    cuts = cuts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    j = x.join(cuts, same).drop(*[f"_{k}" for k in keys])
     mean, sd = F.avg(excess), F.stddev_samp(excess)
     downside = F.sqrt(F.avg(F.when(excess < 0, excess * excess)))
     years = size.cast("double") / periods
@@ -91,7 +93,7 @@ def full_summary(returns: DataFrame, keys: list[str], periods: int = PERIODS, rf
         }
     out = j.groupBy(*keys).agg(*[c.cast("double").alias(k) for k, c in cols.items()])
     out = out.join(fall.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
-    out = out.withColumn("max_drawdown", F.coalesce("_mdd", F.lit(0.0))).withColumn("calmar_ratio", F.coalesce(ratio(F.col("annualized_return"), F.nullif(F.abs("max_drawdown"), F.lit(0.0))), F.lit(0.0)))
+    out = out.withColumn("max_drawdown", F.coalesce("_mdd", F.lit(0.0))).withColumn("calmar_ratio", F.when(F.col("max_drawdown") == 0, 0.0).otherwise(ratio(F.col("annualized_return"), F.abs("max_drawdown"))))
     return out.select(*keys, *PERFORMANCE, *(BENCHMARK if with_bench else []), *DISTRIBUTION)
 
 
