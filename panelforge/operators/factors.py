@@ -11,10 +11,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelforge.functions.stats import average_rank, let, ratio, rolling, sample_skewness, series
 
-TICKER = series("ticker")
+
+def _ticker() -> WindowSpec:
+    """Made when it is asked for: a window needs a session."""
+    return series("ticker")
+
+
 #: Denominators up to this are taken for zero.
 TINY = 1e-10
 
@@ -37,7 +43,7 @@ class Factor(ABC):
 
 
 def _momentum(window: int, skip: int) -> Column:
-    return ratio(F.lag("close", skip).over(TICKER), F.lag("close", window).over(TICKER)) - 1
+    return ratio(F.lag("close", skip).over(_ticker()), F.lag("close", window).over(_ticker())) - 1
 
 
 @dataclass
@@ -86,10 +92,10 @@ class RSI(Factor):
         self.name, self.lookback = f"rsi_{self.window}", self.window
 
     def over_time(self) -> list[Column]:
-        gain = rolling(F.avg, F.when(F.col("_step0").isNotNull(), F.greatest(F.col("_step0"), F.lit(0.0))), self.window, TICKER)
-        loss = rolling(F.avg, F.when(F.col("_step0").isNotNull(), F.greatest(-F.col("_step0"), F.lit(0.0))), self.window, TICKER)
+        gain = rolling(F.avg, F.when(F.col("_step0").isNotNull(), F.greatest(F.col("_step0"), F.lit(0.0))), self.window, _ticker())
+        loss = rolling(F.avg, F.when(F.col("_step0").isNotNull(), F.greatest(-F.col("_step0"), F.lit(0.0))), self.window, _ticker())
         strength = F.when((loss == 0) & (gain > 0), -50.0).otherwise(100 / (1 + ratio(gain, loss)) - 50)
-        return [F.col("close") - F.lag("close").over(TICKER), strength]
+        return [F.col("close") - F.lag("close").over(_ticker()), strength]
 
 
 @dataclass
@@ -101,7 +107,7 @@ class BollingerZScore(Factor):
 
     def over_time(self) -> Column:
         p = F.col("close")
-        return -ratio(p - rolling(F.avg, p, self.window, TICKER), rolling(F.stddev_samp, p, self.window, TICKER))
+        return -ratio(p - rolling(F.avg, p, self.window, _ticker()), rolling(F.stddev_samp, p, self.window, _ticker()))
 
 
 @dataclass
@@ -112,7 +118,7 @@ class ShortTermReversal(Factor):
         self.name, self.lookback = f"short_term_reversal_{self.window}", self.window
 
     def over_time(self) -> Column:
-        return 1 - ratio(F.col("close"), F.lag("close", self.window).over(TICKER))
+        return 1 - ratio(F.col("close"), F.lag("close", self.window).over(_ticker()))
 
 
 @dataclass
@@ -123,7 +129,7 @@ class LowVol(Factor):
         self.name, self.lookback = f"low_volatility_{self.window}", self.window
 
     def over_time(self) -> Column:
-        return -rolling(F.stddev_samp, F.col("ret"), self.window, TICKER)
+        return -rolling(F.stddev_samp, F.col("ret"), self.window, _ticker())
 
 
 @dataclass
@@ -141,11 +147,11 @@ class ResidualMomentum(Factor):
 
     def over_time(self) -> list[Column]:
         r, m = F.col("ret"), F.col("market_ret")
-        frame = TICKER.rowsBetween(-(self.beta_window - 1), 0)
+        frame = _ticker().rowsBetween(-(self.beta_window - 1), 0)
         whole = F.count(F.when(r.isNotNull() & m.isNotNull(), 1)).over(frame) == self.beta_window
         beta = F.when(whole, ratio(F.covar_samp(r, m).over(frame), F.var_samp(m).over(frame)))
         span = self.momentum_window - self.skip
-        return [r - beta * m, rolling(F.sum, F.col("_step0"), span, TICKER, end=self.skip)]
+        return [r - beta * m, rolling(F.sum, F.col("_step0"), span, _ticker(), end=self.skip)]
 
 
 @dataclass
@@ -156,8 +162,8 @@ class QualityProxy(Factor):
         self.name, self.lookback = f"quality_proxy_{self.window}", self.window
 
     def over_time(self) -> Column:
-        size = rolling(F.avg, F.abs(F.col("ret")), self.window, TICKER)
-        return -F.when(size > TINY, rolling(F.stddev_samp, F.col("ret"), self.window, TICKER) / size)
+        size = rolling(F.avg, F.abs(F.col("ret")), self.window, _ticker())
+        return -F.when(size > TINY, rolling(F.stddev_samp, F.col("ret"), self.window, _ticker()) / size)
 
 
 @dataclass
@@ -168,8 +174,8 @@ class RollingSharpe(Factor):
         self.name, self.lookback = f"rolling_sharpe_{self.window}", self.window
 
     def over_time(self) -> Column:
-        sd = rolling(F.stddev_samp, F.col("ret"), self.window, TICKER)
-        return F.when(sd > TINY, rolling(F.avg, F.col("ret"), self.window, TICKER) / sd)
+        sd = rolling(F.stddev_samp, F.col("ret"), self.window, _ticker())
+        return F.when(sd > TINY, rolling(F.avg, F.col("ret"), self.window, _ticker()) / sd)
 
 
 @dataclass
@@ -183,7 +189,7 @@ class RollingCVaR(Factor):
         self.name, self.lookback = f"rolling_cvar_{self.window}_{int(self.confidence * 100)}", self.window
 
     def over_time(self) -> list[Column]:
-        window = rolling(F.collect_list, F.col("ret"), self.window, TICKER)
+        window = rolling(F.collect_list, F.col("ret"), self.window, _ticker())
         at = (self.window - 1) * self.confidence
         low, high = int(at), min(int(at) + 1, self.window - 1)
 
@@ -214,7 +220,7 @@ class RollingMaxDrawdown(Factor):
             peak = F.greatest(acc["peak"], level)
             return F.struct(level.alias("level"), peak.alias("peak"), F.least(acc["worst"], F.try_divide(level, peak) - 1).alias("worst"))
 
-        return [rolling(F.collect_list, F.col("ret"), self.window, TICKER), F.when(F.col("_step0").isNotNull(), F.aggregate("_step0", start, step, lambda acc: acc["worst"]))]
+        return [rolling(F.collect_list, F.col("ret"), self.window, _ticker()), F.when(F.col("_step0").isNotNull(), F.aggregate("_step0", start, step, lambda acc: acc["worst"]))]
 
 
 @dataclass
@@ -225,7 +231,7 @@ class RollingSkewness(Factor):
         self.name, self.lookback = f"rolling_skewness_{self.window}", self.window
 
     def over_time(self) -> Column:
-        frame = TICKER.rowsBetween(-(self.window - 1), 0)
+        frame = _ticker().rowsBetween(-(self.window - 1), 0)
         skew = sample_skewness(F.col("ret"), lambda c: c.over(frame))
         return -F.when(F.count("ret").over(frame) == self.window, skew)
 
@@ -241,7 +247,7 @@ def compute(panel: DataFrame, factors: list[Factor]) -> DataFrame:
     for f in factors:
         if missing := [c for c in f.needs if c not in panel.columns]:
             raise ValueError(f"{f.name} needs {', '.join(missing)}")
-    out = panel if "ret" in panel.columns else panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(TICKER)) - 1)
+    out = panel if "ret" in panel.columns else panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(_ticker())) - 1)
     for k, f in enumerate(factors):
         steps = f.over_time()
         steps = steps if isinstance(steps, list) else [steps]

@@ -12,8 +12,6 @@ from panelforge.operators.backtest import Backtest
 from panelforge.operators.combine import ICWeighted
 from panelforge.sources.panel import forward_returns
 
-TICKER = series("ticker")
-
 
 def coverage(panel: DataFrame, late_days: int = 5) -> DataFrame:
     """ticker, first_date, n_valid, coverage_pct, late (listed over ``late_days`` after the panel starts)."""
@@ -30,12 +28,12 @@ def usable_dates(panel: DataFrame) -> DataFrame:
 
 
 def base_100(panel: DataFrame) -> DataFrame:
-    first = F.first("close", ignorenulls=True).over(TICKER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.first("close", ignorenulls=True).over(series("ticker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return panel.select("date", "ticker", (100 * ratio(F.col("close"), first)).alias("base100"))
 
 
 def rolling_volatility(panel: DataFrame, windows: tuple[int, ...] = (5, 21, 63), periods: int = 252) -> DataFrame:
-    return panel.select("date", "ticker", *[(rolling(F.stddev_samp, F.col("ret"), w, TICKER) * periods**0.5).alias(f"vol_{w}") for w in windows])
+    return panel.select("date", "ticker", *[(rolling(F.stddev_samp, F.col("ret"), w, series("ticker")) * periods**0.5).alias(f"vol_{w}") for w in windows])
 
 
 def return_correlations(panel: DataFrame) -> DataFrame:

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-BARS = T.StructType.fromDDL("ticker string, timestamp timestamp, open double, high double, low double, close double, volume long")
-MANIFEST = T.StructType.fromDDL("ticker string, timeframe string, adjustment string, source string, start timestamp, end timestamp, fetch_timestamp timestamp, schema_version int")
-CONSTITUENTS = T.StructType.fromDDL("ticker string, company string, sector string")
-RANKED_CONSTITUENTS = T.StructType.fromDDL("rank int, ticker string, company string, weight double, sector string, sub_industry string")
-LEDGER = T.StructType.fromDDL("ticker string, endpoint string, last_fetch date")
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from "name type, ...", without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(","))])
+
+
+BARS = _schema("ticker string, timestamp timestamp, open double, high double, low double, close double, volume long")
+MANIFEST = _schema("ticker string, timeframe string, adjustment string, source string, start timestamp, end timestamp, fetch_timestamp timestamp, schema_version int")
+CONSTITUENTS = _schema("ticker string, company string, sector string")
+RANKED_CONSTITUENTS = _schema("rank int, ticker string, company string, weight double, sector string, sub_industry string")
+LEDGER = _schema("ticker string, endpoint string, last_fetch date")
 
 SIDES, ORDER_TYPES = ("buy", "sell"), ("market", "limit")
 ORDER_STATUSES = ("new", "partially_filled", "filled", "cancelled", "rejected")
-BAR = T.StructType.fromDDL("symbol string, timestamp timestamp, open double, high double, low double, close double, volume long")
-SIGNAL = T.StructType.fromDDL("symbol string, timestamp timestamp, value double, name string")
-ORDER = T.StructType.fromDDL("order_id string, symbol string, side string, order_type string, quantity long, limit_price double, status string, created_at timestamp")
-FILL = T.StructType.fromDDL("order_id string, symbol string, side string, quantity long, price double, timestamp timestamp")
-POSITION = T.StructType.fromDDL("symbol string, quantity long, average_price double")
+BAR = _schema("symbol string, timestamp timestamp, open double, high double, low double, close double, volume long")
+SIGNAL = _schema("symbol string, timestamp timestamp, value double, name string")
+ORDER = _schema("order_id string, symbol string, side string, order_type string, quantity long, limit_price double, status string, created_at timestamp")
+FILL = _schema("order_id string, symbol string, side string, quantity long, price double, timestamp timestamp")
+POSITION = _schema("symbol string, quantity long, average_price double")
 
 TIMEFRAMES = ("1Min", "5Min", "15Min", "1Hour", "1Day")
 #: Name of an adjustment -> what a vendor calls it.
