@@ -326,3 +326,12 @@ def format_chats(lines: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFr
     turns = parse_lines(lines, chunk, fan)
     conv = F.when(F.startswith("conv", F.lit("k")), F.expr("substr(conv, 2)"))
     return turns.select(conv.alias("conv_id"), F.col("turn").cast("long"), "role", "n_lines", "text", render(F.col("role"), F.col("text")).alias("rendered"))
+
+
+#: What the export of a table of turns says, turn by turn: the query's rows wherever every turn has a marker of its
+#: role, no text looks like one, and the parse is right.
+SQL = r"""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, text,
+       '<|' || role || '|>' || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS rendered
+FROM conversations
+"""

@@ -190,3 +190,37 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "class_distance",
         "word_distance",
     )
+
+
+def oracle_sql() -> str:
+    """The registered query in DuckDB SQL; the references are made anew by one more round of common table expressions each."""
+    lists = " ".join("WHEN '{}' THEN [{}]".format(k, ", ".join(f"'{w}'" for w in ws)) for k, ws in COMMON_WORDS.items())
+    known = ", ".join(f"'{k}'" for k in COMMON_WORDS)
+    classes = ", ".join("length(regexp_replace(s, '[^{}]', '', 'g'))".format(p.strip("[]").replace("'", "''")) for p in CLASSES.values())
+    part = "CASE WHEN {a} > 0 THEN {a} * log2({a} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    js = f"sqrt(greatest(list_sum(list_transform(list_zip({{p}}, {{q}}), lambda z: {part.format(a='z[1]')} + {part.format(a='z[2]')})) / 2, 0))"
+    share = "list_transform({x}, lambda v: v / {n}::DOUBLE)"
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
+    k = max(map(len, COMMON_WORDS.values())) + 1
+    refs = f"SELECT lang, list_transform(c, lambda v: v / list_sum(c)::DOUBLE) AS c, CASE WHEN lang <> 'other' THEN list_transform(w, lambda v: v / list_sum(w)::DOUBLE) END AS w FROM (SELECT lang, {sums('cl', len(CLASSES) + 1)} AS c, {sums('co', k)} AS w FROM {{src}} GROUP BY lang)"
+    dist = f"SELECT b.*, CASE WHEN n_words >= {GUARD_WORDS} THEN {js.format(p=share.format(x='cl', n='word_chars'), q='r.c')} END AS class_distance, CASE WHEN n_words >= {GUARD_WORDS} AND r.w IS NOT NULL THEN {js.format(p=share.format(x='co', n='n_words'), q='r.w')} END AS word_distance FROM {{src}} b LEFT JOIN {{refs}} r USING (lang)"
+    near = f"coalesce(class_distance, 0) <= {MOST_CLASS_DISTANCE} AND coalesce(word_distance, 0) <= {MOST_WORD_DISTANCE}"
+    rounds, last = [f"refs0 AS ({refs.format(src='sound')})"], "refs0"
+    for i in range(REFITS):
+        rounds += [f"dist{i} AS ({dist.format(src='sound', refs=last)})", f"fit{i} AS ({refs.format(src=f'(SELECT * FROM dist{i} WHERE {near})')})"]
+        rounds.append(f"refs{i + 1} AS (SELECT o.lang, coalesce(f.c, o.c) AS c, CASE WHEN f.c IS NOT NULL THEN f.w ELSE o.w END AS w FROM {last} o LEFT JOIN fit{i} f USING (lang))")
+        last = f"refs{i + 1}"
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS lang, coalesce(text, '') AS s FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(s, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+win AS (SELECT rid, i AS p, ws[i:i + {WINDOW - 1}] AS k FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) u(i)),
+dup AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c >= 2),
+rep AS (SELECT rid, count(DISTINCT p + j) AS n FROM dup, range(0, {WINDOW}) r(j) GROUP BY rid),
+st AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(s, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+              [{classes}] AS c4, list_transform(CASE lang {lists} ELSE [] END, lambda c: len(list_filter(ws, lambda x: lower(x) = c))) AS h FROM w LEFT JOIN rep USING (rid)),
+base AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, list_concat(c4, [greatest(word_chars - list_sum(c4), 0)]) AS cl, list_concat(h, [n_words - coalesce(list_sum(h), 0)]) AS co FROM st),
+sound AS (SELECT * FROM base WHERE NOT base_failed),
+{", ".join(rounds)},
+final AS ({dist.format(src="base", refs=last)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {near} AS kept, round(class_distance, 9) AS class_distance, round(word_distance, 9) AS word_distance FROM final
+"""

@@ -44,7 +44,8 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    found = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op10_chat_format": chat.SQL}
