@@ -139,3 +139,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_sha
     )
     share = F.col("n_matched") / F.col("n_windows")
     return whole.where(share >= least_share).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_matched", share.alias("share"), "reparameterised")
+
+
+def oracle_sql(window: int = WINDOW, least_share: float = LEAST_SHARE) -> str:
+    """The registered query in DuckDB SQL, token by token; for tables whose ids are unique."""
+    units = ", ".join("'" + u + "'" for u in UNITS)
+    marks = "'" + MARKS.strip().replace("'", "''") + "'"
+    space = r"[\x20\x09-\x0D]"
+    ahead = ", ".join(f"lead({c}, {k}) OVER o AS {c}{k}" for k in range(1, window) for c in "tv")
+    key = " || chr(31) || ".join(["t", *(f"coalesce(t{k}, chr(30))" for k in range(1, window))])
+    values = "[v, " + ", ".join(f"v{k}" for k in range(1, window)) + "]"
+    literals = " + ".join(["(v IS NULL AND t IS NOT NULL)::INT", *(f"(v{k} IS NULL AND t{k} IS NOT NULL)::INT" for k in range(1, window))])
+    return f"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+ws AS (SELECT side, id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT side, id, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS l FROM src)),
+pv AS (SELECT *, lag(w) OVER (PARTITION BY side, id ORDER BY i) AS b, trim(w, {marks}) AS bare FROM ws),
+kd AS (SELECT side, id, i, lower(bare) AS low, CASE WHEN regexp_full_match(bare, '[-+$€£#]?\\p{{Nd}}[\\p{{Nd}}.,:/]*%?') THEN '<num>'
+         WHEN bare IN ({units}) AND regexp_matches(coalesce(b, ''), '\\p{{Nd}}[.,]?$') THEN '<unit>'
+         WHEN regexp_full_match(bare, '\\p{{Lu}}[\\p{{Ll}}''’-]+') AND regexp_matches(coalesce(b, '.'), '[^.!?:;|>"]$') THEN '<name>' END AS kind FROM pv WHERE bare <> ''),
+tk AS (SELECT side, id, row_number() OVER (PARTITION BY side, id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY side, id) AS n, coalesce(kind, low) AS t, CASE WHEN kind IS NOT NULL THEN low END AS v FROM kd),
+ah AS (SELECT *, {ahead} FROM tk WINDOW o AS (PARTITION BY side, id ORDER BY pos)),
+wi AS (SELECT side, id, pos, {key} AS k, {values} AS vs, {literals} AS lits FROM ah WHERE t{window - 1} IS NOT NULL OR (pos = 0 AND n < {window})),
+it AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_windows FROM (SELECT wi.*, least({window}, tk.n) AS size FROM wi JOIN tk ON wi.side = tk.side AND wi.id = tk.id AND wi.pos = tk.pos WHERE wi.side = 'i') WHERE lits >= least({LEAST_LITERALS}, size)),
+ma AS (SELECT d.id AS doc, i.id AS item, n_windows, d.pos - i.pos AS shift, i.pos AS at_, i.vs AS iv, d.vs AS dv FROM wi d JOIN it i ON d.k = i.k WHERE d.side = 'd'),
+sl AS (SELECT doc, item, shift, unnest(iv) AS a, unnest(dv) AS b FROM ma),
+sx AS (SELECT doc, item, shift, count(DISTINCT a) AS na, count(DISTINCT b) AS nb, count(DISTINCT (a, b)) AS np, bool_or(a <> b) AS changed FROM sl WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc, item, shift),
+ok AS (SELECT ma.*, coalesce(changed, false) AS changed FROM ma LEFT JOIN sx USING (doc, item, shift) WHERE np IS NULL OR (na = np AND nb = np)),
+wh AS (SELECT doc, item, max(n_windows) AS n_windows, count(DISTINCT at_) AS n_matched, bool_or(changed) AS reparameterised FROM ok GROUP BY doc, item)
+SELECT doc AS doc_id, item AS item_id, n_windows, n_matched, n_matched / n_windows AS share, reparameterised FROM wh WHERE n_matched / n_windows >= {least_share}
+"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op10_chat_format": chat.SQL}
+    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op9_decontamination": decontam.oracle_sql(), "op10_chat_format": chat.SQL}
