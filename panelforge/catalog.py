@@ -512,6 +512,37 @@ def flagship_metrics(p):
     return metrics.full_summary(research.with_benchmark(scaled(research.flagship(p)), p), ["factor"])
 
 
+GROUPS = {"kitchen_sink": ["momentum_26_4", "short_term_reversal_5", "low_volatility_21"], "barbell": ["momentum_26_4", "low_volatility_21"], "static_reversal": ["-momentum_26_4"]}
+_GROUPS = "gs AS (" + " UNION ALL ".join(f"SELECT '{g}' AS factor, date, rn, ticker, avg(CASE factor " + " ".join(f"WHEN '{m.removeprefix('-')}' THEN {'-z' if m[0] == '-' else 'z'}" for m in ms) + " END) AS value FROM zs WHERE factor IN (" + ", ".join(f"'{m.removeprefix('-')}'" for m in ms) + ") GROUP BY date, rn, ticker" for g, ms in GROUPS.items()) + ")"
+
+
+@on_panel(chain(q.SIG3, q.Z, _GROUPS, *q.backtest("gs", rebalance=5), select=_BT))
+def attribution(p):
+    return research.attribution(sig(p, 3), p, GROUPS)
+
+
+@on_panel(chain(select=f"SELECT date, ticker, {r('ret * ret', 'ret2')} FROM panel"))
+def squared_returns(p):
+    return research.squared_returns(p)
+
+
+@on_panel(chain(select=f"SELECT ticker, count(ret) AS n, {r('avg(ret)', 'mean')}, {r('stddev_samp(ret)', 'std')}, {r('min(ret)', 'min')}, {r('quantile_cont(ret, 0.25)', 'p25')}, {r('quantile_cont(ret, 0.5)', 'p50')}, {r('quantile_cont(ret, 0.75)', 'p75')}, {r('max(ret)', 'max')} FROM panel GROUP BY ticker"))
+def describe_returns(p):
+    return research.describe(p)
+
+
+@on_panel(chain(q.SIG3, q.forward(1), q.IC, q.Z, *_weighted(EWM, 3, 0.25), "fs AS (SELECT 'ewm' AS factor, date, rn, ticker, value FROM cb)", *q.backtest("fs", rebalance=5), select=f"SELECT factor, {r('product(1 + ret * 0.05::DOUBLE) - 1', 'total_return')} FROM bt GROUP BY factor"))
+def ewm_variant_return(p):
+    combined = combine.ICWeighted(shrinkage=0.25, use_ewm=True, halflife=26, name="ewm").combine(sig(p, 3), p)
+    return metrics.total_return(scaled(Backtest(10, 5).run(p, combined)), ["factor"])
+
+
+@on_panel()
+def weight_variants(p):
+    variants = {"flat": combine.ICWeighted(52, 0.25), "ewm_26": combine.ICWeighted(shrinkage=0.25, use_ewm=True, halflife=26), "ewm_52": combine.ICWeighted(shrinkage=0.25, use_ewm=True, halflife=52)}
+    return research.weight_variants(sig(p, 3), p, variants)
+
+
 # --- data layer ---------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from panelforge.functions.stats import ratio, rolling, safe_corr, sample_kurtosi
 from panelforge.operators import factors as fx
 from panelforge.operators import ic, metrics
 from panelforge.operators.backtest import Backtest
-from panelforge.operators.combine import ICWeighted
+from panelforge.operators.combine import ICWeighted, zscored
 from panelforge.sources.panel import forward_returns
 
 
@@ -156,3 +156,36 @@ def flagship(panel: DataFrame, momentum_window: int = 52, skip: int = 4, vol_win
     signals = fx.compute(panel, [fx.SectorNeutralMomentum(momentum_window, skip), fx.LowVol(vol_window)])
     combined = ICWeighted(shrinkage=0.0, use_ewm=True, halflife=halflife, name="flagship").combine(signals, panel)
     return Backtest(cost_bps, rebalance).run(panel, combined)
+
+
+def attribution(signals: DataFrame, panel: DataFrame, groups: dict[str, list[str]], rebalance: int = 5, cost_bps: float = 10.0) -> DataFrame:
+    """Daily returns by group of factors (as ``factor``), each group the mean of its z-scores; a leading minus turns a factor round.
+
+    One group of all factors is the kitchen sink, one of two opposite styles a
+    barbell, one of a reversed factor the static-reversal test.
+    """
+    rows = [F.struct(F.lit(g).alias("g"), F.lit(m.removeprefix("-")).alias("m"), F.lit(-1.0 if m.startswith("-") else 1.0).alias("s")) for g, ms in groups.items() for m in ms]
+    z = zscored(signals).select("factor", "date", "rn", "ticker", "z", F.inline(F.array(*rows))).where("factor = m")
+    mixed = z.groupBy("g", "date", "rn", "ticker").agg(F.avg(F.col("s") * F.col("z")).alias("value")).withColumnRenamed("g", "factor")
+    return Backtest(cost_bps, rebalance).run(panel, mixed)
+
+
+def squared_returns(panel: DataFrame) -> DataFrame:
+    """date, ticker, ret2: what volatility clusters show in."""
+    return panel.select("date", "ticker", (F.col("ret") * F.col("ret")).alias("ret2"))
+
+
+def describe(panel: DataFrame, column: str = "ret") -> DataFrame:
+    """ticker, n, mean, std, min, quartiles and max of a column."""
+    c = F.col(column)
+    quarter = [F.percentile(c, q).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)]
+    return panel.groupBy("ticker").agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quarter, F.max(c).alias("max"))
+
+
+def weight_variants(signals: DataFrame, panel: DataFrame, variants: dict[str, ICWeighted], rebalance: int = 5) -> DataFrame:
+    """factor (the variant) and total return of coefficient-weighted combinations."""
+    out = None
+    for name, how in variants.items():
+        got = Backtest(10.0, rebalance).run(panel, how.combine(signals, panel).withColumn("factor", F.lit(name)))
+        out = got if out is None else out.unionByName(got)
+    return metrics.total_return(out, ["factor"])

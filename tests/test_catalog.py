@@ -38,10 +38,11 @@ def test_against_oracle(spark, duck, name):
 def test_contract(spark):
     names = __spark_entry__.queries()
     assert set(catalog.queries()) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
-    assert set(catalog.queries()) - set(catalog.oracles()) == {"lasso_k3", "lasso_alpha_sweep"}
+    assert set(catalog.queries()) - set(catalog.oracles()) == {"lasso_k3", "lasso_alpha_sweep", "weight_variants"}
     assert __spark_entry__.entry(spark).count() > 0
 
 
 def test_rows_only_queries_have_rows(spark):
     assert catalog.queries()["lasso_k3"](spark, SF).where("value is not null").count() > 0
     assert catalog.queries()["lasso_alpha_sweep"](spark, SF).count() == 3
+    assert catalog.queries()["weight_variants"](spark, SF).count() == 3

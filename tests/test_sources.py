@@ -129,3 +129,17 @@ def test_queue_and_cycle(spark):
     assert dry.remaining == 5 and same is ledger
     tight, _ = fundamentals.run_cycle(spark, names, ledger, lambda t, e: 1, today, budget=2)
     assert (tight.fetched, tight.remaining) == (2, 3)
+
+
+def stub_fetcher(ticker, endpoint):
+    return 3
+
+
+def test_collector_from_the_command_line(spark, tmp_path):
+    from panelforge import collect
+
+    (tmp_path / "c.csv").write_text("ticker,company,sector\nA,One,Tech\nB,Two,Tech\n")
+    args = ["--constituents", str(tmp_path / "c.csv"), "--ledger", str(tmp_path / "ledger")]
+    assert collect.main([*args, "--dry-run"]).remaining == 6
+    assert collect.main([*args, "--fetcher", "tests.test_sources:stub_fetcher", "--budget", "4"]).fetched == 4
+    assert collect.main([*args, "--dry-run"]).remaining == 2
