@@ -52,6 +52,25 @@ def average_rank(x: Column, *keys: str) -> Column:
     return F.when(there, F.rank().over(group.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
+def whole_rank(df: DataFrame, x: str, *keys: str, blocks: int = 256) -> DataFrame:
+    """``df`` with ``rank``, the average rank of ``x`` within ``keys``, for groups too large for one task.
+
+    Approximate quantiles cut each group into blocks of neighbouring values; a
+    value's rank is its rank in its block after the blocks before it. Equal
+    values share a block, so the rank is exact. Rows with a null have none.
+    """
+    there = df.where(F.col(x).isNotNull())
+    cuts = there.groupBy(*keys).agg(F.percentile_approx(x, [k / blocks for k in range(1, blocks)], 10_000).alias("_cuts"))
+    # one row a group
+    cut = there.join(cuts, list(keys)) if keys else there.crossJoin(F.broadcast(cuts))
+    cut = cut.withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*keys, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = cut.join(starts, [*keys, "_block"])
+    return joined.withColumn("rank", F.col("_before") + average_rank(F.col(x), *keys, "_block")).drop("_block", "_before")
+
+
 def sample_skewness(x: Column, on: Callable[[Column], Column] = lambda c: c) -> Column:
     """Bias-corrected skewness; 0 for a constant, null for fewer than three values."""
     n = on(F.count(x)).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.stats import average_rank, ratio, safe_corr, series
+from panelforge.functions.stats import average_rank, ratio, safe_corr, series, whole_rank
 
 
 def autocorrelation(signal: DataFrame, max_lag: int = 20) -> DataFrame:
@@ -53,11 +53,11 @@ def natural_frequency(table: DataFrame, point: str = "point", se: str | None = "
 def pooled_spearman(signals: DataFrame) -> DataFrame:
     """factor_a, factor_b, corr over all cells in which every factor has a value.
 
-    Ranks are over a factor's whole table: one partition a factor.
+    Ranks are over a factor's whole table and made in blocks of values.
     """
     k = signals.select("factor").distinct().count()
     whole = signals.where("value is not null").withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("date", "ticker"))).where(F.col("_k") == k)
-    ranked = whole.select("factor", "date", "ticker", average_rank(F.col("value"), "factor").alias("r"))
+    ranked = whole_rank(whole.select("factor", "date", "ticker", "value"), "value", "factor").select("factor", "date", "ticker", F.col("rank").alias("r"))
     a = ranked.select("date", "ticker", F.col("factor").alias("factor_a"), F.col("r").alias("a"))
     b = ranked.select("date", "ticker", F.col("factor").alias("factor_b"), F.col("r").alias("b"))
     return a.join(b, ["date", "ticker"]).groupBy("factor_a", "factor_b").agg(safe_corr(F.col("a"), F.col("b")).alias("corr"))

@@ -100,3 +100,19 @@ def test_helpers(spark):
     assert [r.r for r in x.select("x", average_rank(F.col("x"), "k").alias("r")).orderBy(F.col("x").asc_nulls_first()).collect()] == [None, 1.5, 1.5, 3.0]
     assert x.agg(safe_corr(F.col("x"), F.lit(1.0)).alias("c")).first().c is None
     assert math.copysign(1, rounded(spark.createDataFrame([(-1e-9,)], "v double")).first().v) == 1
+
+
+def test_whole_rank_is_the_rank(spark):
+    import random
+
+    from panelforge.functions.stats import whole_rank
+
+    random.seed(8)
+    rows = [(random.choice("ab"), float(random.choice([random.randint(0, 40), 7, random.random()]))) for _ in range(600)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = df.select("k", "x", average_rank(F.col("x"), "k").alias("rank")).where("x is not null")
+    for blocks in (4, 256):
+        got = whole_rank(df, "x", "k", blocks=blocks)
+        assert sorted(map(tuple, got.select("k", "x", "rank").collect())) == sorted(map(tuple, want.collect()))
+    one = whole_rank(df, "x", blocks=8).collect()
+    assert sorted(r["rank"] for r in one)[-1] <= 600 and len(one) == 600
