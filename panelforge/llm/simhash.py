@@ -292,58 +292,3 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     named = skew_join(joined, least, "component").select("fp", "component_id")
     out = skew_join(stored, named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# --- confirmed duplicates -----------------------------------------------------------------------------------
-
-#: Words of a shingle, and the Jaccard similarity of the sets of them, that make a near duplicate.
-CONFIRM_WORDS = 5
-SIMILARITY = 0.8
-#: Bits that a near duplicate of that similarity rarely exceeds, and partitions to find it by.
-CONFIRM_DISTANCE = 8
-CONFIRM_PARTS = 3
-
-
-def shingle_set(text: str | None, words: int = CONFIRM_WORDS) -> np.ndarray:
-    """The distinct 32-bit hashes of a text's word shingles; of fewer words, the one of all of them."""
-    from xxhash import xxh32_intdigest
-
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split()
-    if not found:
-        return np.zeros(0, np.int32)
-    n = max(1, len(found) - words + 1)
-    return np.unique(np.array([xxh32_intdigest(b" ".join(found[i : i + words])) for i in range(n)], dtype=np.uint32)).view(np.int32)
-
-
-def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, distance: int = CONFIRM_DISTANCE, parts: int = CONFIRM_PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id of the rows that near-duplicate a row which isn't among them.
-
-    Groups at ``distance`` bits are candidates. The least id of a group stays;
-    members whose 5-word shingle set has at least ``similarity`` with its own
-    are duplicates of it; what is left of the group is judged anew by its least
-    id, until nothing is left. So no member is compared with more than the
-    documents that stay. Rows without an id, and groups of one, stay.
-    """
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    groups = checkpoint(near_duplicates(known, distance, parts=parts).select("doc_id", "component_id").distinct())
-    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = skew_join(groups, several, "component_id")
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "component_id", "s"])
-
-    joined = known.join(members, "doc_id").select("doc_id", "component_id", "text")
-    left = checkpoint(joined.mapInArrow(run, "doc_id long, component_id long, s array<int>"))
-    dropped = None
-    while left.take(1):
-        least = left.groupBy("component_id").agg(F.min("doc_id").alias("_id"), F.min_by("s", "doc_id").alias("_s"))
-        both = F.size(F.array_intersect("s", "_s"))
-        alike = both >= similarity * (F.size("s") + F.size("_s") - both)
-        judged = skew_join(left, least, "component_id").where("doc_id <> _id").select("doc_id", "component_id", "s", alike.alias("_alike"))
-        judged = checkpoint(judged)
-        got = judged.where("_alike").select("doc_id")
-        dropped = got if dropped is None else dropped.unionByName(got)
-        left = judged.where("not _alike").drop("_alike")
-    return dropped.distinct() if dropped is not None else known.select("doc_id").limit(0)
