@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.stats import ratio, zscore
 from panelforge.operators.ic import compute_ic
+from panelforge.session import for_workers
 from panelforge.sources.panel import forward_returns
 
 OUT = ("factor", "date", "rn", "ticker", "value")
@@ -100,7 +101,7 @@ class RollingLasso:
                 frame["coef"] = [_lasso(r, k, alpha, rounds, tolerance) for r in frame.to_dict("records")]
                 yield frame[["date", "rn", "coef"]]
 
-        return rolled.mapInPandas(solve, "date date, rn int, coef array<double>")
+        return for_workers(rolled).mapInPandas(solve, "date date, rn int, coef array<double>")
 
     @staticmethod
     def _wide(signals: DataFrame, names: list[str]) -> DataFrame:

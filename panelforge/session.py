@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def for_workers(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Python workers find this package wherever the driver was started."""
+    environment = df.sparkSession.sparkContext.environment
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH")]))
+    return df
 
 
 def get_session(app: str = "panelforge", cores: int | str | None = None, **conf: str) -> SparkSession:

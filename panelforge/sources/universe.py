@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.session import for_workers
 from panelforge.sources.schemas import CONSTITUENTS
 
 
@@ -81,7 +82,7 @@ def html_tables(pages: DataFrame, html_col: str = "html", must_have: str = "Symb
                     rows.append({k: row[k] for k in keep} | {"record": dict(zip(tables[0][0], cells, strict=False))})
             yield pd.DataFrame(rows, columns=[*keep, "record"])
 
-    return pages.mapInPandas(parse, schema)
+    return for_workers(pages).mapInPandas(parse, schema)
 
 
 def parse_weights(records: DataFrame) -> DataFrame:
