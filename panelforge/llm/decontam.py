@@ -17,7 +17,7 @@ and adaptive execution splits hot windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import SPACE_CLASS, checkpoint
@@ -84,12 +84,16 @@ def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
     hashed in generated code.
     """
     tokens = rows.select(key, canonical_tokens(F.coalesce(text, F.lit(""))).alias("_x"))
-    tokens = tokens.select(key, F.col("_x.t").alias("_t"), F.col("_x.v").alias("_v")).where(F.size("_t") > 0)
+    return _hashed(tokens.select(key, F.col("_x.t").alias("_t"), F.col("_x.v").alias("_v")).where(F.size("_t") > 0), [key], window)
+
+
+def _hashed(tokens: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """keys, _v, _n, pos, h of every window of rows with _t (tokens) and _v."""
     n = F.size("_t")
     shifted = [F.slice("_t", k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(window)]
-    each = tokens.select(key, "_v", n.alias("_n"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_z"))
+    each = tokens.select(*keys, "_v", n.alias("_n"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_z"))
     whole = F.col(f"_z.w{window - 1}").isNotNull() | ((F.col("pos") == 0) & (F.col("_n") < window))
-    return each.where(whole).select(key, "_v", "_n", "pos", F.xxhash64(*[F.col(f"_z.w{k}") for k in range(window)]).alias("h"))
+    return each.where(whole).select(*keys, "_v", "_n", "pos", F.xxhash64(*[F.col(f"_z.w{k}") for k in range(window)]).alias("h"))
 
 
 def _slots(window: int) -> Column:
@@ -141,6 +145,136 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_sha
     return whole.where(share >= least_share).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_matched", share.alias("share"), "reparameterised")
 
 
+# --- leaks beyond the template rule -------------------------------------------------------------------------
+
+#: Words of a run that is a leak whatever share of the item it is.
+RUN_WORDS = 13
+
+
+def plain_word(text: Column) -> Column:
+    """``text`` lower-cased, without punctuation and symbols."""
+    return F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]+", "")
+
+
+_TOKEN = "struct<place:int,t:string,v:string>"
+
+
+def _item_streams(items: DataFrame) -> DataFrame:
+    """item, kind, x (place: number of the word, t, v) of template tokens ('t') and, where they differ from those, plain words ('p')."""
+    worded = items.select("item", words_of(F.coalesce("_text", F.lit(""))).alias("_w")).select("item", "_w", template(F.col("_w")).alias("_t"))
+    shaped = F.transform("_t", lambda x, i: F.struct(i.alias("place"), x["t"].alias("t"), x["v"].alias("v")).cast(_TOKEN))
+    plain = F.transform("_w", lambda w, i: F.struct(i.alias("place"), plain_word(w).alias("t"), F.lit(None).cast("string").alias("v")).cast(_TOKEN))
+    both = worded.select("item", *[F.filter(c, lambda x: x["t"] != "").alias(k) for k, c in (("t", shaped), ("p", plain))])
+    stream = lambda k: F.struct(F.lit(k).alias("kind"), F.col(k).alias("x"))
+    each = F.when(F.col("t.t") == F.col("p.t"), F.array(stream("t"))).otherwise(F.array(stream("t"), stream("p")))
+    return both.select("item", F.explode(each).alias("_s")).select("item", "_s.kind", "_s.x")
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item, item_kind, item_pos, h, item_slots, rank (among the kind's windows), place, counts (towards the share) and n_windows."""
+    each = _item_streams(items).select("item", "kind", F.size("x").alias("_n"), "x", F.posexplode("x").alias("pos", "_x"))
+    each = each.select("item", "kind", "_n", "pos", F.col("_x.place").alias("place"), F.slice("x", F.col("pos") + 1, window).alias("_z"))
+    each = each.where((F.size("_z") == window) | ((F.col("pos") == 0) & (F.col("_n") < window) & (F.col("kind") == "t")))
+    each = each.select("item", "kind", "pos", "place", F.col("_z.v").alias("slots"), F.xxhash64(*[F.get("_z", F.lit(k))["t"] for k in range(window)]).alias("h"))
+    literals = F.size(F.filter("slots", lambda v: v.isNull()))
+    kept = each.where((F.col("kind") == "p") | (literals >= F.least(F.lit(LEAST_LITERALS), F.size("slots"))))
+    kept = kept.groupBy("item", "kind", "pos", "h").agg(F.first("slots").alias("slots"), F.min("place").alias("place"))
+    templates = F.count_if(F.col("kind") == "t")
+    sizes = kept.groupBy("item").agg(F.when(templates > 0, templates).otherwise(F.count(F.lit(1))).alias("n_windows"), F.collect_set(F.when(F.col("kind") == "t", F.col("place"))).alias("_places"))
+    ranked = kept.withColumn("rank", F.dense_rank().over(Window.partitionBy("item", "kind").orderBy("pos")))
+    counts = (F.size("_places") == 0) | F.array_contains("_places", F.col("place"))
+    return ranked.join(sizes, "item").select("item", F.col("kind").alias("item_kind"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "rank", "place", counts.alias("counts"), "n_windows")
+
+
+def _doc_streams(docs: DataFrame) -> DataFrame:
+    """doc, kind, _t, _v: a text's template tokens and, where they differ from those, its plain words."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    both = docs.select("doc", canonical_tokens(text).alias("_x"), F.array_remove(F.split(plain_word(text), SPACE_CLASS + "+"), "").alias("_p"))
+    shaped = F.struct(F.lit("t").alias("kind"), F.col("_x.t").alias("t"), F.col("_x.v").alias("v"))
+    plain = F.struct(F.lit("p").alias("kind"), F.col("_p").alias("t"), F.lit(None).cast("array<string>").alias("v"))
+    each = F.when(F.col("_x.t") == F.col("_p"), F.array(shaped)).otherwise(F.array(shaped, plain))
+    return both.select("doc", F.explode(each).alias("_s")).select("doc", "_s.kind", F.col("_s.t").alias("_t"), F.col("_s.v").alias("_v")).where(F.size("_t") > 0)
+
+
+def _short_leaks(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """doc, item of items of fewer than ``window`` words that a text holds word for word, by windows of their own length."""
+    words = lambda text: F.array_remove(F.split(plain_word(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+"), "")
+    short = items.where(F.size(F.filter(template(words_of(F.coalesce("_text", F.lit("")))), lambda x: x["t"] != "")) < window)
+    short = short.select("item", words(F.col("_text")).alias("_p")).where(F.size("_p").between(1, window - 1))
+    short = checkpoint(short.select("item", F.size("_p").alias("size"), F.xxhash64("_p").alias("h")).distinct())
+    sizes = [r["size"] for r in short.select("size").distinct().collect()]
+    if not sizes:
+        return docs.select("doc").limit(0).crossJoin(short.select("item").limit(0))
+    tokens = docs.select("doc", words(F.col("_text")).alias("_p"))
+    every = None
+    for size in sizes:
+        at = F.sequence(F.lit(1), F.size("_p") - size + 1)
+        hashes = F.transform(at, lambda k: F.xxhash64(F.slice("_p", k, size)))  # noqa: B023
+        own = tokens.where(F.size("_p") >= size).select("doc", F.explode(F.array_distinct(hashes)).alias("h")).withColumn("size", F.lit(size))
+        every = own if every is None else every.unionByName(own)
+    return every.join(short, ["h", "size"]).select("doc", "item").distinct()
+
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """What ``leaks`` finds, with the same figures, and the leaks that its rule passes over.
+
+    * Plain words, lower-cased and without marks, are matched as well as template
+      tokens, so copies in other cases or without punctuation are found, and so
+      are lists of numbers or names that are equal. Both count by place in the item.
+    * Windows that contradict the values most others give an item's slots on
+      their diagonal are dropped, not the diagonal; windows equal to the item's
+      always stay. Two slots may meet the same value.
+    * ``run_words`` words in a row on one diagonal are a leak whatever their share.
+    * An item shorter than a window is found word for word inside any text.
+    """
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("_text"))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
+    wanted = checkpoint(_item_windows(items, window))
+    found = _hashed(_doc_streams(own), ["doc", "kind"], window)
+    slots = _slots(window)
+    own_columns = ["doc", "kind", "item", "item_kind", "n_windows", "pos", "item_pos", "rank", "place", "counts", "item_slots"]
+    if wanted.count() <= broadcast_windows:
+        matched = found.join(F.broadcast(wanted), "h").select(*own_columns, slots.alias("slots"))
+    else:
+        matched = found.select("doc", "kind", "pos", "h", slots.alias("slots")).join(wanted, "h").select(*own_columns, "slots")
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"].isNotNull() & x["d"].isNotNull())
+    line = ["doc", "item", "kind", "item_kind", (F.col("pos") - F.col("item_pos")).alias("_shift")]
+    diagonal = matched.groupBy(*line).agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("item_pos", "rank", "place", "counts", pairs.alias("pairs"))).alias("_w"))
+    # how often each value of the document meets each value of the item, and the one that most windows give
+    diagonal = diagonal.withColumn("_p", F.flatten("_w.pairs"))
+    diagonal = diagonal.withColumn("_d", F.array_distinct("_p"))
+    tally = F.transform("_d", lambda x: F.struct(x["i"].alias("i"), F.size(F.filter("_p", lambda y: y == x)).alias("n"), (x["i"] == x["d"]).alias("same"), x["d"].alias("d")))
+    diagonal = diagonal.withColumn("_c", tally)
+    rank_of = lambda x: F.struct(x["n"], x["same"], x["d"])
+    best = F.filter("_c", lambda x: ~F.exists("_c", lambda y: (y["i"] == x["i"]) & (rank_of(y) > rank_of(x))))
+    diagonal = diagonal.withColumn("_best", F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))))
+    fits = lambda w: F.forall(w["pairs"], lambda q: q["i"] == q["d"]) | F.forall(w["pairs"], lambda q: F.array_contains("_best", q))
+    size = F.size("_d")
+    one_to_one = (F.size(F.array_distinct(F.col("_d.i"))) == size) & (F.size(F.array_distinct(F.col("_d.d"))) == size)
+    diagonal = diagonal.withColumn("_kept", F.filter("_w", fits)).withColumn("_sound", one_to_one & (F.col("kind") == "t") & (F.col("item_kind") == "t"))
+    ranks = F.sort_array(F.array_distinct("_kept.rank"))
+    least_run = run_words - window + 1
+    run = let(ranks, lambda r: F.exists(F.transform(r, lambda x, i: F.coalesce(F.get(r, i + least_run - 1) == x + least_run - 1, F.lit(False))), lambda x: x))
+    judged = diagonal.select(
+        "doc", "item", "n_windows", "_sound", F.when(F.col("_sound"), F.col("_w.item_pos")).alias("_strict"),
+        F.transform(F.filter("_kept", lambda w: w["counts"]), lambda w: w["place"]).alias("_places"), run.alias("_run"),
+        F.exists("_d", lambda x: x["i"] != x["d"]).alias("_strict_changed"), F.exists("_kept", lambda w: F.exists(w["pairs"], lambda q: q["i"] != q["d"])).alias("_changed"),
+    )
+    size_of = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    whole = judged.groupBy("doc", "item").agg(
+        F.max("n_windows").alias("n_windows"), size_of("_strict").alias("_n_strict"), size_of("_places").alias("_n_places"), F.max("_run").alias("_run"),
+        F.max(F.when(F.col("_sound"), F.col("_strict_changed"))).alias("_strict_changed"), F.max("_changed").alias("_changed"),
+    )
+    strict = F.col("_n_strict") / F.col("n_windows") >= least_share
+    whole = whole.where(strict | (F.col("_n_places") / F.col("n_windows") >= least_share) | F.col("_run"))
+    n = F.when(strict, F.col("_n_strict")).otherwise(F.col("_n_places"))
+    out = whole.select("doc", "item", "n_windows", n.alias("n_matched"), (n / F.col("n_windows")).alias("share"), F.when(strict, F.col("_strict_changed")).otherwise(F.col("_changed")).alias("reparameterised"))
+    short = _short_leaks(own, items, window).select("doc", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_matched"), F.lit(1.0).alias("share"), F.lit(False).alias("reparameterised"))
+    out = checkpoint(out)
+    out = out.unionByName(short.join(out.select("doc", "item"), ["doc", "item"], "left_anti"))
+    return out.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def oracle_sql(window: int = WINDOW, least_share: float = LEAST_SHARE) -> str:
     """The registered query in DuckDB SQL, token by token; for tables whose ids are unique."""
     units = ", ".join("'" + u + "'" for u in UNITS)
