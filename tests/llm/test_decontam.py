@@ -24,3 +24,9 @@ def test_all_leaks_keep_the_template_rows(spark):
     docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda df: {tuple(r) for r in df.collect()}
     assert rows(decontam.leaks(docs, benchmark)) == rows(decontam.all_leaks(docs, benchmark))
+
+
+def test_other_case_and_no_marks(spark):
+    bare = NAMED.replace(",", "").replace(";", "")
+    texts = [NAMED.upper(), NAMED.title(), bare.lower(), f"and so. {bare} and then", "nothing of it in here at all today"]
+    assert set(found(spark, texts, [NAMED])) == {(k, 0) for k in range(4)}
