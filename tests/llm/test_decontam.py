@@ -30,3 +30,17 @@ def test_other_case_and_no_marks(spark):
     bare = NAMED.replace(",", "").replace(";", "")
     texts = [NAMED.upper(), NAMED.title(), bare.lower(), f"and so. {bare} and then", "nothing of it in here at all today"]
     assert set(found(spark, texts, [NAMED])) == {(k, 0) for k in range(4)}
+
+
+def test_one_changed_slot_keeps_the_rest(spark):
+    torn = NAMED.replace("buys 12", "buys 13")
+    same = PAIR.replace("3 cows", "4 cows").replace("5 sheep", "4 sheep")
+    got = found(spark, [torn, same], [NAMED, PAIR])
+    assert set(got) == {(0, 0), (1, 1)}
+    assert got[1, 1].share == 1.0 and got[1, 1].reparameterised
+
+
+def test_windows_that_contradict_are_dropped(spark):
+    got = found(spark, [NAMED.replace("has 12", "has 13")], [NAMED])
+    # the three windows with 13 contradict the five with 12
+    assert got[0, 0].n_matched == got[0, 0].n_windows - 3
