@@ -1,5 +1,6 @@
 import pytest
 
+import corpus_pipeline
 from panelforge.llm import decontam
 
 LONG = "the quiet river bends past seven old mills before it meets the wide grey sea and turns slowly towards the northern harbour where boats wait"
@@ -44,3 +45,16 @@ def test_windows_that_contradict_are_dropped(spark):
     got = found(spark, [NAMED.replace("has 12", "has 13")], [NAMED])
     # the three windows with 13 contradict the five with 12
     assert got[0, 0].n_matched == got[0, 0].n_windows - 3
+
+
+def test_short_and_literal_free_items(spark):
+    items = ["a tiny item", "12 13 14 15 16 17", "1 2 3 4 5 6"]
+    texts = ["here is a tiny item among others", "numbers: 12 13 14 15 16 17 end", "21 22 23 24 25 26", "a tiny thing"]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 1)}
+
+
+def test_stage_judges_rows_without_id(spark, tmp_path):
+    spark.createDataFrame([(0, LONG)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"x {LONG}"), (None, "clean text"), (None, None), (1, LONG), (2, "clean text")], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert kept == {(None, "clean text"), (None, None), (2, "clean text")}
