@@ -63,15 +63,46 @@ def canonical(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), path_of(url), rest))
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with the HTML entities that URLs hold decoded; &amp; last, so that nothing is decoded twice."""
+    for entity, mark in ((r"&(?:quot|#0*34|#x0*22);", '"'), (r"&(?:apos|#0*39|#x0*27);", "'"), (r"&(?:#0*47|#x0*2f|sol);", "/"), (r"&(?:amp|#0*38|#x0*26);", "&")):
+        text = F.regexp_replace(text, "(?i)" + entity, mark)
+    return text
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as a whole URL, as a browser on the page ``base`` takes it (RFC 3986); null if it leads to no page."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    path = F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base))
+    tail = F.regexp_extract(target, r"(?s)([?#].*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    joined = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_replace(path, r"(?s)[^/]*$", ""), own))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.substring(joined, 2, 2**31 - 1), "/", -1)
+    # a last . or .. names a folder
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    flat = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    query = F.when(F.startswith(tail, F.lit("?")), tail).otherwise(F.concat(F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1), tail))
+    relative = F.when(own == "", F.concat(root, path, query)).otherwise(F.concat(root, flat, tail))
+    whole = F.when(F.startswith(target, F.lit("//")), F.concat(scheme, target)).when(root != "", relative)
+    return F.when(F.regexp_like(target, F.lit(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://")), target).when(~F.regexp_like(target, F.lit(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:")), whole)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src and dst (canonical URLs) of the canonical links and immediate refreshes that pages declare."""
-    html = F.col(html_col)
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    hop = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+    """src and dst (canonical URLs) of all canonical links and immediate refreshes that pages declare; targets may be relative."""
+    html, low = F.col(html_col), F.lower(html_col)
+    links = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
+    hops = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""), 1)
     # most pages declare neither; contains() spares them the expressions
-    hints = F.contains(html, F.lit("canonical")) | F.contains(html, F.lit("refresh")) | F.contains(html, F.lit("REFRESH")) | F.contains(html, F.lit("Refresh"))
-    targets = pages.where(hints).select(canonical(F.col(url_col)).alias("src"), F.explode(F.array(link, hop)).alias("to"))
-    return targets.where("to <> ''").select("src", canonical(F.col("to")).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    hints = F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))
+    targets = pages.where(hints).select(F.col(url_col).alias("base"), F.explode(F.concat(links, hops)).alias("to"))
+    ends = targets.where("to <> ''").select(canonical(F.col("base")).alias("src"), canonical(resolved(decoded(F.col("to")), F.col("base"))).alias("dst"))
+    return ends.where("src is not null and dst is not null and src <> dst")
 
 
 def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
