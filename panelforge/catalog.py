@@ -581,6 +581,42 @@ def sector_map(spark, sf_dir):
     return universe.sector_map(c, ["1", "2", "3", "5", "8"], "c_custkey")
 
 
+# the same three over all rows: two deliveries that overlap and together hold every row, and every ticker
+
+
+@on_tables("""
+WITH b AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS "timestamp", value, event_id FROM events),
+o AS (SELECT ticker, "timestamp", max(event_id) AS event_id FROM b WHERE event_id % 3 IS DISTINCT FROM 0 GROUP BY 1, 2), n AS (SELECT ticker, "timestamp", max(event_id) AS event_id FROM b WHERE event_id % 3 IS DISTINCT FROM 1 GROUP BY 1, 2),
+u AS (SELECT *, 0 AS p FROM o UNION ALL SELECT *, 1 FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, "timestamp" ORDER BY p DESC) AS i FROM u)
+SELECT ticker, "timestamp", event_id, p AS part FROM k WHERE i = 1""")
+def bars_upsert_all(spark, sf_dir):
+    """Two overlapping deliveries of bars that together hold every event; the later one wins."""
+    b = _event_bars(spark, sf_dir)
+    one = lambda but, k: b.where(~(F.col("event_id") % 3).eqNullSafe(F.lit(but))).groupBy("ticker", "timestamp").agg(F.max("event_id").alias("event_id")).withColumn("part", F.lit(k))
+    return store.merge_bars([one(0, 0), one(1, 1)])
+
+
+@on_tables("""
+WITH w AS (SELECT translate(upper(trim(replace(c_name, '#', '-'))), '-/', '..') AS ticker, c_name AS company, c_acctbal AS weight FROM customer WHERE c_custkey % 3 IS DISTINCT FROM 0),
+s AS (SELECT translate(upper(trim(replace(c_name, '#', '/'))), '-/', '..') AS ticker, c_mktsegment AS sector FROM customer WHERE c_custkey % 3 IS DISTINCT FROM 1)
+SELECT coalesce(w.ticker, s.ticker) AS ticker, company, weight, sector, CASE WHEN w.ticker IS NOT NULL AND s.ticker IS NOT NULL THEN 'both' WHEN w.ticker IS NOT NULL THEN 'weights' ELSE 'sectors' END AS found
+FROM w FULL JOIN s ON w.ticker = s.ticker""")
+def constituent_merge_all(spark, sf_dir):
+    """Weights and sectors that overlap and together hold every customer."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    but = lambda k: c.where(~(F.col("c_custkey") % 3).eqNullSafe(F.lit(k)))
+    weights = but(0).select(F.replace("c_name", F.lit("#"), F.lit("-")).alias("ticker"), F.col("c_name").alias("company"), F.col("c_acctbal").alias("weight"))
+    sectors = but(1).select(F.replace("c_name", F.lit("#"), F.lit("/")).alias("ticker"), F.col("c_mktsegment").alias("sector"))
+    return universe.merge_constituents(weights, sectors).select("ticker", "company", "weight", "sector", "found")
+
+
+@on_tables("SELECT c_nationkey::VARCHAR AS ticker, arg_max(c_mktsegment, c_custkey) AS sector FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1")
+def sector_map_all(spark, sf_dir):
+    """The sector of every ticker."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("ticker"), F.lit("x").alias("company"), F.col("c_mktsegment").alias("sector"), "c_custkey")
+    return universe.sector_map(c, order="c_custkey")
+
+
 @on_tables("SELECT s_name AS name, translate(upper(trim(s_name)), '-/', '..') AS ticker FROM supplier")
 def ticker_normalise(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), universe.normal_ticker(F.col("s_name")).alias("ticker"))
