@@ -45,25 +45,37 @@ BUCKET = 65_536
 # --- fingerprints -------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a whole text as an unsigned integer; 0 without words."""
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a whole text, A to Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of at least one word; of fewer words than a shingle has, the one of all of them."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes) - 1
     n = max(1, len(words) - shingle + 1)
     starts, stops = (ends - sizes + 1)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``."""
+    ones, n = np.zeros(BITS, dtype=np.int64), len(hashes)
     for at in range(0, n, 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a whole text as an unsigned integer; 0 without words."""
+    words = split_words(text)
+    return majority_bits(shingle_hashes(words, shingle, seed)) if words else 0
+
+
 _LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -128,6 +140,11 @@ def ball_rows(width: int, threshold: int) -> int:
 
 def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -> list[int]:
     """Thresholds (-1: the partition isn't probed) that sum to distance - parts + 1, by dynamic programming on estimated rows and candidates."""
+    return _cheapest(n, both, groups, distance)[1]
+
+
+def _cheapest(n: int, both: np.ndarray, groups: list[list[int]], distance: int, row_cost: float = 1.0) -> tuple[float, list[int]]:
+    """The least cost of thresholds, and these; a probe's row costs as much as ``row_cost`` comparisons."""
     p = np.diag(both) / max(n, 1)
     costs = []
     for group in groups:
@@ -137,7 +154,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -
             dist = np.convolve(dist, [1 - q, q])
         row = {-1: 0.0}
         for e in range(min(distance, len(group)) + 1):
-            row[e] = n * ball_rows(len(group), e) + 0.5 * n * n * float(dist[: e + 1].sum())
+            row[e] = row_cost * n * ball_rows(len(group), e) + 0.5 * n * n * float(dist[: e + 1].sum())
         costs.append(row)
     best = {0: (0.0, [])}
     for row in costs:
@@ -147,7 +164,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int) -
                 if total + e not in step or cost + c < step[total + e][0]:
                     step[total + e] = (cost + c, [*picks, e])
         best = step
-    return best[distance - len(groups) + 1][1]
+    return best[distance - len(groups) + 1]
 
 
 # --- probe and verify ---------------------------------------------------------------------------------------
@@ -169,9 +186,9 @@ def _entries(part: int, group: list[int], threshold: int) -> Column:
 
 
 def probes(values: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """part, value, fp: each fingerprint in the buckets of its balls."""
+    """part, value and the columns of ``values``: each fingerprint in the buckets of its balls."""
     found = [_entries(k, group, e) for k, (group, e) in enumerate(zip(groups, thresholds, strict=True)) if e >= 0]
-    return values.select("fp", F.explode(F.concat(*found)).alias("x")).select("x.part", "x.value", "fp")
+    return values.select("*", F.explode(F.concat(*found)).alias("x")).select("x.part", "x.value", *values.columns)
 
 
 def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,8 +283,9 @@ def links(values: DataFrame, distance: int = DISTANCE, parts: int = PARTS, bucke
     n, both = bit_statistics(for_workers(values))
     groups = group_bits(n, both, parts)
     thresholds = allocate(n, both, groups, distance)
-    dealt = probes(values, groups, thresholds)
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out before they multiply: adaptive execution would put the few rows into a task or two
+    dealt = probes(values.repartition(tasks), groups, thresholds)
     dealt = dealt.repartition(tasks, "part", "value").sortWithinPartitions("part", "value")
     found = checkpoint(dealt.mapInArrow(lambda batches: _verify(batches, distance, bucket), "src long, dst long").distinct())
     out = found.where("dst is not null")
@@ -292,3 +310,335 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     named = skew_join(joined, least, "component").select("fp", "component_id")
     out = skew_join(stored, named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies confirmed on shingles ----------------------------------------------------------------------
+
+#: Words of a shingle, and the Jaccard similarity of the sets of them, that make a near duplicate.
+CONFIRM_WORDS = 5
+SIMILARITY = 0.8
+#: Bits in the search for them, by SimHashes of the distinct words and the word pairs, of which a replaced word spoils
+#: few where it spoils five longer shingles. Over 0.8 they differ by 4 or 5 bits at the median, and by over 10 in 3 of 1000.
+CANDIDATE_DISTANCE = 10
+#: Candidates differ by no more bits in the SimHash of the confirming shingles. At 0.8 its mean is 10, its deviation 3.
+FINE_DISTANCE = 24
+#: What the row of a probe costs, in comparisons.
+ROW_COST = 200.0
+#: Links a member that a crowded bucket emits, the nearest ones; the rest is left to ``crowd_links``.
+NEAREST = 4
+#: Members of a block of a crowd.
+BLOCK = 512
+
+
+def shingle_set(text: str | None, words: int = CONFIRM_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    found = split_words(text)
+    return np.unique(shingle_hashes(found, words)) if found else np.zeros(0, "<u8")
+
+
+def wide_fingerprint(words: list[bytes]) -> int:
+    """The SimHash of a text's distinct words and of its word pairs; 0 without words."""
+    return majority_bits(np.concatenate([np.unique(shingle_hashes(words, 1)), shingle_hashes(words, 2)])) if words else 0
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (for the search), fine (of the confirming shingles) and key (128 bits of the set of these) of doc_id, text."""
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                words = split_words(text.as_py())
+                if not words:
+                    rows.append((0, 0, xxh3_128_digest(b"")))
+                    continue
+                hashes = shingle_hashes(words, CONFIRM_WORDS)
+                rows.append((wide_fingerprint(words), majority_bits(hashes), xxh3_128_digest(np.unique(hashes).tobytes())))
+            fp, fine, key = zip(*rows, strict=True) if rows else ((), (), ())
+            bits = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fp, fine)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *bits, pa.array(key, pa.binary())], ["doc_id", "fp", "fine", "key"])
+
+    return for_workers(docs).mapInArrow(run, "doc_id long, fp long, fine long, key binary")
+
+
+def plan_search(n: int, both: np.ndarray, distance: int) -> tuple[list[list[int]], list[int]]:
+    """The number of partitions, with their bits and thresholds, that is cheapest for ``n`` fingerprints."""
+    options = []
+    for parts in range(2, 6):
+        groups = group_bits(n, both, parts)
+        options.append((*_cheapest(n, both, groups, distance, ROW_COST), groups))
+    _, thresholds, groups = min(options, key=lambda o: o[0])
+    return groups, thresholds
+
+
+def _near(fp: np.ndarray, fine: np.ndarray, a, b, distance: int) -> np.ndarray:
+    return (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (np.bitwise_count(fine[a] ^ fine[b]) <= FINE_DISTANCE)
+
+
+def _forest(fp: np.ndarray, fine: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ends of a spanning forest of the near pairs, breadth first."""
+    a, b, rest, front = [], [], np.arange(1, len(fp)), [0]
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
+            continue
+        x = front.pop()
+        near = _near(fp, fine, x, rest, distance)
+        got = rest[near]
+        a.append(np.full(len(got), x))
+        b.append(got)
+        front.extend(got.tolist())
+        rest = rest[~near]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int = NEAREST, leaders: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of near pairs of a bucket, and of the members of pairs that were left out.
+
+    All pairs, unless there are over ``nearest`` a member: then each member's
+    nearest ones and a spanning forest of all. With ``leaders``, members are
+    compared with the first so many only, and all count as left out.
+    """
+    m = len(fp)
+    top = m if leaders is None else min(leaders, m)
+    later, earlier, crowded, out = [], [], leaders is not None, [np.zeros(0, np.int64)]
+    fine_of = lambda r, c: np.bitwise_count(fine[r] ^ fine[c])
+
+    def trim(r, c):
+        order = np.lexsort((fine_of(r, c), r))
+        r, c = r[order], c[order]
+        start = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1] if len(r) else np.zeros(0, np.int64)
+        place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+        far = place >= nearest
+        out.append(np.unique(np.r_[r[far], c[far]]))
+        return r[~far], c[~far]
+
+    step, total = max(1, 2_000_000 // max(top, 1)), 0
+    for at in range(0, m, step):
+        rows = np.arange(at, min(at + step, m))
+        r, c = np.nonzero(_near(fp, fine, rows[:, None], np.arange(min(top, rows[-1] + 1))[None, :], distance))
+        r = r + at
+        r, c = r[c < r], c[c < r]
+        total += len(r)
+        if not crowded and total > nearest * m:
+            crowded = True
+            before = trim(np.concatenate([*later, r]), np.concatenate([*earlier, c]))
+            later, earlier = [before[0]], [before[1]]
+            continue
+        if crowded:
+            r, c = trim(r, c)
+        later.append(r)
+        earlier.append(c)
+    if crowded:
+        a, b = _forest(fp[:top], fine[:top], distance)
+        later.append(b)
+        earlier.append(a)
+    if leaders is not None:
+        out.append(np.arange(m))
+    return np.concatenate(later), np.concatenate(earlier), np.unique(np.concatenate(out))
+
+
+def _candidates(batches, distance: int, bucket: int, nearest: int):
+    """src, dst, tie of rows of part, value, id, fp, fine sorted by part and value.
+
+    Candidate pairs; where dst is null, a member of left-out pairs; where tie is
+    true, members of one bucket too large to hold, whatever their distance.
+    """
+    names = ["part", "value", "id", "fp", "fine"]
+    held = None
+    first = None  # of a bucket that is too large to hold: its first members
+
+    def batch_of(src, dst, tie):
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(np.full(len(src), tie))], ["src", "dst", "tie"])
+
+    def emit(ids, later, earlier, out):
+        yield batch_of(ids[later], ids[earlier], False)
+        if len(out):
+            yield batch_of(ids[out], pa.nulls(len(out), pa.int64()), False)
+
+    def whole(rows):
+        """Pairs of complete buckets."""
+        part, value, ids, fp, fine = rows
+        fp, fine = fp.view(np.uint64), fine.view(np.uint64)
+        new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (value[1:] != value[:-1])])
+        size = np.diff(np.r_[new, len(fp)])
+        two = new[size == 2]
+        two = two[_near(fp, fine, two, two + 1, distance)]
+        later, earlier, out = [two + 1], [two], [np.zeros(0, np.int64)]
+        for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            r, c, o = bucket_pairs(fp[at : at + n], fine[at : at + n], distance, nearest)
+            if len(r):
+                later.append(r + at)
+                earlier.append(c + at)
+                out.append(o + at)
+        yield from emit(ids, np.concatenate(later), np.concatenate(earlier), np.concatenate(out))
+
+    def more(rows):
+        """Pairs of further members of a large bucket with its first ones."""
+        n = len(first[2])
+        both = [np.concatenate([f, x]) for f, x in zip(first, rows, strict=True)]
+        r, c, o = bucket_pairs(both[3].view(np.uint64), both[4].view(np.uint64), distance, nearest, leaders=n)
+        new = r >= n
+        yield from emit(both[2], r[new], c[new], o[o >= n])
+        yield batch_of(rows[2], np.full(len(rows[2]), first[2][0]), True)
+
+    for batch in batches:
+        rows = [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            held = None
+        if first is not None and len(rows[0]):
+            same = int(((rows[0] == first[0][0]) & (rows[1] == first[1][0])).sum())  # rows are sorted, so these come first
+            if same:
+                yield from more([x[:same] for x in rows])
+            rows = [x[same:] for x in rows]
+            if len(rows[0]):
+                first = None
+        if not len(rows[0]):
+            continue
+        part, value = rows[:2]
+        last = int(np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (value[1:] != value[:-1])])[-1])
+        if last:
+            yield from whole([x[:last] for x in rows])
+        held = [x[last:] for x in rows]
+        if len(held[0]) > bucket:
+            r, c, o = bucket_pairs(held[3].view(np.uint64), held[4].view(np.uint64), distance, nearest, leaders=len(held[0]))
+            yield from emit(held[2], r, c, o)
+            yield batch_of(held[2][1:], np.full(len(held[2]) - 1, held[2][0]), True)
+            first, held = [x[:bucket] for x in held], None
+    if held is not None:
+        yield from whole(held)
+
+
+def candidate_pairs(nodes: DataFrame, distance: int = CANDIDATE_DISTANCE, bucket: int = BUCKET, nearest: int = NEAREST) -> DataFrame:
+    """src, dst, tie: pairs of ``nodes`` (id, fp, fine) within ``distance`` bits; with a null dst, the ids that take part in pairs left out; with tie, what holds a crowd together."""
+    groups, thresholds = plan_search(*bit_statistics(for_workers(nodes)), distance)
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = probes(nodes.select("id", "fp", "fine").repartition(tasks), groups, thresholds)
+    dealt = dealt.repartition(tasks, "part", "value").sortWithinPartitions("part", "value", "id")
+    return checkpoint(dealt.mapInArrow(lambda batches: _candidates(batches, distance, bucket, nearest), "src long, dst long, tie boolean").where("dst is null or src <> dst").distinct())
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``: products of incidence matrices, ``width`` elements at a time."""
+    vocabulary = np.intersect1d(*[np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (left, right)])
+    found = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        at = np.searchsorted(vocabulary, flat)
+        known = at < len(vocabulary)
+        known[known] = vocabulary[at[known]] == flat[known]
+        order = np.argsort(at[known], kind="stable")
+        placed.append((at[known][order], row[known][order]))
+    for low in range(0, len(vocabulary), width):
+        parts = []
+        for (at, row), sets in zip(placed, (left, right), strict=True):
+            a, b = np.searchsorted(at, [low, low + width])
+            x = np.zeros((len(sets), width), np.float32)
+            x[row[a:b], at[a:b] - low] = 1
+            parts.append(x)
+        found += parts[0] @ parts[1].T
+    return found
+
+
+def _block_links(table: pa.Table, distance: int, similarity: float) -> pa.Table:
+    """Links between members of different components, of the two blocks of a group or within its one: at most one fewer than there are components."""
+    left, right = (table.filter(pa.compute.equal(table["side"], k)) for k in (0, 1))
+    if not right.num_rows:
+        right = left
+    column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+    sets = [[np.asarray(s, np.int64) for s in t["s"].combine_chunks().to_numpy(zero_copy_only=False)] for t in (left, right)]
+    both = intersections(*sets)
+    size = [np.array([len(s) for s in x], np.float32) for x in sets]
+    union = size[0][:, None] + size[1][None, :] - both
+    (fp, fine, comp, ids) = ([column(t, c) for t in (left, right)] for c in ("fp", "fine", "component", "id"))
+    bits = lambda x: np.bitwise_count(x[0].view(np.uint64)[:, None] ^ x[1].view(np.uint64)[None, :])
+    ok = (both >= similarity * union) & (comp[0][:, None] != comp[1][None, :]) & (bits(fp) <= distance) & (bits(fine) <= FINE_DISTANCE)
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    src, dst = [], []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        a, b = find(int(comp[0][i])), find(int(comp[1][j]))
+        if a != b:
+            root[a] = b
+            src.append(int(ids[0][i]))
+            dst.append(int(ids[1][j]))
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+
+def crowd_links(members: DataFrame, distance: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """src, dst that join the components of each crowd wherever two members of different ones are alike.
+
+    ``members``: crowd, component, id, fp, fine, s. Blocks of members are held
+    against one another, save blocks of one and the same component. So the work
+    is the product of a crowd's size and its members outside its large
+    components; a task holds two blocks.
+    """
+    sizes = members.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("_n"))
+    # small components share blocks
+    dealt = sizes.withColumn("_own", F.when(F.col("_n") >= block, F.col("component")))
+    blocks = dealt.groupBy("crowd", "_own").agg(F.ceil(F.sum("_n") / block).alias("_blocks"))
+    dealt = dealt.join(blocks.withColumnsRenamed({"crowd": "_c", "_own": "_o"}), F.expr("crowd = _c and _own <=> _o")).select("crowd", "component", "_own", "_blocks")
+    placed = members.join(dealt, ["crowd", "component"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    listed = blocks.select("crowd", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    name = F.concat_ws(":", F.coalesce(F.col("_own").cast("string"), F.lit("")), F.col("_block").cast("string"))
+    listed = listed.select("crowd", "_own", name.alias("a"))
+    pairs = listed.join(listed.withColumnsRenamed({"_own": "_o", "a": "b"}), "crowd").where("a < b and not coalesce(_own = _o, false) or a = b and _own is null")
+    sides = pairs.select("crowd", "a", "b", F.explode(F.array(F.struct(F.col("a").alias("name"), F.lit(0).alias("side")), F.struct(F.col("b").alias("name"), F.lit(1).alias("side")))).alias("x"))
+    sides = sides.select("crowd", "a", "b", "x.name", "x.side").where("side = 0 or a <> b")
+    rows = placed.withColumn("name", name).join(sides, ["crowd", "name"]).select("crowd", "a", "b", "side", "id", "component", "fp", "fine", "s")
+    return for_workers(rows).groupBy("crowd", "a", "b").applyInArrow(lambda t: _block_links(t, distance, similarity), "src long, dst long")
+
+
+def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, distance: int = CANDIDATE_DISTANCE, bucket: int = BUCKET, nearest: int = NEAREST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id of all rows of each group of near duplicates but the least.
+
+    Two texts are linked if their sets of 5-word shingles are equal, or if
+    SimHashes of their words and word pairs differ in at most ``distance`` bits
+    and the sets have a Jaccard similarity of at least ``similarity``. Groups are the
+    components of these links and of no others. Equal sets are collapsed first.
+    Rows that share an id are one document, of the greater set. Texts without
+    words are equal. Rows without an id, and groups of one, aren't returned; an
+    empty table gives an empty one.
+    """
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    stored = checkpoint(sketches(known))
+    nodes = stored.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(F.struct("fp", "fine")).alias("x")).select("key", "id", "x.fp", "x.fine")
+    found = candidate_pairs(nodes, distance, bucket, nearest)
+    pairs = found.where("dst is not null and not tie").select("src", "dst")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    wanted = found.select(F.explode(F.array("src", "dst")).alias("doc_id")).where("doc_id is not null").distinct()
+    sets = checkpoint(for_workers(known.join(wanted, "doc_id", "left_semi")).mapInArrow(run, "id long, s array<long>").groupBy("id").agg(F.max("s").alias("s")))
+    named = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"_{end}"))
+    both = F.size(F.array_intersect("_src", "_dst"))
+    alike = both >= similarity * (F.size("_src") + F.size("_dst") - both)
+    confirmed = skew_join(skew_join(pairs, named("src"), "src"), named("dst"), "dst").where(alike).select("src", "dst")
+    rows = skew_join(stored.select("doc_id", "key"), nodes.select("key", "id"), "key").select("doc_id", "id")
+    shared = rows.groupBy("doc_id").agg(F.min("id").alias("dst"), F.max("id").alias("_most")).where("dst <> _most").select("doc_id", "dst")
+    confirmed = checkpoint(confirmed.unionByName(rows.join(shared, "doc_id").where("id <> dst").select(F.col("id").alias("src"), "dst")))
+    groups = connected_components(confirmed)
+    crowd = found.where("dst is null").select(F.col("src").alias("id"))
+    if crowd.take(1):
+        near = connected_components(found.select("src", "dst")).select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+        members = skew_join(skew_join(crowd, near, "id"), sets, "id")
+        members = skew_join(members, groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = checkpoint(skew_join(members, nodes.select("id", "fp", "fine"), "id"))
+        groups = connected_components(confirmed.unionByName(crowd_links(members, distance, similarity, block)))
+    least = skew_join(rows, groups.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    return least.where("doc_id <> component").select("doc_id").distinct()
