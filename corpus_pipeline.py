@@ -27,9 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group. Rows that share an id are one document; rows without one stay."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each group of near duplicates, as confirmed on 5-word shingles at 0.8. Rows that share an id are one document; rows without one stay."""
+    return docs.join(simhash.confirmed_duplicates(docs), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
