@@ -325,7 +325,7 @@ FINE_DISTANCE = 24
 #: What the row of a probe costs, in comparisons.
 ROW_COST = 200.0
 #: Links a member that a crowded bucket emits, the nearest ones; the rest is left to ``crowd_links``.
-NEAREST = 4
+NEAREST = 2
 #: Members of a block of a crowd.
 BLOCK = 512
 
@@ -395,12 +395,12 @@ def _forest(fp: np.ndarray, fine: np.ndarray, distance: int) -> tuple[np.ndarray
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int = NEAREST, leaders: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of near pairs of a bucket, and of the members of pairs that were left out.
+def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int = NEAREST, leaders: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of near pairs of a bucket, of a spanning forest (later, earlier) and of the members of pairs that were left out.
 
-    All pairs, unless there are over ``nearest`` a member: then each member's
-    nearest ones and a spanning forest of all. With ``leaders``, members are
-    compared with the first so many only, and all count as left out.
+    All pairs and no forest, unless there are over ``nearest`` pairs a member:
+    then each member's nearest ones. With ``leaders``, members are compared with
+    the first so many only, all count as left out and are tied to the first.
     """
     m = len(fp)
     top = m if leaders is None else min(leaders, m)
@@ -432,32 +432,29 @@ def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int =
             r, c = trim(r, c)
         later.append(r)
         earlier.append(c)
-    if crowded:
-        a, b = _forest(fp[:top], fine[:top], distance)
-        later.append(b)
-        earlier.append(a)
+    empty = np.zeros(0, np.int64)
+    tied, to = (empty, empty)
     if leaders is not None:
-        out.append(np.arange(m))
-    return np.concatenate(later), np.concatenate(earlier), np.unique(np.concatenate(out))
+        out, tied, to = [np.arange(m)], np.arange(1, m), np.zeros(m - 1, np.int64)
+    elif crowded:
+        to, tied = _forest(fp, fine, distance)
+    return np.concatenate(later), np.concatenate(earlier), tied, to, np.unique(np.concatenate(out))
 
 
 def _candidates(batches, distance: int, bucket: int, nearest: int):
     """src, dst, tie of rows of part, value, id, fp, fine sorted by part and value.
 
     Candidate pairs; where dst is null, a member of left-out pairs; where tie is
-    true, members of one bucket too large to hold, whatever their distance.
+    true, what holds such members of one bucket together.
     """
     names = ["part", "value", "id", "fp", "fine"]
     held = None
     first = None  # of a bucket that is too large to hold: its first members
 
-    def batch_of(src, dst, tie):
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(np.full(len(src), tie))], ["src", "dst", "tie"])
-
-    def emit(ids, later, earlier, out):
-        yield batch_of(ids[later], ids[earlier], False)
-        if len(out):
-            yield batch_of(ids[out], pa.nulls(len(out), pa.int64()), False)
+    def emit(ids, later, earlier, tied, to, out):
+        for src, dst, tie in ((ids[later], ids[earlier], False), (ids[tied], ids[to], True), (ids[out], pa.nulls(len(out), pa.int64()), False)):
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(np.full(len(src), tie))], ["src", "dst", "tie"])
 
     def whole(rows):
         """Pairs of complete buckets."""
@@ -467,23 +464,20 @@ def _candidates(batches, distance: int, bucket: int, nearest: int):
         size = np.diff(np.r_[new, len(fp)])
         two = new[size == 2]
         two = two[_near(fp, fine, two, two + 1, distance)]
-        later, earlier, out = [two + 1], [two], [np.zeros(0, np.int64)]
+        empty = np.zeros(0, np.int64)
+        found = [(two + 1, two, empty, empty, empty)]
         for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            r, c, o = bucket_pairs(fp[at : at + n], fine[at : at + n], distance, nearest)
-            if len(r):
-                later.append(r + at)
-                earlier.append(c + at)
-                out.append(o + at)
-        yield from emit(ids, np.concatenate(later), np.concatenate(earlier), np.concatenate(out))
-
-    def more(rows):
-        """Pairs of further members of a large bucket with its first ones."""
-        n = len(first[2])
-        both = [np.concatenate([f, x]) for f, x in zip(first, rows, strict=True)]
-        r, c, o = bucket_pairs(both[3].view(np.uint64), both[4].view(np.uint64), distance, nearest, leaders=n)
-        new = r >= n
-        yield from emit(both[2], r[new], c[new], o[o >= n])
-        yield batch_of(rows[2], np.full(len(rows[2]), first[2][0]), True)
+            got = bucket_pairs(fp[at : at + n], fine[at : at + n], distance, nearest)
+            if len(got[0]):
+                found.append(tuple(x + at for x in got))
+        yield from emit(ids, *map(np.concatenate, zip(*found, strict=True)))
+
+    def large(before, rows):
+        """Pairs of members of a large bucket with ``before``, its first ones."""
+        n, both = len(before[2]), [np.concatenate(x) for x in zip(before, rows, strict=True)]
+        got = bucket_pairs(both[3].view(np.uint64), both[4].view(np.uint64), distance, nearest, leaders=n)
+        start = n if len(rows[2]) else 0
+        yield from emit(both[2], *(x[k >= start] for x, k in zip(got, (got[0], got[0], got[2], got[2], got[4]), strict=True)))
 
     for batch in batches:
         rows = [batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in names]
@@ -493,7 +487,7 @@ def _candidates(batches, distance: int, bucket: int, nearest: int):
         if first is not None and len(rows[0]):
             same = int(((rows[0] == first[0][0]) & (rows[1] == first[1][0])).sum())  # rows are sorted, so these come first
             if same:
-                yield from more([x[:same] for x in rows])
+                yield from large(first, [x[:same] for x in rows])
             rows = [x[same:] for x in rows]
             if len(rows[0]):
                 first = None
@@ -505,9 +499,7 @@ def _candidates(batches, distance: int, bucket: int, nearest: int):
             yield from whole([x[:last] for x in rows])
         held = [x[last:] for x in rows]
         if len(held[0]) > bucket:
-            r, c, o = bucket_pairs(held[3].view(np.uint64), held[4].view(np.uint64), distance, nearest, leaders=len(held[0]))
-            yield from emit(held[2], r, c, o)
-            yield batch_of(held[2][1:], np.full(len(held[2]) - 1, held[2][0]), True)
+            yield from large(held, [x[:0] for x in held])
             first, held = [x[:bucket] for x in held], None
     if held is not None:
         yield from whole(held)
@@ -548,7 +540,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 def _block_links(table: pa.Table, distance: int, similarity: float) -> pa.Table:
     """Links between members of different components, of the two blocks of a group or within its one: at most one fewer than there are components."""
-    left, right = (table.filter(pa.compute.equal(table["side"], k)) for k in (0, 1))
+    from pyarrow import compute
+
+    left, right = (table.filter(compute.equal(table["side"], k)) for k in (0, 1))
     if not right.num_rows:
         right = left
     column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
@@ -635,7 +629,7 @@ def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, distan
     groups = connected_components(confirmed)
     crowd = found.where("dst is null").select(F.col("src").alias("id"))
     if crowd.take(1):
-        near = connected_components(found.select("src", "dst")).select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+        near = connected_components(found.where("tie")).select(F.col("node").alias("id"), F.col("component").alias("crowd"))
         members = skew_join(skew_join(crowd, near, "id"), sets, "id")
         members = skew_join(members, groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = checkpoint(skew_join(members, nodes.select("id", "fp", "fine"), "id"))
