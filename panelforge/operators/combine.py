@@ -31,6 +31,33 @@ class EqualWeight:
         return zscored(signals).groupBy("date", "rn", "ticker").agg(F.avg("z").alias("value")).select(F.lit(self.name).alias("factor"), *OUT[1:])
 
 
+#: Half-lives of a block: its weights stay below 2 ** 64.
+BLOCK = 64
+
+
+def ewm_mean(series: DataFrame, value: str, halflife: float) -> DataFrame:
+    """``series`` (factor, rn) with ewm, the mean so far with weights 0.5 ** (age / halflife); a null counts as age only.
+
+    Weights are taken from the origin of a block of rows, and blocks before come
+    in by their sums, scaled by their age: no weight overflows, however long the
+    series is. Where ``value`` is null the last mean stands.
+    """
+    half = F.lit(float(halflife))
+    length = F.lit(max(1, int(BLOCK * halflife)))
+    x = series.withColumn("_block", F.floor(F.col("rn") / length))
+    up = F.when(F.col(value).isNotNull(), F.pow(F.lit(2.0), (F.col("rn") - F.col("_block") * length) / half))
+    x = x.withColumns({"_n": F.col(value) * up, "_d": up})
+    run = Window.partitionBy("factor", "_block").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("factor").orderBy("rn")
+    x = x.withColumns({"_n": F.coalesce(F.sum("_n").over(run), F.lit(0.0)), "_d": F.coalesce(F.sum("_d").over(run), F.lit(0.0))})
+    # the last row of a block has its sums; a null isn't collected
+    x = x.withColumn("_end", F.when(F.lead("_block").over(whole) > F.col("_block"), F.struct("_block", "_n", "_d")))
+    x = x.withColumn("_past", F.collect_list("_end").over(whole.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = lambda c: F.aggregate("_past", F.col(c), lambda acc, b: acc + b[c] * F.pow(F.lit(2.0), (b["_block"] - F.col("_block")) * length / half))
+    x = x.withColumn("_at", F.when(F.col(value).isNotNull(), carried("_n") / carried("_d")))
+    return x.withColumn("ewm", F.last("_at", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))).select(*series.columns, "ewm")
+
+
 @dataclass
 class ICWeighted:
     """z-scores weighted by each factor's past one-row coefficient: a rolling or an exponentially weighted mean, one row late, shrunk toward equal weights."""
@@ -40,21 +67,20 @@ class ICWeighted:
     use_ewm: bool = False
     halflife: int = 126
     name: str = "ic_weighted"
+    #: How many factors there are; counted if it isn't given.
+    factors: int | None = None
 
     def weights(self, signals: DataFrame, panel: DataFrame) -> DataFrame:
         """factor, date, rn, weight; absolute weights of a date sum to 1 over the factors that have one."""
         ic = compute_ic(signals, forward_returns(panel, [1])).select("factor", "date", "rn", "ic")
         w = Window.partitionBy("factor").orderBy("rn")
         if self.use_ewm:
-            # weights 2 ** (age / halflife) relative to a moving origin, by two running sums
-            up = F.pow(F.lit(2.0), F.col("rn") / F.lit(float(self.halflife)))
-            run = w.rowsBetween(Window.unboundedPreceding, 0)
-            mean = ratio(F.sum(F.col("ic") * up).over(run), F.sum(F.when(F.col("ic").isNotNull(), up)).over(run))
+            means = ewm_mean(ic, "ic", self.halflife).withColumnRenamed("ewm", "mean")
         else:
             run = w.rowsBetween(-(self.lookback - 1), 0)
-            mean = F.when(F.count("ic").over(run) == self.lookback, F.avg("ic").over(run))
-        past = ic.withColumn("mean", mean).withColumn("past", F.lag("mean").over(w))
-        k = F.lit(float(signals.select("factor").distinct().count()))
+            means = ic.withColumn("mean", F.when(F.count("ic").over(run) == self.lookback, F.avg("ic").over(run)))
+        past = means.withColumn("past", F.lag("mean").over(w))
+        k = F.lit(float(self.factors or signals.select("factor").distinct().count()))
         raw = past.withColumn("raw", (1 - self.shrinkage) * F.col("past") + self.shrinkage / k)
         gross = F.sum(F.abs("raw")).over(Window.partitionBy("date"))
         return raw.select("factor", "date", "rn", ratio(F.col("raw"), F.nullif(gross, F.lit(0.0))).alias("weight"))

@@ -7,6 +7,8 @@ horizons are columns, so all of them are one job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,38 +99,61 @@ def summary(ic: DataFrame, with_newey_west: bool = True) -> DataFrame:
     return out
 
 
-def block_bootstrap(ic: DataFrame, block: int | Column | None = None, replicates: int = 10_000, confidence: float = 0.95, seed: int = 42, statistic: str = "mean") -> DataFrame:
+def _over_values(statistic: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A statistic as a function of an array column."""
+    if callable(statistic):
+        return statistic
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    std = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean(v)) * (x - mean(v))) / F.nullif(F.size(v) - 1, F.lit(0)))
+    middle = lambda v: (F.get(F.sort_array(v), F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(F.sort_array(v), F.floor(F.size(v) / 2).cast("int"))) / 2
+    return {"mean": mean, "median": middle, "std": std, "sharpe": lambda v: mean(v) / F.nullif(std(v), F.lit(0.0)) * 252**0.5}[statistic]
+
+
+def block_bootstrap(ic: DataFrame, block: int | Column | None = None, replicates: int = 10_000, confidence: float = 0.95, seed: int = 42, statistic: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """ci_lower, ci_upper, se_bootstrap by factor and horizon from a moving-block bootstrap.
 
     Blocks start anywhere, end with the series and are laid end to end until
-    they fill it. For the mean, prefix sums make a block one subtraction. The
-    starts come from a linear congruential generator, so any engine can replay
-    them. ``statistic``: mean, median or std; the last two lay out every value.
+    they fill it. The starts come from a linear congruential generator, so any
+    engine can replay them. ``statistic``: mean, median, std, sharpe (by 252
+    rows a year), or any function from an array column to a column.
+
+    A series has one value a date, so it is one array: the coefficients are read
+    once, and a replicate is one pass over its blocks, without a join. For the
+    mean, prefix sums make a block one subtraction.
     """
-    x = numbered(ic)
-    size = x.groupBy(*KEYS).agg(F.max("n").alias("n")).where("n >= 2")
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ic"))), lambda s: s["ic"])
+    series = numbered(ic).groupBy(*KEYS).agg(values.alias("v")).where("size(v) >= 2").withColumn("n", F.size("v").cast("long"))
     asked = F.ceil(F.cbrt(F.col("n").cast("double")) - 1e-9) if block is None else block if isinstance(block, Column) else F.lit(block)
-    size = size.withColumn("b", F.least(F.greatest(asked.cast("long"), F.lit(1).cast("long")), F.col("n")))
-    spark = ic.sparkSession
-    draws = size.withColumn("blocks", F.ceil(F.col("n") / F.col("b")) * 4 + 50).crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
-    draws = draws.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("blk"))
-    state = (F.lit(seed) + F.col("rep") * 7919 + F.col("blk") * 104729) % LCG_M
-    for _ in range(3):
-        state = (state * LCG_A + LCG_C) % LCG_M
-    draws = draws.withColumn("start", F.call_function("div", state * F.col("n"), F.lit(LCG_M))).withColumn("len", F.least("b", F.col("n") - F.col("start")))
-    laid = Window.partitionBy(*KEYS, "rep").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
-    draws = draws.withColumn("filled", F.sum("len").over(laid) - F.col("len")).where("filled < n").withColumn("len", F.least("len", F.col("n") - F.col("filled")))
+    series = series.withColumn("b", F.least(F.greatest(asked.cast("long"), F.lit(1).cast("long")), F.col("n")))
+    if statistic == "mean":
+        rising = F.aggregate("v", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        series = series.withColumn("v", rising)
+    # the replicates are dealt over the tasks; the series are a value a date, factor and horizon, and go to each
+    draws = ic.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(series))
+
+    def start(blk: Column) -> Column:
+        state = (F.lit(seed) + F.col("rep") * 7919 + blk * 104729) % LCG_M
+        for _ in range(3):
+            state = (state * LCG_A + LCG_C) % LCG_M
+        return F.call_function("div", state * F.col("n"), F.lit(LCG_M))
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b")) * 4 + 49)
+    if statistic == "mean":
+        nothing, of = F.lit(0.0), lambda acc, s, size: acc + F.get("v", (s + size).cast("int")) - F.get("v", s.cast("int"))
+    else:
+        nothing, of = F.array().cast("array<array<double>>"), lambda acc, s, size: F.concat(acc, F.array(F.slice("v", (s + 1).cast("int"), size.cast("int"))))
+
+    def lay(a: Column, blk: Column) -> Column:
+        """One more block, unless the series is full; the start is worked out once and only then."""
+        size = lambda s: F.least(F.col("b"), F.col("n") - s, F.col("n") - a["filled"])
+        more = F.transform(F.array(start(blk)), lambda s: F.struct((a["filled"] + size(s)).alias("filled"), of(a["acc"], s, size(s)).alias("acc")))
+        return F.when(a["filled"] < F.col("n"), F.get(more, F.lit(0))).otherwise(a)
+
+    laid = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("filled"), nothing.alias("acc")), lay)["acc"]
     if statistic == "mean":
-        before = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        sums = x.select(*KEYS, F.col("pos").cast("long").alias("pos"), F.sum("ic").over(before).alias("p"))
-        sums = sums.unionByName(size.select(*KEYS, F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("p")))
-        ends = draws.withColumn("stop", F.col("start") + F.col("len"))
-        a, b = sums.withColumnsRenamed({"pos": "start", "p": "p0"}), sums.withColumnsRenamed({"pos": "stop", "p": "p1"})
-        value = ends.join(F.broadcast(a), [*KEYS, "start"]).join(F.broadcast(b), [*KEYS, "stop"]).groupBy(*KEYS, "rep").agg((F.sum(F.col("p1") - F.col("p0")) / F.max("n")).alias("s"))
+        value = draws.select(*KEYS, (laid / F.col("n")).alias("s"))
     else:
-        how = {"median": lambda c: F.percentile(c, 0.5), "std": F.stddev_samp}[statistic]
-        every = draws.select(*KEYS, "rep", F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("len"))).alias("pos"))
-        value = every.join(x.select(*KEYS, "pos", "ic"), [*KEYS, "pos"]).groupBy(*KEYS, "rep").agg(how("ic").alias("s"))
+        value = draws.select(*KEYS, F.flatten(laid).alias("laid")).select(*KEYS, _over_values(statistic)(F.col("laid")).alias("s"))
     tail = (1 - confidence) / 2
     return value.groupBy(*KEYS).agg(F.percentile("s", tail).alias("ci_lower"), F.percentile("s", 1 - tail).alias("ci_upper"), F.stddev_samp("s").alias("se_bootstrap"))
 

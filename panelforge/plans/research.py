@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def with_benchmark(returns: DataFrame, panel: DataFrame) -> DataFrame:
 def flagship(panel: DataFrame, momentum_window: int = 52, skip: int = 4, vol_window: int = 21, halflife: int = 26, rebalance: int = 31, cost_bps: float = 10.0) -> DataFrame:
     """Daily returns of the frozen signal: sector-neutral momentum and low volatility, weighted by their exponentially weighted coefficients."""
     signals = fx.compute(panel, [fx.SectorNeutralMomentum(momentum_window, skip), fx.LowVol(vol_window)])
-    combined = ICWeighted(shrinkage=0.0, use_ewm=True, halflife=halflife, name="flagship").combine(signals, panel)
+    combined = ICWeighted(shrinkage=0.0, use_ewm=True, halflife=halflife, name="flagship", factors=2).combine(signals, panel)
     return Backtest(cost_bps, rebalance).run(panel, combined)
 
 
@@ -183,9 +185,6 @@ def describe(panel: DataFrame, column: str = "ret") -> DataFrame:
 
 
 def weight_variants(signals: DataFrame, panel: DataFrame, variants: dict[str, ICWeighted], rebalance: int = 5) -> DataFrame:
-    """factor (the variant) and total return of coefficient-weighted combinations."""
-    out = None
-    for name, how in variants.items():
-        got = Backtest(10.0, rebalance).run(panel, how.combine(signals, panel).withColumn("factor", F.lit(name)))
-        out = got if out is None else out.unionByName(got)
-    return metrics.total_return(out, ["factor"])
+    """factor (the variant) and total return of coefficient-weighted combinations, all in one back-test."""
+    combined = [how.combine(signals, panel).withColumn("factor", F.lit(name)) for name, how in variants.items()]
+    return metrics.total_return(Backtest(10.0, rebalance).run(panel, reduce(DataFrame.unionByName, combined)), ["factor"])

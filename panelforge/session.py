@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -21,23 +22,37 @@ def for_workers(df: DataFrame) -> DataFrame:
 def get_session(app: str = "panelforge", cores: int | str | None = None, **conf: str) -> SparkSession:
     """A session pinned to UTC with adaptive execution on.
 
-    ``cores`` only matters where no master is configured (tests, bench). On a
-    cluster the submitted configuration wins because ``getOrCreate`` keeps it.
+    ``conf`` is always set. The other settings, ``cores`` among them, are
+    defaults: what was submitted with the application stands.
     """
     n = cores or os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.appName(app)
-        .master(f"local[{n}]")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(n))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-    )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    defaults = {
+        "spark.master": f"local[{n}]",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "8g",
+    }
+    builder = SparkSession.builder.appName(app)
+    for key, value in (unset(defaults, submitted()) | {k.replace("__", "."): v for k, v in conf.items()}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def submitted() -> dict[str, str]:
+    """The settings that spark-submit gave the driver; none where Python was started by itself."""
+    return dict(SparkConf().getAll()) if "PYSPARK_GATEWAY_PORT" in os.environ else {}
+
+
+#: Only for drivers that start their own Spark: a cluster's own values of these are never replaced.
+LOCAL_ONLY = ("spark.master", "spark.sql.shuffle.partitions", "spark.driver.memory", "spark.ui.enabled", "spark.ui.showConsoleProgress")
+
+
+def unset(defaults: dict[str, str], given: dict[str, str]) -> dict[str, str]:
+    """``defaults`` without what was given, and without local settings where anything was."""
+    return {k: v for k, v in defaults.items() if k not in given and not (given and k in LOCAL_ONLY)}

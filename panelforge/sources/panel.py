@@ -69,7 +69,7 @@ def trade_bars(spark: SparkSession, sf_dir: str, bucket: str = "week") -> DataFr
     owner = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     # l_quantity is cast at once so that both sums aggregate on the map side
     lines = read("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"))
-    rows = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     unit = F.round(ratio(F.col("value").cast("double"), F.col("qty").cast("double")), 6)
     first = F.struct("at", "l_orderkey", "l_linenumber")
     return rows.groupBy(F.to_date(F.date_trunc(bucket, "at")).alias("date"), "ticker", "sector").agg(
