@@ -23,15 +23,25 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and cut off from its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    where none is set (tests, local runs) a temporary folder is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
+    local session without one gets a temporary folder; on a cluster that is an
+    error, as each executor would write to a disk of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark) -> str:
+    """The shared folder, set on the context if it wasn't."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
 #: Rows of a batch that goes to a Python worker: texts of a few kilobytes make a few megabytes.
 BATCH_ROWS = 1_000
 
@@ -164,10 +174,7 @@ def shared_folder(spark, name: str) -> str:
     """A new path below the shared checkpoint folder. Nothing is created."""
     from uuid import uuid4
 
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def remove_folder(spark, path: str) -> None:
