@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import default_tokenizer_path, for_workers, tokenizer
+from panelforge.llm.common import checkpoint, default_tokenizer_path, for_workers, tokenizer
 
 #: Lengths whose suffix sums are made in one task.
 BLOCK = 1024
@@ -44,7 +44,8 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", block: int =
     so no task sees more than ``block`` lengths or one row a block.
     """
     counts = lengths.groupBy(F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / block).alias("_block"))
+    # a row a length, read by both levels: cut, or every text would be encoded twice
+    counts = checkpoint(counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / block).alias("_block")))
     inside = Window.partitionBy("_block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum("n_tokens").alias("_tokens"))
