@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import for_workers
+from panelforge.llm.common import checkpoint, for_workers
 
 SHARDS = 8
 SEED = 20_240_607
@@ -25,6 +25,8 @@ SEED = 20_240_607
 BUCKET_BYTES = 64 << 20
 #: Least number of buckets, so that small inputs use every core too.
 LEAST_BUCKETS = 48
+#: Records with one and the same key that a bucket takes whole.
+CROWD = 10_000
 
 
 def _size(text: Column) -> Column:
@@ -76,8 +78,20 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_b
 
 
 def _shuffled(records: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int) -> DataFrame:
-    """``records`` with _position, their place in the shuffled corpus."""
-    dealt = scatter(for_workers(records), keys, buckets, seed)
+    """``records`` with _position, their place in the shuffled corpus.
+
+    Records with a key that over ``CROWD`` records share would all meet in one
+    bucket. They are dealt by a row number, which is cut from its lineage so
+    that it stays the same.
+    """
+    key = F.xxhash64(F.lit(seed), *keys)
+    crowds = records.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select("_key", F.lit(True).alias("_crowd"))
+    if crowds.take(1):
+        numbered = records.withColumn("_key", key).join(crowds, "_key", "left").withColumn("_row", F.monotonically_increasing_id())
+        salted = F.when(F.col("_crowd"), F.xxhash64("_key", "_row")).otherwise(F.col("_key"))
+        dealt = checkpoint(for_workers(numbered.withColumn("_bucket", F.pmod(salted, F.lit(buckets)).cast("int")).drop("_key", "_crowd", "_row")))
+    else:
+        dealt = scatter(for_workers(records), keys, buckets, seed)
     counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # one row a bucket: a bucket holds a fixed share of memory, so this stays small
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
