@@ -11,8 +11,11 @@ shrunk toward the global rate, and each path's, shrunk toward its host's; sparse
 sites keep close to the prior. A document's log-odds are its evidence plus its
 path's shift from the global rate, made without the document itself.
 
-Scale: texts are read twice and never shuffled; sites are aggregated map-side.
-The model is a few thousand numbers.
+How many rows a prior weighs as much as comes from the data too: the variance of
+probabilities within sites over that between them, for hosts and for paths.
+
+Scale: texts are read twice and never shuffled, and scored once; sites are
+aggregated map-side. The model is a few thousand numbers.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from panelforge.llm.components import skew_join
 SAMPLE = 20_000
 #: Features of the lexicon at most, best evidence first.
 LEXICON = 4_000
-#: Rows that a site's prior weighs as much as.
+#: Rows that a site's prior weighs as much as, where the sites are too few to estimate it.
 HOST_WEIGHT = 50.0
 PATH_WEIGHT = 20.0
+#: Bounds of the estimate: sites that don't differ at all would give an infinite one.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
 #: Sites (about 100 bytes each) up to which their table is broadcast.
 BROADCAST_SITES = 200_000
 #: Reject where the posterior of the good class is lower, or that of the toxic class higher.
@@ -193,22 +198,60 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _weight(within: float, freedom: float, between: float, sites: float, spread: float, default: float) -> float:
+    """Rows that a prior weighs as much as: the variance within sites over that between them, by the method of moments.
+
+    ``within`` and ``between`` are sums of squares, ``spread`` what a unit of
+    variance between sites adds to the latter beyond the former's share.
+    """
+    if freedom <= 0 or sites <= 0 or spread <= 0 or within <= 0:
+        return default
+    variance = within / freedom
+    excess = (between - sites * variance) / spread
+    return min(max(variance / excess, LEAST_WEIGHT), MOST_WEIGHT) if excess > 0 else MOST_WEIGHT
+
+
 def site_sums(scored: DataFrame) -> DataFrame:
-    """_host, _path, and the rows and summed probabilities of the path, its host and all documents."""
-    sums = [F.count(F.lit(1)).alias("_path_n"), F.sum(_sigmoid(F.col("_q"))).alias("_path_q"), F.sum(_sigmoid(F.col("_t"))).alias("_path_t")]
+    """_host, _path, and the rows and summed probabilities of the path, its host and all documents.
+
+    Beside them _host_k and _path_k of either class: how many rows the prior of
+    a host and of a path weighs as much as, estimated from how much sites differ.
+    """
+    rows = {"q": _sigmoid(F.col("_q")), "t": _sigmoid(F.col("_t"))}
+    sums = [F.count(F.lit(1)).alias("_path_n")]
+    sums += [x for c, p in rows.items() for x in (F.sum(p).alias(f"_path_{c}"), F.sum(p * p).alias(f"_path_{c}{c}"))]
     paths = checkpoint(scored.groupBy("_host", "_path").agg(*sums))
-    hosts = paths.groupBy(F.col("_host").alias("_h")).agg(*[F.sum(f"_path_{c}").alias(f"_host_{c}") for c in "nqt"])
-    total = paths.agg(*[F.coalesce(F.sum(f"_path_{c}"), F.lit(0)).alias(c) for c in "nqt"]).first()
-    joined = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    return joined.select("*", *[F.lit(float(total[c])).alias(f"_all_{c}") for c in "nqt"])
+    hosts = paths.groupBy(F.col("_host").alias("_h")).agg(*[F.sum(f"_path_{c}").alias(f"_host_{c}") for c in ("n", "q", "t", "qq", "tt")], F.count(F.lit(1)).alias("_paths"), F.sum(F.col("_path_n") * F.col("_path_n")).alias("_path_nn"))
+    hosts = checkpoint(hosts)
+    joined = paths.join(hosts.select("_h", "_host_n", "_host_q", "_host_t"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    off = lambda c: F.sum(F.col("_path_n") * (F.col(f"_path_{c}") / F.col("_path_n") - F.col(f"_host_{c}") / F.col("_host_n")) ** 2)
+    lone = lambda level, c: F.sum(F.col(f"_{level}_{c}{c}") - F.col(f"_{level}_{c}") ** 2 / F.col(f"_{level}_n"))
+    some = joined.agg(*[x for c in rows for x in (off(c).alias(f"off_{c}"), lone("path", c).alias(f"lone_{c}"))]).first()
+    total = hosts.agg(
+        *[F.coalesce(F.sum(f"_host_{c}"), F.lit(0)).alias(c) for c in ("n", *rows)],
+        *[x for c in rows for x in (lone("host", c).alias(f"lone_{c}"), F.sum(F.col(f"_host_{c}") ** 2 / F.col("_host_n")).alias(f"square_{c}"))],
+        F.count(F.lit(1)).alias("hosts"),
+        F.coalesce(F.sum("_paths"), F.lit(0)).alias("paths"),
+        F.sum(F.col("_host_n") * F.col("_host_n")).alias("nn"),
+        F.sum(F.col("_path_nn") / F.col("_host_n")).alias("inner"),
+    ).first()
+    known = []
+    for c in rows:
+        n, h, p = total["n"], total["hosts"], total["paths"]
+        apart = total[f"square_{c}"] - total[c] ** 2 / n if n else 0.0
+        host = _weight(total[f"lone_{c}"] or 0.0, n - h, apart, h - 1, n - total["nn"] / n if n else 0.0, HOST_WEIGHT)
+        path = _weight(some[f"lone_{c}"] or 0.0, n - p, some[f"off_{c}"] or 0.0, p - h, n - (total["inner"] or 0.0), PATH_WEIGHT)
+        known += [F.lit(host).alias(f"_host_k{c}"), F.lit(path).alias(f"_path_k{c}")]
+    return joined.drop("_path_qq", "_path_tt").select("*", *[F.lit(float(total[c])).alias(f"_all_{c}") for c in ("n", *rows)], *known)
 
 
 def posterior(which: str) -> Column:
     """The class's log-odds with the path's prior in place of the global one; the document itself is taken out of its site's sums."""
     own = _sigmoid(F.col(f"_{which}"))
     overall = F.try_divide(F.col(f"_all_{which}"), F.col("_all_n"))
-    host = (F.col(f"_host_{which}") - own + HOST_WEIGHT * overall) / (F.col("_host_n") - 1 + HOST_WEIGHT)
-    path = (F.col(f"_path_{which}") - own + PATH_WEIGHT * host) / (F.col("_path_n") - 1 + PATH_WEIGHT)
+    of_host, of_path = F.col(f"_host_k{which}"), F.col(f"_path_k{which}")
+    host = (F.col(f"_host_{which}") - own + of_host * overall) / (F.col("_host_n") - 1 + of_host)
+    path = (F.col(f"_path_{which}") - own + of_path * host) / (F.col("_path_n") - 1 + of_path)
     return F.col(f"_{which}") + _logit(path) - _logit(overall)
 
 
@@ -225,9 +268,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     path = F.col("lang") if path is None else path
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     site = F.xxhash64(F.col("_host").isNull(), "_host", F.col("_path").isNull(), "_path")
-    sites = checkpoint(site_sums(evidence(docs, model, [], host, path, text_col)).withColumn("_site", site).drop("_host", "_path"))
-    scored = evidence(docs, model, keep, host, path, text_col).withColumn("_site", site)
-    # texts stay where they are read as long as the sites are few
+    # scored once: the sums of the sites and the documents' own posteriors both read it
+    scored = checkpoint(evidence(docs, model, keep, host, path, text_col).withColumn("_site", site))
+    sites = checkpoint(site_sums(scored).withColumn("_site", site).drop("_host", "_path"))
+    scored = scored.drop("_host", "_path")
+    # rows stay where they are as long as the sites are few
     joined = scored.join(F.broadcast(sites), "_site", "left") if sites.count() <= BROADCAST_SITES else skew_join(scored, sites, "_site", "left")
     found = joined.withColumns({"quality_score": _sigmoid(posterior("q")), "toxicity_score": _sigmoid(posterior("t"))})
     verdict = (F.col("quality_score") >= LEAST_QUALITY) & (F.col("toxicity_score") <= MOST_TOXICITY) if model else F.lit(True)
