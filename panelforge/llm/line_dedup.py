@@ -1,20 +1,29 @@
 """Corpus-wide line deduplication over levelled sorted runs of line hashes.
 
-A run is a sorted Parquet table of line hashes with the number of documents and
-the largest document id seen for each. A new batch is aggregated and written as
-a run of level 0; once a level has ``fanout`` runs they are merged into one run
-of the next level, so a line is rewritten a logarithmic number of times however
-many batches there are. Lines are then merge-joined with the runs: a line loses
-where enough documents hold it and another one is the last of them, and the
-lost lines are taken out of the texts by an anti-join.
-
-Only hashes are shuffled, 128 bits of each line, and they are pre-aggregated, so
-a line that a third of all documents share costs one row a task. Everything runs
-as DataFrame expressions.
+A run is a table of line hashes, bucketed by them and sorted, with the number of
+documents and the largest document id of each. A new batch is aggregated and
+merged with the runs: the lines that no run holds (its anti-join with them) are
+its first ones, so a line is a first one in one run only; the others raise the
+counts of lines that are held. Both are written as a run of level 0. Once a level
+has ``fanout`` runs they are compacted into one run of the next level, so a line
+is rewritten a logarithmic number of times however many batches there are.
+Buckets meet without a shuffle, and as they are sorted, without a sort.
+
+A line is repeated where its count with its raises reaches the bound. Repeated
+lines are joined with the hashes of all lines, and each document loses those of
+which another one is the last.
+
+Texts are read twice, once for the hashes and once for what is left. Only hashes
+are shuffled, 128 bits of each line, and they are pre-aggregated, so a line that
+a third of all documents share costs one row a task. Everything runs as DataFrame
+expressions.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,71 +54,123 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, least_length: int =
     return exploded.select("doc", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"))
 
 
+@contextmanager
+def _buckets_in_order(spark: SparkSession):
+    """Lets scans of sorted buckets of one file each count as sorted."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
-    """The runs below ``path`` (a shared folder), by level."""
+    """The runs below ``path`` (a shared folder), by level; each is an external table there."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         if fanout < 2:
             raise ValueError("a level needs at least two runs to be merged")
         self.spark, self.path, self.fanout = spark, path or shared_folder(spark, "line-runs"), fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self._made = 0
+        self._name, self._made = f"line_run_{uuid4().hex}", 0
 
     def _write(self, level: int, lines: DataFrame) -> None:
+        """h1, h2, n_docs, last and raises (false: a first line), one file a bucket for either."""
         while len(self.levels) <= level:
             self.levels.append([])
-        where = f"{self.path}/level={level}/run={self._made}"
+        name = f"{self._name}_{self._made}"
         self._made += 1
-        lines.sortWithinPartitions("h1", "h2").write.parquet(where)
-        self.levels[level].append(where)
+        # lines come dealt by their hashes, so a bucket is one file
+        writer = lines.write.partitionBy("raises").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        writer.option("path", self._where(level, name)).saveAsTable(name)
+        self.levels[level].append(name)
 
-    def _read(self, runs: list[str]) -> DataFrame:
-        found = [self.spark.read.parquet(r) for r in runs]
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
+    def _runs(self) -> list[DataFrame]:
+        return [self.spark.table(r) for level in self.levels for r in level]
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _where(self, level: int, name: str) -> str:
+        return f"{self.path}/level={level}/run={name.rsplit('_', 1)[1]}"
+
+    def _files(self, level: int) -> DataFrame:
+        """The rows of a level's runs, read as plain files: Spark 4.1 takes a union of bucketed scans for grouped, which it isn't."""
+        return self._union([self.spark.read.schema(self.spark.table(r).schema).parquet(self._where(level, r)) for r in self.levels[level]])
 
     def add(self, hashes: DataFrame) -> None:
         """Add a batch (doc, h1, h2; a document's repeats taken out) as a run and compact full levels."""
-        self._write(0, hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last")))
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            runs = self.levels[level]
-            self._write(level + 1, self._merged(self._read(runs)))
-            self.levels[level] = []
-            for r in runs:
-                remove_folder(self.spark, r)
-            level += 1
+        batch = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last")).withColumn("raises", F.lit(False))
+        with _buckets_in_order(self.spark):
+            for run in self._runs():
+                held = run.where(~F.col("raises")).select("h1", "h2", F.lit(True).alias("_held")).hint("merge")
+                batch = batch.join(held, ["h1", "h2"], "left").withColumn("raises", F.col("raises") | F.col("_held").isNotNull()).drop("_held")
+            self._write(0, batch)
+            level = 0
+            while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+                runs = self.levels[level]
+                # raises of lines that are first in a run of another level stay raises
+                totals = (F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"), F.bool_and("raises").alias("raises"))
+                self._write(level + 1, self._files(level).groupBy("h1", "h2").agg(*totals))
+                self.levels[level] = []
+                self._drop(runs)
+                for r in runs:
+                    remove_folder(self.spark, self._where(level, r))
+                level += 1
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
+    def _union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
 
     def lines(self) -> DataFrame | None:
-        """h1, h2, n_docs, last over all runs; None before the first batch."""
-        runs = [r for level in self.levels for r in level]
+        """h1, h2, n_docs, last over all runs; None before the first batch. Only raises are shuffled: first lines stay in their buckets."""
+        runs = self._runs()
         if not runs:
             return None
-        return self._read(runs) if len(runs) == 1 else self._merged(self._read(runs))
+        found = [r.where(~F.col("raises")).select("h1", "h2", "n_docs", "last") for r in runs]
+        if len(runs) == 1:
+            return found[0]
+        raises = self._union([self._files(k).where("raises") for k, names in enumerate(self.levels) if names])
+        more = raises.groupBy("h1", "h2").agg(F.sum("n_docs").alias("_n"), F.max("last").alias("_last")).hint("merge")
+        total = (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs")
+        return self._union([f.join(more, ["h1", "h2"], "left").select("h1", "h2", total, F.greatest("last", "_last").alias("last")) for f in found])
 
     def new(self, hashes: DataFrame) -> DataFrame:
-        """Those of ``hashes`` that no run holds yet (first seen wins), by a merge anti-join."""
-        held = self.lines()
-        return hashes if held is None else hashes.join(held, ["h1", "h2"], "left_anti")
+        """Those of ``hashes`` that no run holds yet (first seen wins), by merge anti-joins."""
+        for run in self._runs():
+            hashes = hashes.join(run.where(~F.col("raises")).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return hashes
 
     def remove(self) -> None:
+        self._drop([r for level in self.levels for r in level])
+        self.levels = []
         remove_folder(self.spark, self.path)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """h1, h2, last of the lines that at least ``least_docs`` rows hold."""
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
-    part = F.pmod(F.xxhash64(id_col), F.lit(batches))
+def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """doc and the hashes (h1) of the lines that it loses, for documents that lose any."""
+    spark = docs.sparkSession
+    path = shared_folder(spark, "line-hashes")
+    part = F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch")
+    line_hashes(docs, id_col, text_col).select("doc", "h1", "h2", part).write.partitionBy("batch").parquet(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    stored = spark.read.schema(f"doc {kind}, h1 bigint, h2 bigint, batch int").parquet(path)
+    runs = LineRuns(spark, fanout=fanout)
     for k in range(batches):
-        runs.add(line_hashes(docs.where(part == k) if batches > 1 else docs, id_col, text_col))
-    found = checkpoint(runs.lines().where(F.col("n_docs") >= least_docs).select("h1", "h2", "last"))
+        runs.add(stored.where(F.col("batch") == k).select("doc", "h1", "h2"))
+    with _buckets_in_order(spark):
+        repeated = checkpoint(runs.lines().where(F.col("n_docs") >= least_docs).select("h1", "h2", "last"))
+    lost = stored.join(repeated, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
+    found = checkpoint(lost.groupBy("doc").agg(F.collect_set("h1").alias("hashes")))
     runs.remove()
+    remove_folder(spark, path)
     return found
 
 
@@ -123,9 +184,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never as the largest, unless all holders are null: then they keep the line.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    repeated = repeated_lines(docs, id_col, text_col, least_docs, batches, fanout)
-    lost = line_hashes(docs, id_col, text_col).join(repeated, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
-    lost = lost.groupBy("doc").agg(F.collect_set("h1").alias("hashes"))
+    lost = lost_lines(docs, id_col, text_col, least_docs, batches, fanout)
     # the row's own columns are kept in one, so that their names can't clash with those made here
     rows = docs.select(F.struct(*own).alias("row"))
     joined = rows.join(lost, F.col("row")[id_col].eqNullSafe(F.col("doc")), "left")
