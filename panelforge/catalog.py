@@ -551,37 +551,7 @@ def _event_bars(spark, sf_dir):
     return e.select(F.col("event_type").alias("ticker"), F.date_trunc("hour", "ts").alias("timestamp"), "value", "event_id")
 
 
-@on_tables("""
-WITH b AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS "timestamp", value, event_id FROM events),
-o AS (SELECT ticker, "timestamp", max(event_id) AS event_id FROM b WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT ticker, "timestamp", max(event_id) AS event_id FROM b WHERE event_id % 3 = 0 GROUP BY 1, 2),
-u AS (SELECT *, 0 AS p FROM o UNION ALL SELECT *, 1 FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY ticker, "timestamp" ORDER BY p DESC) AS i FROM u)
-SELECT ticker, "timestamp", event_id, p AS part FROM k WHERE i = 1""")
-def bars_upsert(spark, sf_dir):
-    """Two overlapping deliveries of bars; the later one wins."""
-    b = _event_bars(spark, sf_dir)
-    one = lambda n, k: b.where(F.col("event_id") % n == 0).groupBy("ticker", "timestamp").agg(F.max("event_id").alias("event_id")).withColumn("part", F.lit(k))
-    return store.merge_bars([one(2, 0), one(3, 1)])
-
-
-@on_tables("""
-WITH w AS (SELECT translate(upper(trim(replace(c_name, '#', '-'))), '-/', '..') AS ticker, c_name AS company, c_acctbal AS weight FROM customer WHERE c_custkey % 2 = 0),
-s AS (SELECT translate(upper(trim(replace(c_name, '#', '/'))), '-/', '..') AS ticker, c_mktsegment AS sector FROM customer WHERE c_custkey % 3 = 0)
-SELECT coalesce(w.ticker, s.ticker) AS ticker, company, weight, sector, CASE WHEN w.ticker IS NOT NULL AND s.ticker IS NOT NULL THEN 'both' WHEN w.ticker IS NOT NULL THEN 'weights' ELSE 'sectors' END AS found
-FROM w FULL JOIN s ON w.ticker = s.ticker""")
-def constituent_merge(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    weights = c.where("c_custkey % 2 = 0").select(F.replace("c_name", F.lit("#"), F.lit("-")).alias("ticker"), F.col("c_name").alias("company"), F.col("c_acctbal").alias("weight"))
-    sectors = c.where("c_custkey % 3 = 0").select(F.replace("c_name", F.lit("#"), F.lit("/")).alias("ticker"), F.col("c_mktsegment").alias("sector"))
-    return universe.merge_constituents(weights, sectors).select("ticker", "company", "weight", "sector", "found")
-
-
-@on_tables("SELECT c_nationkey::VARCHAR AS ticker, arg_max(c_mktsegment, c_custkey) AS sector FROM customer WHERE c_nationkey IN (1, 2, 3, 5, 8) GROUP BY 1")
-def sector_map(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("ticker"), F.lit("x").alias("company"), F.col("c_mktsegment").alias("sector"), "c_custkey")
-    return universe.sector_map(c, ["1", "2", "3", "5", "8"], "c_custkey")
-
-
-# the same three over all rows: two deliveries that overlap and together hold every row, and every ticker
+# two deliveries that overlap and together hold every row
 
 
 @on_tables("""
