@@ -22,6 +22,7 @@ their radius-(distance/2) balls are linked by the triangle inequality.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -373,11 +374,31 @@ def plan_search(n: int, both: np.ndarray, distance: int) -> tuple[list[list[int]
     return groups, thresholds
 
 
-def _near(fp: np.ndarray, fine: np.ndarray, a, b, distance: int) -> np.ndarray:
-    return (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (np.bitwise_count(fine[a] ^ fine[b]) <= FINE_DISTANCE)
+def _near(fp: np.ndarray, fine: np.ndarray, a, b, distance: int, ours=None) -> np.ndarray:
+    near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (np.bitwise_count(fine[a] ^ fine[b]) <= FINE_DISTANCE)
+    return near if ours is None else near & ours(fp[a], fp[b])
 
 
-def _forest(fp: np.ndarray, fine: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def left_to_bucket(groups: list[list[int]], thresholds: list[int]):
+    """A test of whether the pair x, y is judged in bucket (part, value), of those that it shares.
+
+    Not if an earlier partition finds it too, nor if the two agree in the
+    partition and the bucket isn't that of their own bits: there they meet as well.
+    """
+    masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
+
+    def ours(part: int, value, x, y):
+        differ = x ^ y
+        mine = ((differ & masks[part]) != 0) | ((x & masks[part]) == value)
+        for mask, threshold in zip(masks[:part], thresholds[:part], strict=True):
+            if threshold >= 0:
+                mine = mine & (np.bitwise_count(differ & mask) > threshold)
+        return mine
+
+    return ours
+
+
+def _forest(fp: np.ndarray, fine: np.ndarray, distance: int, ours=None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the ends of a spanning forest of the near pairs, breadth first."""
     a, b, rest, front = [], [], np.arange(1, len(fp)), [0]
     while len(rest):
@@ -385,7 +406,7 @@ def _forest(fp: np.ndarray, fine: np.ndarray, distance: int) -> tuple[np.ndarray
             front, rest = [int(rest[0])], rest[1:]
             continue
         x = front.pop()
-        near = _near(fp, fine, x, rest, distance)
+        near = _near(fp, fine, x, rest, distance, ours)
         got = rest[near]
         a.append(np.full(len(got), x))
         b.append(got)
@@ -395,12 +416,13 @@ def _forest(fp: np.ndarray, fine: np.ndarray, distance: int) -> tuple[np.ndarray
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int = NEAREST, leaders: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int = NEAREST, leaders: int | None = None, ours=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of near pairs of a bucket, of a spanning forest (later, earlier) and of the members of pairs that were left out.
 
     All pairs and no forest, unless there are over ``nearest`` pairs a member:
     then each member's nearest ones. With ``leaders``, members are compared with
-    the first so many only, all count as left out and are tied to the first.
+    the first so many only, all count as left out and are tied to the first. Pairs
+    that ``ours`` denies are another bucket's.
     """
     m = len(fp)
     top = m if leaders is None else min(leaders, m)
@@ -419,7 +441,7 @@ def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int =
     step, total = max(1, 2_000_000 // max(top, 1)), 0
     for at in range(0, m, step):
         rows = np.arange(at, min(at + step, m))
-        r, c = np.nonzero(_near(fp, fine, rows[:, None], np.arange(min(top, rows[-1] + 1))[None, :], distance))
+        r, c = np.nonzero(_near(fp, fine, rows[:, None], np.arange(min(top, rows[-1] + 1))[None, :], distance, ours))
         r = r + at
         r, c = r[c < r], c[c < r]
         total += len(r)
@@ -437,11 +459,11 @@ def bucket_pairs(fp: np.ndarray, fine: np.ndarray, distance: int, nearest: int =
     if leaders is not None:
         out, tied, to = [np.arange(m)], np.arange(1, m), np.zeros(m - 1, np.int64)
     elif crowded:
-        to, tied = _forest(fp, fine, distance)
+        to, tied = _forest(fp, fine, distance, ours)
     return np.concatenate(later), np.concatenate(earlier), tied, to, np.unique(np.concatenate(out))
 
 
-def _candidates(batches, distance: int, bucket: int, nearest: int):
+def _candidates(batches, distance: int, bucket: int, nearest: int, ours):
     """src, dst, tie of rows of part, value, id, fp, fine sorted by part and value.
 
     Candidate pairs; where dst is null, a member of left-out pairs; where tie is
@@ -464,10 +486,12 @@ def _candidates(batches, distance: int, bucket: int, nearest: int):
         size = np.diff(np.r_[new, len(fp)])
         two = new[size == 2]
         two = two[_near(fp, fine, two, two + 1, distance)]
+        own = value.view(np.uint64)
+        two = np.concatenate([two[:0], *(t[ours(k, own[t], fp[t], fp[t + 1])] for k in np.unique(part[two]).tolist() for t in [two[part[two] == k]])])
         empty = np.zeros(0, np.int64)
         found = [(two + 1, two, empty, empty, empty)]
         for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            got = bucket_pairs(fp[at : at + n], fine[at : at + n], distance, nearest)
+            got = bucket_pairs(fp[at : at + n], fine[at : at + n], distance, nearest, ours=partial(ours, int(part[at]), own[at]))
             if len(got[0]):
                 found.append(tuple(x + at for x in got))
         yield from emit(ids, *map(np.concatenate, zip(*found, strict=True)))
@@ -511,7 +535,8 @@ def candidate_pairs(nodes: DataFrame, distance: int = CANDIDATE_DISTANCE, bucket
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = probes(nodes.select("id", "fp", "fine").repartition(tasks), groups, thresholds)
     dealt = dealt.repartition(tasks, "part", "value").sortWithinPartitions("part", "value", "id")
-    return checkpoint(dealt.mapInArrow(lambda batches: _candidates(batches, distance, bucket, nearest), "src long, dst long, tie boolean").where("dst is null or src <> dst").distinct())
+    ours = left_to_bucket(groups, thresholds)
+    return checkpoint(dealt.mapInArrow(lambda batches: _candidates(batches, distance, bucket, nearest, ours), "src long, dst long, tie boolean").where("dst is null or src <> dst").distinct())
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
