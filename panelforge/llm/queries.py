@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, decontam, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, tokencount, urlfilter
+from panelforge.llm import bpe, chat, decontam, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_decontamination,
         op10_chat_format,
+        op13_bpe_codec,
     )
     return {f.__name__: f for f in found}
 
