@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, chat, decontam, lexical_search, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, tokencount, urlfilter
+from panelforge.llm import bpe, chat, decontam, lexical_search, line_dedup, packing, phrases, quality_classifier, quality_rules, sharding, simhash, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_decontamination,
         op10_chat_format,
+        op11_phrase_mining,
         op12_lexical_search,
         op13_bpe_codec,
     )
@@ -84,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op9_decontamination": decontam.oracle_sql(), "op10_chat_format": chat.SQL, "op12_lexical_search": lexical_search.SQL}
+    return {"op3_url_filter": urlfilter.SQL, "op6_line_dedup": line_dedup.SQL, "op8_quality_rules": quality_rules.oracle_sql(), "op9_decontamination": decontam.oracle_sql(), "op10_chat_format": chat.SQL, "op11_phrase_mining": phrases.SQL, "op12_lexical_search": lexical_search.SQL}
