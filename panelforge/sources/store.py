@@ -1,13 +1,17 @@
-"""Bars on disk: Parquet partitioned by adjustment, timeframe and ticker, with a manifest, and incremental merging."""
+"""Bars on disk: Parquet by adjustment, timeframe and ticker, snapshots with a manifest, and incremental merging."""
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 from typing import Protocol
+from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.sources.files import Files
 from panelforge.sources.panel import densify
 from panelforge.sources.schemas import ADJUSTMENTS, BARS, MANIFEST, TIMEFRAMES
 
@@ -55,8 +59,27 @@ def missing_ranges(first: datetime | None, last: datetime | None, start: datetim
     return found
 
 
+class Conflict(RuntimeError):
+    """Other writers kept publishing snapshots of the same tickers first."""
+
+
+#: Moments in a snapshot, in UTC.
+_TIME = "%Y-%m-%dT%H:%M:%S.%f"
+
+
 class BarStore:
-    """A folder of bars. A write replaces only the partitions it has rows for."""
+    """A folder of bars with a log of snapshots.
+
+    A write puts new files in a folder of its own, then publishes a snapshot: a
+    small file under the next number that lists each ticker's files and notes.
+    Publishing succeeds for one writer a number. Who loses it reads the winner's
+    snapshot and tries again, merging anew if it changed a ticker of theirs. Readers
+    take the last snapshot there is and so never see half a write; one that
+    crashed before publishing leaves only files that ``vacuum`` removes.
+    """
+
+    #: Numbers that a writer tries.
+    ATTEMPTS = 20
 
     def __init__(self, spark: SparkSession, path: str, adjustment: str = "adjusted", timeframe: str = "1Day"):
         if adjustment not in ADJUSTMENTS:
@@ -64,65 +87,127 @@ class BarStore:
         if timeframe not in TIMEFRAMES:
             raise ValueError(f"timeframe must be one of {', '.join(TIMEFRAMES)}")
         self.spark, self.path, self.adjustment, self.timeframe = spark, path.rstrip("/"), adjustment, timeframe
+        self.files = Files(spark)
+
+    # --- snapshots: ticker's key -> notes and files, a row a ticker --------------------------------------
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.files.names(f"{self.path}/log") if n.endswith(".json")]
+
+    def snapshot(self, version: int | None = None) -> tuple[int, dict[tuple, dict]]:
+        """(version, entries by (adjustment, timeframe, ticker)); version 0, without entries, before the first write."""
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        elif version not in known:
+            raise ValueError(f"there is no snapshot {version}")
+        if version == 0:
+            return 0, {}
+        entries = json.loads(self.files.read(f"{self.path}/log/{version:012d}.json"))
+        return version, {(e["adjustment"], e["timeframe"], e["ticker"]): e for e in entries}
+
+    def _publish(self, version: int, entries: dict[tuple, dict]) -> bool:
+        return self.files.publish(f"{self.path}/log/{version:012d}.json", json.dumps([entries[k] for k in sorted(entries)]))
+
+    def _own(self, entries: dict[tuple, dict], tickers: list[str] | None = None) -> list[dict]:
+        wanted = None if tickers is None else set(tickers)
+        return [e for (adjustment, timeframe, t), e in entries.items() if (adjustment, timeframe) == (self.adjustment, self.timeframe) and (wanted is None or t in wanted)]
+
+    def _read(self, entries: list[dict]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for e in entries for f in e["files"]]
+        if not paths:
+            return self.spark.createDataFrame([], BARS)
+        # files of other tickers aren't listed, let alone read
+        df = self.spark.read.schema(_BARS_ON_DISK).option("basePath", f"{self.path}/bars").parquet(*paths)
+        return df.select(*BARS.names)
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    # --- reading ------------------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, path: str, parts: list[str]) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-
-    def load(self, tickers: list[str] | None = None) -> DataFrame | None:
-        """Bars of this adjustment and timeframe; None where nothing was stored. The partition filters prune folders."""
-        if not self._exists(f"{self.path}/bars"):
-            return None
-        df = self.spark.read.schema(_BARS_ON_DISK).parquet(f"{self.path}/bars")
-        df = df.where((F.col("adjustment") == self.adjustment) & (F.col("timeframe") == self.timeframe))
-        df = df if tickers is None else df.where(F.col("ticker").isin(tickers))
-        return df.select(*BARS.names)
+    def load(self, tickers: list[str] | None = None, version: int | None = None) -> DataFrame | None:
+        """Bars of this adjustment and timeframe, of the last or an earlier snapshot; None where nothing was stored."""
+        version, entries = self.snapshot(version)
+        return self._read(self._own(entries, tickers)) if version else None
 
     def list_tickers(self) -> list[str]:
-        df = self.load()
-        return [] if df is None else [r["ticker"] for r in df.select("ticker").distinct().orderBy("ticker").collect()]
+        return sorted(e["ticker"] for e in self._own(self.snapshot()[1]))
+
+    def manifest(self) -> DataFrame:
+        """The notes of all tickers, of every adjustment and timeframe."""
+        rows = [[_moment(e[c]) if c in ("start", "end", "fetch_timestamp") else e[c] for c in MANIFEST.names] for e in self.snapshot()[1].values()]
+        return self.spark.createDataFrame(rows, MANIFEST)
+
+    # --- writing ------------------------------------------------------------------------------------------
+
+    def _stage(self, bars: DataFrame, source: str) -> dict[tuple, dict]:
+        """Write bars to a folder of their own; the entries that would make them visible."""
+        folder = f"bars/write={uuid4().hex}"
+        keyed = bars.select(*BARS.names).withColumns({"adjustment": F.lit(self.adjustment), "timeframe": F.lit(self.timeframe)})
+        # a ticker's bars are one file: a day's bar for decades is small, a year of minutes is some megabytes
+        keyed.repartition(*PARTS).sortWithinPartitions(*PARTS, "timestamp").write.partitionBy(*PARTS).parquet(f"{self.path}/{folder}")
+        written = self.spark.read.schema(_BARS_ON_DISK).parquet(f"{self.path}/{folder}")
+        file = F.concat(F.lit("bars/"), F.substring_index("_metadata.file_path", "/bars/", -1))
+        notes = written.groupBy("ticker").agg(F.date_format(F.min("timestamp"), _PATTERN).alias("start"), F.date_format(F.max("timestamp"), _PATTERN).alias("end"), F.sort_array(F.collect_set(file)).alias("files"))
+        now = {"adjustment": self.adjustment, "timeframe": self.timeframe, "source": source, "fetch_timestamp": datetime.now(timezone.utc).strftime(_TIME), "schema_version": 1}
+        # file paths are URIs
+        return {(self.adjustment, self.timeframe, r["ticker"]): r.asDict() | now | {"files": [unquote(f) for f in r["files"]]} for r in notes.toLocalIterator()}
+
+    def _commit(self, prepare, source: str) -> int:
+        """Publish what ``prepare(entries so far)`` gives, bars to put in the place of their tickers'; the new version."""
+        version, base = self.snapshot()
+        staged = self._stage(prepare(base), source)
+        for _ in range(self.ATTEMPTS):
+            if not staged:
+                return version
+            if self._publish(version + 1, base | staged):
+                return version + 1
+            version, latest = self.snapshot()
+            if any(base.get(k) != latest.get(k) for k in staged):
+                staged = self._stage(prepare(latest), source)
+            base = latest
+        raise Conflict(f"no snapshot of {self.path} could be published in {self.ATTEMPTS} attempts")
+
+    def write(self, bars: DataFrame, source: str = "file") -> int:
+        """Replace the tickers that ``bars`` has, in one step; the new version."""
+        return self._commit(lambda _: bars, source)
+
+    def upsert(self, incoming: DataFrame, source: str = "file") -> int:
+        """Merge bars into the store; a bar that is there already is replaced."""
+        tickers = [r["ticker"] for r in incoming.select("ticker").distinct().toLocalIterator()]
+        return self._commit(lambda entries: merge_bars([self._read(self._own(entries, tickers)), incoming]), source)
 
-    def write(self, bars: DataFrame, source: str = "file") -> None:
-        """Replace the tickers that ``bars`` has, and note them in the manifest.
+    def vacuum(self, keep: int = 1) -> None:
+        """Forget all but the last ``keep`` snapshots and delete the files that none of those lists.
 
-        Rows go to a staging folder first: a partition can't be read and
-        replaced by one job.
+        Run it while nobody writes: files that are still to be published would go too.
         """
-        staging = f"{self.path}/_staging"
-        bars.select(*BARS.names).write.mode("overwrite").parquet(staging)
-        staged = self.spark.read.schema(BARS).parquet(staging).withColumns({"adjustment": F.lit(self.adjustment), "timeframe": F.lit(self.timeframe)})
-        self._write(staged.repartition(*PARTS).sortWithinPartitions("timestamp"), f"{self.path}/bars", PARTS)
-        notes = staged.groupBy(*PARTS).agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
-        notes = notes.withColumns({"source": F.lit(source), "fetch_timestamp": F.lit(datetime.now(timezone.utc)), "schema_version": F.lit(1)})
-        self._write(notes, f"{self.path}/manifest", PARTS)
-
-    def upsert(self, incoming: DataFrame, source: str = "file") -> None:
-        """Merge bars into the store; a bar that is there already is replaced."""
-        tickers = [r["ticker"] for r in incoming.select("ticker").distinct().collect()]
-        held = self.load(tickers)
-        self.write(merge_bars([incoming] if held is None else [held, incoming]), source)
+        known = self.versions()
+        kept = known[-keep:]
+        used = {f.split("/")[1] for v in kept for e in self.snapshot(v)[1].values() for f in e["files"]}
+        for v in known[:-keep]:
+            self.files.delete(f"{self.path}/log/{v:012d}.json")
+        for folder in self.files.names(f"{self.path}/bars"):
+            if folder not in used:
+                self.files.delete(f"{self.path}/bars/{folder}")
 
     def fetch(self, ticker: str, start: datetime, end: datetime, source: BarSource) -> DataFrame:
         """Bring [start, end) up to date from ``source``: only what is missing is asked for."""
-        held = self.load([ticker])
-        first, last = held.agg(F.min("timestamp"), F.max("timestamp")).first() if held is not None else (None, None)
         get = lambda a, b: source.bars(self.spark, ticker, self.timeframe, a, b, self.adjustment).select(*BARS.names)
-        ranges = missing_ranges(first, last, start, end)
-        early = [get(a, b) for a, b in ranges if first is None or a < first]
-        late = [get(a, b) for a, b in ranges if not (first is None or a < first)]
-        parts = [*early, *([held] if first is not None else []), *late]
-        if ranges:
-            self.write(merge_bars(parts), type(source).__name__)
-        return self.load([ticker])
+
+        def missing(entries: dict[tuple, dict]) -> DataFrame:
+            held = self._own(entries, [ticker])
+            first, last = (_moment(held[0]["start"]), _moment(held[0]["end"])) if held else (None, None)
+            ranges = missing_ranges(first, last, start, end)
+            early = [get(a, b) for a, b in ranges if first is None or a < first]
+            late = [get(a, b) for a, b in ranges if not (first is None or a < first)]
+            return merge_bars([*early, *([self._read(held)] if held else []), *late]) if ranges else self.spark.createDataFrame([], BARS)
+
+        self._commit(missing, type(source).__name__)
+        return self.load([ticker]) if self.versions() else self.spark.createDataFrame([], BARS)
 
     def metadata(self, ticker: str) -> dict | None:
-        if not self._exists(f"{self.path}/manifest"):
-            return None
-        row = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").where((F.col("adjustment") == self.adjustment) & (F.col("timeframe") == self.timeframe) & (F.col("ticker") == ticker)).first()
-        return row and row.asDict()
+        """The notes of one ticker's bars; None where there are none."""
+        found = self._own(self.snapshot()[1], [ticker])
+        return {c: _moment(found[0][c]) if c in ("start", "end", "fetch_timestamp") else found[0][c] for c in MANIFEST.names} if found else None
 
     def panel(self, tickers: list[str] | None = None) -> DataFrame:
         """The dense panel of the stored bars; tickers that aren't stored are left out."""
@@ -132,4 +217,9 @@ class BarStore:
         return densify(bars.withColumn("date", F.to_date("timestamp")).drop("timestamp"))
 
 
+def _moment(text: str | None) -> datetime | None:
+    return datetime.strptime(text, _TIME) if text else None
+
+
+_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _BARS_ON_DISK = "timestamp timestamp, open double, high double, low double, close double, volume long, adjustment string, timeframe string, ticker string"
