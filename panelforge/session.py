@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
-def for_workers(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Python workers find this package wherever the driver was started."""
-    environment = df.sparkSession.sparkContext.environment
+def with_package(spark: SparkSession) -> SparkSession:
+    """``spark``, with Python workers that find this package wherever the driver was started."""
+    environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH")]))
+    return spark
+
+
+def for_workers(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Python workers find this package."""
+    with_package(df.sparkSession)
     return df
 
 
