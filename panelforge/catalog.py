@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge import catalog_sources
 from panelforge import catalog_sql as q
 from panelforge.functions.stats import rounded
 from panelforge.operators import combine, diagnostics, ic, metrics
@@ -615,8 +616,8 @@ def smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_sources.queries()
 
 
 def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | catalog_sources.oracles()

@@ -18,13 +18,15 @@ CONSTITUENTS = _schema("ticker string, company string, sector string")
 RANKED_CONSTITUENTS = _schema("rank int, ticker string, company string, weight double, sector string, sub_industry string")
 LEDGER = _schema("ticker string, endpoint string, last_fetch date")
 
-SIDES, ORDER_TYPES = ("buy", "sell"), ("market", "limit")
-ORDER_STATUSES = ("new", "partially_filled", "filled", "cancelled", "rejected")
-BAR = _schema("symbol string, timestamp timestamp, open double, high double, low double, close double, volume long")
-SIGNAL = _schema("symbol string, timestamp timestamp, value double, name string")
-ORDER = _schema("order_id string, symbol string, side string, order_type string, quantity long, limit_price double, status string, created_at timestamp")
-FILL = _schema("order_id string, symbol string, side string, quantity long, price double, timestamp timestamp")
-POSITION = _schema("symbol string, quantity long, average_price double")
+# Trading records: their fields and states are fixed values.
+SIDES = ("BUY", "SELL")
+ORDER_TYPES = ("MARKET", "LIMIT")
+ORDER_STATUSES = ("PENDING", "SUBMITTED", "FILLED", "PARTIALLY_FILLED", "CANCELLED", "REJECTED")
+BAR = BARS
+SIGNAL = _schema("ticker string, timestamp timestamp, weight double")
+ORDER = _schema("ticker string, timestamp timestamp, side string, quantity long, order_type string, limit_price double")
+FILL = _schema("ticker string, timestamp timestamp, side string, quantity long, price double, commission double")
+POSITION = _schema("ticker string, quantity long, avg_entry_price double, market_price double")
 
 TIMEFRAMES = ("1Min", "5Min", "15Min", "1Hour", "1Day")
 #: Name of an adjustment -> what a vendor calls it.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.session import for_workers
-from panelforge.sources.schemas import CONSTITUENTS
+from panelforge.sources.schemas import CONSTITUENTS, RANKED_CONSTITUENTS
 
 
 def normal_ticker(c: Column) -> Column:
@@ -27,6 +27,35 @@ def by_weight(constituents: DataFrame) -> DataFrame:
     return constituents.orderBy(F.desc_nulls_last("weight"), "ticker")
 
 
+def only_in_one(merged: DataFrame) -> DataFrame:
+    """ticker, found of the constituents that one source alone lists."""
+    return merged.where("found != 'both'").select("ticker", "found")
+
+
+def save_constituents(constituents: DataFrame, path: str) -> None:
+    """Constituents as one CSV with a header, by weight; the columns that a loader knows come in its order."""
+    named = [c for c in RANKED_CONSTITUENTS.names if c in constituents.columns]
+    order = [F.desc_nulls_last("weight")] if "weight" in named else []
+    # an index has hundreds of rows
+    constituents.select(*named).coalesce(1).sortWithinPartitions(*order, "ticker").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def prepare(constituents: DataFrame, held: DataFrame, market: str = "SPY", twins: dict[str, str] | None = None) -> DataFrame:
+    """ticker of the constituents whose bars are held, without the market; of a dual listing (``twins``: other class -> class to keep) the other class goes where both are held."""
+    known = constituents.select("ticker").join(held.select("ticker"), "ticker", "left_semi").where(F.col("ticker") != market).distinct()
+    pairs = list((twins or {}).items())
+    if not pairs:
+        return known
+    other = known.sparkSession.createDataFrame(pairs, "ticker string, _kept string")
+    gone = other.join(known.select(F.col("ticker").alias("_kept")), "_kept", "left_semi").select("ticker")
+    return known.join(gone, "ticker", "left_anti")
+
+
+def not_held(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` whose ticker isn't held, in their order: what is still to be fetched. A null ticker is none."""
+    return wanted.where("ticker is not null").join(held.select("ticker").distinct(), "ticker", "left_anti").select(*wanted.columns)
+
+
 def sector_map(constituents: DataFrame, tickers: list[str] | None = None, order: str | None = None) -> DataFrame:
     """(ticker, sector) without nulls. Of a ticker's rows the last by ``order`` wins; without an order, the greatest sector."""
     known = constituents.dropna(subset=["ticker", "sector"])
@@ -34,36 +63,113 @@ def sector_map(constituents: DataFrame, tickers: list[str] | None = None, order:
     return known.groupBy("ticker").agg((F.max_by("sector", F.struct(order, "sector")) if order else F.max("sector")).alias("sector"))
 
 
-def load_constituents(spark: SparkSession, path: str) -> DataFrame:
+def load_constituents(spark: SparkSession, path: str, ranked: bool = False) -> DataFrame:
     """A CSV of constituents; company names may be quoted and hold commas."""
-    return spark.read.csv(path, header=True, schema=CONSTITUENTS, quote='"', escape='"')
+    return spark.read.csv(path, header=True, schema=RANKED_CONSTITUENTS if ranked else CONSTITUENTS, quote='"', escape='"')
+
+
+class _Grids(HTMLParser):
+    """Every table of a page as rows of cells; an unclosed cell, row or table ends where the next begins or the page does."""
 
+    #: The most columns and rows that a cell may span, by the HTML standard: fixed values.
+    COLSPAN, ROWSPAN = 1000, 65534
 
-class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.tables, self.cell = [], None
+        self.tables, self.open, self.silent = [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = []
+        if tag in ("script", "style"):
+            self.silent += 1
+        elif tag == "table":
+            self.open.append({"rows": [], "cell": None})
+            self.tables.append(self.open[-1]["rows"])
+        elif self.open:
+            table = self.open[-1]
+            if tag == "tr":
+                self._close_cell(table)
+                table["rows"].append([])
+            elif tag in ("td", "th"):
+                self._close_cell(table)
+                if not table["rows"]:
+                    table["rows"].append([])
+                spans = {k: int(v) for k, v in attrs if k in ("rowspan", "colspan") and v and v.strip().isdigit()}
+                table["cell"] = ([], spans.get("rowspan", 1), spans.get("colspan", 1))
+            elif tag == "br" and table["cell"]:
+                table["cell"][0].append(" ")
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.open and self.open[-1]["cell"] and not self.silent:
+            self.open[-1]["cell"][0].append(data)
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
-
-
-def html_tables(pages: DataFrame, html_col: str = "html", must_have: str = "Symbol") -> DataFrame:
-    """The cells of the first table of each page that has a column ``must_have``: the page's columns with record (map of header to cell)."""
+        if tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        elif self.open and tag in ("td", "th", "tr", "table"):
+            self._close_cell(self.open[-1])
+            if tag == "table":
+                self.open.pop()
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close_cell(self.open.pop())
+
+    def _close_cell(self, table):
+        if table["cell"]:
+            text, down, across = table["cell"]
+            table["rows"][-1].append((" ".join("".join(text).split()), down, min(max(across, 1), self.COLSPAN)))
+            table["cell"] = None
+
+
+def grids(html: str) -> list[list[list[str]]]:
+    """The tables of a page, each as a grid: a cell that spans rows or columns is repeated in all of them."""
+    parser = _Grids()
+    parser.feed(html)
+    parser.close()
+    found = []
+    for rows in parser.tables:
+        grid, hanging = [], {}  # column -> (text, rows it still spans)
+        for k, row in enumerate(rows):
+            line, cells = [], iter(row)
+            pending = next(cells, None)
+            while pending is not None or any(c >= len(line) for c in hanging):
+                at = len(line)
+                if at in hanging:
+                    text, left = hanging.pop(at)
+                    line.append(text)
+                    if left > 1:
+                        hanging[at] = (text, left - 1)
+                elif pending is not None:
+                    text, down, across = pending
+                    down = len(rows) - k if down == 0 else min(down, _Grids.ROWSPAN)
+                    for at in range(len(line), len(line) + across):
+                        if at in hanging:  # two spans meet: the one from above keeps its place
+                            break
+                        line.append(text)
+                        if down > 1:
+                            hanging[at] = (text, down - 1)
+                    # columns that hang from this very row begin with the next one
+                    pending = next(cells, None)
+                else:
+                    line.append("")
+            grid.append(line)
+        if grid:
+            found.append(grid)
+    return found
+
+
+def headed(grid: list[list[str]]) -> list[dict[str, str]]:
+    """The rows below the first one as records; a heading that is repeated gets a number, as in ``Chg`` and ``Chg.1``."""
+    names, seen = [], {}
+    for name in grid[0]:
+        names.append(f"{name}.{seen[name]}" if name in seen else name)
+        seen[name] = seen.get(name, 0) + 1
+    return [dict(zip(names, row, strict=False)) for row in grid[1:]]
+
+
+def html_tables(pages: DataFrame, html_col: str = "html", must_have: str | None = "Symbol") -> DataFrame:
+    """The records of the first table of each page that has a column ``must_have`` (of the first table at all without one): the page's columns with record (map of heading to cell)."""
     from pyspark.sql.types import MapType, StringType, StructField, StructType
 
     keep = [c for c in pages.columns if c != html_col]
@@ -75,16 +181,34 @@ def html_tables(pages: DataFrame, html_col: str = "html", must_have: str = "Symb
         for frame in frames:
             rows = []
             for row in frame.to_dict("records"):
-                parser = _Tables()
-                parser.feed(row[html_col] or "")
-                tables = [t for t in parser.tables if t and must_have in t[0]]
-                for cells in tables[0][1:] if tables else []:
-                    rows.append({k: row[k] for k in keep} | {"record": dict(zip(tables[0][0], cells, strict=False))})
+                tables = [g for g in grids(row[html_col] or "") if must_have is None or must_have in g[0]]
+                rows += [{k: row[k] for k in keep} | {"record": r} for r in (headed(tables[0]) if tables else [])]
             yield pd.DataFrame(rows, columns=[*keep, "record"])
 
     return for_workers(pages).mapInPandas(parse, schema)
 
 
+#: A table's heading -> column: fixed values.
+SECTOR_HEADINGS = {"Symbol": "ticker", "GICS Sector": "sector", "GICS Sub-Industry": "sub_industry"}
+COMPONENT_HEADINGS = {"Symbol": "ticker", "Name": "company", "Sector": "sector"}
+
+
+def renamed(records: DataFrame, headings: dict[str, str]) -> DataFrame:
+    """The columns of records by their headings, tickers normalised; a heading that isn't there gives null."""
+    cells = [normal_ticker(F.col("record")[k]).alias(v) if v == "ticker" else F.col("record")[k].alias(v) for k, v in headings.items()]
+    return records.select(*cells)
+
+
+def parse_sectors(records: DataFrame) -> DataFrame:
+    """ticker, sector, sub_industry out of records of a sector table."""
+    return renamed(records, SECTOR_HEADINGS)
+
+
+def parse_components(records: DataFrame) -> DataFrame:
+    """ticker, company, sector out of records of an index's table of components."""
+    return renamed(records, COMPONENT_HEADINGS)
+
+
 def parse_weights(records: DataFrame) -> DataFrame:
     """rank, company, ticker, weight out of records of a weights table; numbers that don't parse are null."""
     cell = lambda k: F.col("record")[k]
