@@ -33,7 +33,7 @@ What each case gives:
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +48,8 @@ LONGEST, LEAST = 5, 100
 ROWS = 2
 MOST_CELLS = 1 << 26
 CHUNK = 1 << 14
+#: Phrases that a task of the second pass adds up before it hands them on.
+HELD = 300_000
 #: Bytes of text an n-gram of each size, about; and n-grams a cell, as a share of the least count.
 _BYTES, _LOAD = 8, 0.2
 _BREAK = b"\xff"
@@ -170,20 +172,23 @@ def heavy_cells(docs: DataFrame, width: int, longest: int = LONGEST, least: int
 
 
 def survivors(docs: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """lang, size, phrase, n: exact counts, by batch, of the n-grams that may be frequent; size 0 has all words."""
+    """lang, size, phrase, n: exact counts, a task's added up as far as it can hold them, of the n-grams that may be frequent; size 0 has all words."""
     width = bits.shape[1] * 8
 
     def heavy(h: np.ndarray) -> np.ndarray:
         rows = [bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1 for r, c in enumerate(cells_of(h, width))]
         return np.logical_and.reduce(rows)
 
+    def batch_of(held: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
+        langs, sizes, phrases = zip(*held, strict=True) if held else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array(held.values(), pa.int64())], ["lang", "size", "phrase", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, held = Words(), Counter()
         for batch in batches:
-            langs, sizes, phrases, counts = [], [], [], []
             for lang, texts in by_language(batch).items():
                 spelled, ids, word_hash = words.numbers(texts)
-                langs.append(lang), sizes.append(0), phrases.append(b""), counts.append(int((ids > 0).sum()))
+                held[lang, 0, b""] += int((ids > 0).sum())
                 h, key, alive = word_hash ^ seed_of(lang), ids.copy(), ids > 0
                 for n in range(1, longest + 1):
                     if n > 1:  # both parts of one word less may be frequent
@@ -199,11 +204,12 @@ def survivors(docs: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> Data
                     alive = np.zeros(len(ids), bool)
                     alive[at] = True
                     h[at], key[at] = h_at, dense
-                    langs += [lang] * len(first)
-                    sizes += [n] * len(first)
-                    phrases += [b" ".join(spelled[i : i + n]) for i in at[first].tolist()]
-                    counts += times.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "size", "phrase", "n"])
+                    for i, k in zip(at[first].tolist(), times.tolist(), strict=True):
+                        held[lang, n, b" ".join(spelled[i : i + n])] += k
+            if len(held) > HELD:
+                yield batch_of(held)
+                held = Counter()
+        yield batch_of(held)
 
     return _texts(docs).mapInArrow(run, "lang string, size int, phrase binary, n long").withColumn("phrase", F.col("phrase").cast("string"))
 
