@@ -50,6 +50,9 @@ MOST_CELLS = 1 << 26
 CHUNK = 1 << 14
 #: Phrases that a task of the second pass adds up before it hands them on.
 HELD = 300_000
+#: Languages whose totals go to every task; more are joined by a shuffle.
+MOST_LANGS = 10_000
+_SALTS = 64
 #: Bytes of text an n-gram of each size, about; and n-grams a cell, as a share of the least count.
 _BYTES, _LOAD = 8, 0.2
 _BREAK = b"\xff"
@@ -226,6 +229,7 @@ def scored(counts: DataFrame) -> DataFrame:
     words = F.split("phrase", " ")
     part = lambda name, n: counts.where("size > 0").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     total = counts.where("size = 0").select("lang", F.col("n").alias("_total"))
+    total = F.broadcast(total) if total.count() <= MOST_LANGS else total
     phrases = counts.where("size > 1").withColumnRenamed("n", "a").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = phrases.withColumns({"first": F.array_join(F.slice(words, 1, F.col("k")), " "), "rest": F.array_join(F.slice(words, F.col("k") + 1, F.col("size")), " ")})
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"]).join(total, "lang")
@@ -251,8 +255,11 @@ def collocations(docs: DataFrame, top: int = 2000, longest: int = LONGEST, least
     """
     counts = checkpoint(frequent(docs, longest, least))
     found = scored(counts).join(subsumed(counts, percent), ["lang", "phrase"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return found.withColumn("rank", place).where(F.col("rank") <= top).select("lang", "rank", "phrase", *[F.col(c).cast("long") for c in ("a", "l", "r", "n", "score")])
+    # first within a share of a language's phrases, so that no task gets more than so many shares' best
+    for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+        found = found.withColumn("rank", place).where(F.col("rank") <= top)
+    return found.select("lang", "rank", "phrase", *[F.col(c).cast("long") for c in ("a", "l", "r", "n", "score")])
 
 
 SQL = rf"""
