@@ -16,9 +16,9 @@ Scale: cells are saturated at the least count, so a byte is enough for one up to
 Their number follows the corpus up to ``MOST_CELLS``; at that bound a sketch takes
 128 MB of a worker and its bits 16 MB. Beyond it estimates get looser, results stay
 exact, and the second pass aggregates more (a least count that grows with the
-corpus keeps it tight). One sketch is made for each of twice the session's cores,
-not one a split, so what is merged doesn't grow with the splits. All counts are
-pre-aggregated before they are shuffled, by language and phrase.
+corpus keeps it tight). Both passes run in twice as many tasks as the session has
+cores, not one a split: each adds up all it reads, sketch or counts, so what is
+merged doesn't grow with the splits. Counts are shuffled by language and phrase.
 
 What each case gives:
 
@@ -111,7 +111,9 @@ def by_language(batch: pa.RecordBatch) -> dict[str, list[bytes]]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return for_workers(docs).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    """text, lang in twice as many tasks as there are cores: each adds up what it reads, whatever the number of splits."""
+    texts = for_workers(docs).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    return texts.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def sketch_width(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> int:
@@ -142,8 +144,7 @@ def sketches(docs: DataFrame, width: int, longest: int = LONGEST, least: int = L
         for k in np.flatnonzero(chunks.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(chunks[k].tobytes(), 1)], pa.binary())], ["chunk", "cells"])
 
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    return _texts(docs).coalesce(tasks).mapInArrow(run, "chunk long, cells binary")
+    return _texts(docs).mapInArrow(run, "chunk long, cells binary")
 
 
 def heavy_cells(docs: DataFrame, width: int, longest: int = LONGEST, least: int = LEAST) -> np.ndarray:
