@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,14 +160,18 @@ def equal_weight(p):
     return combine.EqualWeight().combine(sig(p, 3))
 
 
-def _weighted(mean: str, k: int, shrinkage: float) -> list[str]:
-    return [
+def _weighted(mean: str, k: int, shrinkage: float, out: str = "cb") -> list[str]:
+    """A combination ``out``; the tables on the way to it are named after it."""
+    parts = [
         f"me AS (SELECT factor, date, rn, {mean} AS mean FROM ic)",
         "pa AS (SELECT *, lag(mean) OVER (PARTITION BY factor ORDER BY rn) AS past FROM me)",
         f"wr AS (SELECT factor, date, rn, {1 - shrinkage}::DOUBLE * past + {shrinkage}::DOUBLE / {k} AS raw FROM pa)",
         "we AS (SELECT factor, date, rn, raw / nullif(sum(abs(raw)) OVER (PARTITION BY date), 0) AS weight FROM wr)",
         "cb AS (SELECT z.date, z.rn, z.ticker, sum(z.z * w.weight) AS value FROM zs z LEFT JOIN we w ON z.factor = w.factor AND z.date = w.date GROUP BY z.date, z.rn, z.ticker)",
     ]
+    if out == "cb":
+        return parts
+    return [re.sub(r"\b(me|pa|wr|we|cb)\b", rf"\1_{out}", part) for part in parts]
 
 
 FLAT = "CASE WHEN count(ic) OVER f = 52 THEN avg(ic) OVER f END".replace("OVER f", "OVER (PARTITION BY factor ORDER BY rn ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)")
@@ -196,19 +202,45 @@ def lasso_k1(p):
     return combine.RollingLasso(lookback=52).combine(sig(p, 1), p)
 
 
-@on_panel()
+_F3 = ["low_volatility_21", "momentum_26_4", "short_term_reversal_5"]
+
+
+def _lasso3(alphas: list[float]) -> list[str]:
+    """Coordinate descent on the windows' sums, 120 rounds of a recursive query; the columns are in the order of the factors' names."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    sums = ["sum(1.0::DOUBLE) {f} AS n", "sum(y) {f} AS sy", "sum(y * y) {f} AS syy", *[f"sum(z{i}) {{f}} AS s{i}" for i in range(3)], *[f"sum(z{i} * y) {{f}} AS c{i}" for i in range(3)], *[f"sum(z{i} * z{j}) {{f}} AS {g(i, j)}" for i, j in pairs]]
+    cols = [x.split(" AS ")[1] for x in sums]
+    soft = lambda i, b: f"(sign(c{i} - {b}) * greatest(abs(c{i} - ({b})) - n * alpha, 0) / {g(i, i)})".replace(f"sign(c{i} - {b})", f"sign(c{i} - ({b}))")
+    return [
+        "lw AS (SELECT date, rn, ticker, " + ", ".join(f"max(z) FILTER (factor = '{n}') AS z{i}" for i, n in enumerate(_F3)) + " FROM zs GROUP BY date, rn, ticker)",
+        "ly AS (SELECT w.*, f.fwd AS y, z0 + z1 + z2 + f.fwd IS NOT NULL AS whole FROM lw w LEFT JOIN fwd f ON w.date = f.date AND w.ticker = f.ticker)",
+        "ld AS (SELECT date, rn, " + ", ".join(f"coalesce({x.format(f='FILTER (whole)').replace(' AS ', ', 0) AS ')}" for x in sums) + " FROM ly GROUP BY date, rn)",
+        "lr AS (SELECT date, rn, " + ", ".join(f"sum({c}) OVER w AS {c}" for c in cols) + " FROM ld WINDOW w AS (ORDER BY rn ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING))",
+        "lc AS (SELECT date, alpha, n, " + ", ".join(f"(c{i} - sy / n * s{i}) / sqrt(syy / n - (sy / n) * (sy / n)) AS c{i}" for i in range(3)) + ", " + ", ".join(g(i, j) for i, j in pairs) + f" FROM lr, (SELECT unnest({alphas!r})::DOUBLE AS alpha) WHERE rn >= 52 AND n > 0)",
+        "li AS (SELECT date, alpha, 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM lc UNION ALL "
+        f"SELECT date, alpha, k + 1, x0, x1, {soft(2, 'g02 * x0 + g12 * x1')} FROM (SELECT *, {soft(1, 'g01 * x0 + g12 * b2')} AS x1 FROM (SELECT li.k, li.b1, li.b2, lc.*, {soft(0, 'g01 * b1 + g02 * b2')} AS x0 FROM li JOIN lc USING (date, alpha) WHERE k < 120)))",
+        "lb AS (SELECT * FROM li WHERE k = 120)",
+    ]
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@on_panel(_recursive(chain(q.SIG3, q.forward(1), q.Z, *_lasso3([0.001]), select=f"SELECT 'lasso' AS factor, w.date, w.rn, w.ticker, {r('z0 * b0 + z1 * b1 + z2 * b2', 'value')} FROM lw w LEFT JOIN lb ON w.date = lb.date")))
 def lasso_k3(p):
     return combine.RollingLasso(lookback=52).combine(sig(p, 3), p)
 
 
-@on_panel()
+_ALPHAS = [0.0001, 0.001, 0.01]
+
+
+@on_panel(_recursive(chain(q.SIG3, q.forward(1), q.Z, *_lasso3(_ALPHAS), "fs AS (SELECT 'lasso_' || alpha AS factor, w.date, w.rn, w.ticker, z0 * b0 + z1 * b1 + z2 * b2 AS value FROM lw w JOIN lb ON w.date = lb.date QUALIFY count(z0 + z1 + z2) OVER (PARTITION BY alpha, w.date) > 0)", *q.backtest("fs", rebalance=5), select=f"SELECT factor, {r('product(1 + ret) - 1', 'total_return')} FROM bt GROUP BY factor")))
 def lasso_alpha_sweep(p):
-    """Total return by penalty; penalties that leave no live dates have none."""
-    runs = None
-    for alpha in (0.0001, 0.001, 0.01):
-        got = Backtest(10, 5).run(p, combine.RollingLasso(52, alpha, name=f"lasso_{alpha}").combine(sig(p, 3), p).where("value is not null"))
-        runs = got if runs is None else runs.unionByName(got)
-    return metrics.total_return(runs, ["factor"])
+    """Total return by penalty, all penalties from one path a date; those that leave no live dates have none."""
+    swept = combine.RollingLasso(lookback=52).sweep(sig(p, 3), p, _ALPHAS)
+    return metrics.total_return(Backtest(10, 5).run(p, swept.where("value is not null")), ["factor"])
 
 
 # --- coefficients -------------------------------------------------------------------------------------------
@@ -278,6 +310,12 @@ def bootstrap_lcg(p):
     return ic.block_bootstrap(ics(p, 1, 5), 5, replicates=200)
 
 
+@on_panel(chain(q.SIG1, q.forward(5), q.IC, *_BOOT[:-1], _BOOT[-1].replace("avg(ic)", "median(ic)"), select=f"SELECT 'momentum_26_4' AS factor, 5 AS horizon, {r('(SELECT median(ic) FROM ic)', 'point_estimate')}, {r('quantile_cont(m, 0.025)', 'ci_lower')}, {r('quantile_cont(m, 0.975)', 'ci_upper')}, {r('stddev_samp(m)', 'se_bootstrap')} FROM ms"))
+def bootstrap_callable(p):
+    """The same draws, and a statistic that is any numpy function."""
+    return ic.bootstrap_of(ics(p, 1, 5), np.median, 5, replicates=200)
+
+
 @on_panel(chain(q.SIG2, q.forward(1), q.IC, select=f"SELECT factor, horizon, date, rn, {r('ic', 'ic')}, n_valid, {r('CASE WHEN count(ic) OVER w >= 30 THEN avg(ic) OVER w END', 'rolling_ic')} FROM ic WINDOW w AS (PARTITION BY factor, horizon ORDER BY rn ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"))
 def rolling_ic_63(p):
     return research.rolling_ic(ics(p, 2, 1)).select("factor", "horizon", "date", "rn", "ic", "n_valid", "rolling_ic")
@@ -538,7 +576,11 @@ def ewm_variant_return(p):
     return metrics.total_return(scaled(Backtest(10, 5).run(p, combined)), ["factor"])
 
 
-@on_panel()
+_VARIANTS = {"flat": (FLAT, 0.25), "ewm_26": (EWM, 0.25), "ewm_52": (EWM.replace("/ 26.0", "/ 52.0"), 0.25)}
+_VS = "fs AS (" + " UNION ALL ".join(f"SELECT '{v}' AS factor, date, rn, ticker, value FROM cb_{v}" for v in _VARIANTS) + ")"
+
+
+@on_panel(chain(q.SIG3, q.forward(1), q.IC, q.Z, *[part for v, (mean, s) in _VARIANTS.items() for part in _weighted(mean, 3, s, v)], _VS, *q.backtest("fs", rebalance=5), select=f"SELECT factor, {r('product(1 + ret) - 1', 'total_return')} FROM bt GROUP BY factor"))
 def weight_variants(p):
     variants = {"flat": combine.ICWeighted(52, 0.25), "ewm_26": combine.ICWeighted(shrinkage=0.25, use_ewm=True, halflife=26), "ewm_52": combine.ICWeighted(shrinkage=0.25, use_ewm=True, halflife=52)}
     return research.weight_variants(sig(p, 3), p, variants)

@@ -213,14 +213,34 @@ class RollingMaxDrawdown(Factor):
         self.name, self.lookback = f"rolling_max_drawdown_{self.window}", self.window
 
     def over_time(self) -> list[Column]:
-        start = F.struct(F.lit(1.0).alias("level"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
-
-        def step(acc, r):
-            level = acc["level"] * (1 + r)
-            peak = F.greatest(acc["peak"], level)
-            return F.struct(level.alias("level"), peak.alias("peak"), F.least(acc["worst"], F.try_divide(level, peak) - 1).alias("worst"))
-
-        return [rolling(F.collect_list, F.col("ret"), self.window, _ticker()), F.when(F.col("_step0").isNotNull(), F.aggregate("_step0", start, step, lambda acc: acc["worst"]))]
+        """The series is cut into blocks as long as the window, so a window is the end of one block and the beginning of the next.
+
+        The deepest fall of both together is that of either, or from the first's
+        highest level to the second's lowest. Beginnings and ends of blocks have
+        running summaries, so a row costs the same whatever the window.
+        """
+        w, ret = self.window, F.col("ret")
+        block = Window.partitionBy("ticker", "_step0")
+        begun, ends = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("rn", F.desc("rn")))
+        so_far = _ticker().rowsBetween(Window.unboundedPreceding, 0)
+        steps = [
+            F.floor((F.row_number().over(_ticker()) - 1) / w),
+            F.when(ret > -1, 1 + ret).otherwise(1.0),
+            F.product("_step1").over(begun),
+            F.struct(F.max("_step2").over(begun).alias("max"), F.min("_step2").over(begun).alias("min")),
+            F.min(F.col("_step2") / F.col("_step3.max")).over(begun),
+            F.struct(F.max("_step2").over(ends).alias("max"), F.min("_step2").over(ends).alias("min"), F.first("_step2").over(ends).alias("end")),
+            F.min(F.col("_step5.min") / F.col("_step2")).over(ends),
+            F.struct(F.count(ret).over(so_far).alias("n"), F.count(F.when(ret <= -1, 1)).over(so_far).alias("lost")),
+            F.lag(F.struct(F.col("_step0").alias("block"), "_step5.max", "_step5.end", F.col("_step6").alias("worst"), "_step7.lost", "ret"), w - 1).over(_ticker()),
+        ]
+        first = F.col("_step8")
+        whole = F.col("_step7.n") - F.coalesce(F.lag("_step7.n", w).over(_ticker()), F.lit(0)) == w
+        across = F.least(first["worst"], F.col("_step4"), first["end"] * F.col("_step3.min") / first["max"])
+        kept = F.when(first["block"] == F.col("_step0"), F.col("_step4")).otherwise(across)
+        # a level of nothing has no peak to fall from; after one that lost everything there is none either
+        fall = F.when(first["ret"] <= -1, 0.0).when(F.col("_step7.lost") > first["lost"], -1.0).otherwise(kept - 1)
+        return [*steps, F.when(first.isNotNull() & whole, fall)]
 
 
 @dataclass

@@ -7,12 +7,15 @@ horizons are columns, so all of them are one job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import average_rank, ratio, safe_corr
+from panelforge.session import for_workers
 from panelforge.sources.panel import forward_returns
 
 KEYS = ("factor", "horizon")
@@ -20,6 +23,8 @@ KEYS = ("factor", "horizon")
 NOISE_IC = 1e-12
 #: A 31-bit linear congruential generator: fixed values.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
+#: Tasks that a series' replicates are dealt to.
+_SHARES = 64
 
 
 def compute_ic(signal: DataFrame, forward: DataFrame, min_periods: int = 5) -> DataFrame:
@@ -121,15 +126,62 @@ def block_bootstrap(ic: DataFrame, block: int | Column | None = None, replicates
     once, and a replicate is one pass over its blocks, without a join. For the
     mean, prefix sums make a block one subtraction.
     """
+    series = _as_arrays(ic, block, running_sums=statistic == "mean")
+    laid = _laid(series, replicates, seed, sums=statistic == "mean")
+    value = laid.select(*KEYS, (F.col("laid") / F.col("n") if statistic == "mean" else _over_values(statistic)(F.col("laid"))).alias("s"))
+    return value.groupBy(*KEYS).agg(*_interval(confidence))
+
+
+def bootstrap_of(ic: DataFrame, function: Callable[[np.ndarray], float], block: int | Column | None = None, replicates: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """point_estimate, ci_lower, ci_upper, se_bootstrap by factor and horizon of any function from a numpy array to a number.
+
+    The draws are those of ``block_bootstrap``; the function runs in Arrow
+    batches, once a replicate and once for the series itself. A series of fewer
+    than two values, or no replicates, gives nulls; so does a NaN.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [float(function(x.values.to_numpy(zero_copy_only=False))) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([None if x != x else x for x in found], pa.float64())], ["factor", "horizon", "s"])
+
+    def of(arrays: DataFrame) -> DataFrame:
+        return for_workers(arrays).mapInArrow(run, arrays.select(*KEYS).withColumn("s", F.lit(None).cast("double")).schema)
+
+    series = _as_arrays(ic, block)
+    point = of(series.select(*KEYS, "v")).withColumnRenamed("s", "point_estimate")
+    spread = of(_laid(series, replicates, seed).select(*KEYS, "laid")).groupBy(*KEYS).agg(*_interval(confidence))
+    all_ = ic.select(*KEYS).distinct().join(point, list(KEYS), "left").join(spread, list(KEYS), "left")
+    there = F.lit(replicates >= 1)
+    return all_.select(*KEYS, *[F.when(there, F.col(c)).alias(c) for c in ("point_estimate", "ci_lower", "ci_upper", "se_bootstrap")])
+
+
+def _interval(confidence: float) -> list[Column]:
+    tail = (1 - confidence) / 2
+    return [F.percentile("s", tail).alias("ci_lower"), F.percentile("s", 1 - tail).alias("ci_upper"), F.stddev_samp("s").alias("se_bootstrap")]
+
+
+def _as_arrays(ic: DataFrame, block: int | Column | None, running_sums: bool = False) -> DataFrame:
+    """factor, horizon, v, n, b: each series of at least two values as one array (or its running sums, from 0), and the length of its blocks."""
+    table = numbered(ic)
+    if running_sums:
+        so_far = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        table = table.withColumn("ic", F.sum("ic").over(so_far))
     values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ic"))), lambda s: s["ic"])
-    series = numbered(ic).groupBy(*KEYS).agg(values.alias("v")).where("size(v) >= 2").withColumn("n", F.size("v").cast("long"))
+    series = table.groupBy(*KEYS).agg(values.alias("v")).where("size(v) >= 2").withColumn("n", F.size("v").cast("long"))
     asked = F.ceil(F.cbrt(F.col("n").cast("double")) - 1e-9) if block is None else block if isinstance(block, Column) else F.lit(block)
     series = series.withColumn("b", F.least(F.greatest(asked.cast("long"), F.lit(1).cast("long")), F.col("n")))
-    if statistic == "mean":
-        rising = F.aggregate("v", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        series = series.withColumn("v", rising)
-    # the replicates are dealt over the tasks; the series are a value a date, factor and horizon, and go to each
-    draws = ic.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(series))
+    return series.withColumn("v", F.concat(F.array(F.lit(0.0)), "v")) if running_sums else series
+
+
+def _laid(series: DataFrame, replicates: int, seed: int, sums: bool = False) -> DataFrame:
+    """factor, horizon, n, laid: each replicate of each series, as its values or, of running sums, as its sum."""
+    spark, shares = series.sparkSession, max(1, min(_SHARES, replicates))
+    # each series goes to as many tasks as it has shares of the replicates, which are drawn there
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
+    dealt = series.withColumn("_share", share).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS, "_share")
+    drawn = F.explode(F.sequence(F.col("_share"), F.lit(max(replicates, 1) - 1).cast("long"), F.lit(shares).cast("long")))
+    draws = dealt.where(F.lit(replicates >= 1)).withColumn("rep", drawn)
 
     def start(blk: Column) -> Column:
         state = (F.lit(seed) + F.col("rep") * 7919 + blk * 104729) % LCG_M
@@ -138,7 +190,7 @@ def block_bootstrap(ic: DataFrame, block: int | Column | None = None, replicates
         return F.call_function("div", state * F.col("n"), F.lit(LCG_M))
 
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b")) * 4 + 49)
-    if statistic == "mean":
+    if sums:
         nothing, of = F.lit(0.0), lambda acc, s, size: acc + F.get("v", (s + size).cast("int")) - F.get("v", s.cast("int"))
     else:
         nothing, of = F.array().cast("array<array<double>>"), lambda acc, s, size: F.concat(acc, F.array(F.slice("v", (s + 1).cast("int"), size.cast("int"))))
@@ -150,12 +202,7 @@ def block_bootstrap(ic: DataFrame, block: int | Column | None = None, replicates
         return F.when(a["filled"] < F.col("n"), F.get(more, F.lit(0))).otherwise(a)
 
     laid = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("filled"), nothing.alias("acc")), lay)["acc"]
-    if statistic == "mean":
-        value = draws.select(*KEYS, (laid / F.col("n")).alias("s"))
-    else:
-        value = draws.select(*KEYS, F.flatten(laid).alias("laid")).select(*KEYS, _over_values(statistic)(F.col("laid")).alias("s"))
-    tail = (1 - confidence) / 2
-    return value.groupBy(*KEYS).agg(F.percentile("s", tail).alias("ci_lower"), F.percentile("s", 1 - tail).alias("ci_upper"), F.stddev_samp("s").alias("se_bootstrap"))
+    return draws.select(*KEYS, "n", (laid if sums else F.flatten(laid)).alias("laid"))
 
 
 def decay(signal: DataFrame, panel: DataFrame, max_lag: int = 20, min_periods: int = 5) -> DataFrame:
