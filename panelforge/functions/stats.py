@@ -6,6 +6,7 @@ window does. Division by zero is null unless a metric defines it otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,23 +53,52 @@ def average_rank(x: Column, *keys: str) -> Column:
     return F.when(there, F.rank().over(group.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
-def whole_rank(df: DataFrame, x: str, *keys: str, blocks: int = 256) -> DataFrame:
+def whole_rank(df: DataFrame, x: str, *keys: str, blocks: int = 4096) -> DataFrame:
     """``df`` with ``rank``, the average rank of ``x`` within ``keys``, for groups too large for one task.
 
-    Approximate quantiles cut each group into blocks of neighbouring values; a
-    value's rank is its rank in its block after the blocks before it. Equal
-    values share a block, so the rank is exact. Rows with a null have none.
+    Only distinct values and their counts are ordered, so a value that many rows
+    share is one row there. Approximate quantiles cut a group's values into at least
+    ``blocks`` blocks (four or more); a value's rank comes from the counts in the blocks
+    before its own and those before it in its own. It is exact: quantiles only
+    decide which task does what. Rows get their value's rank by a join that Spark
+    may split where one value is frequent. Rows with a null have none.
     """
     there = df.where(F.col(x).isNotNull())
-    cuts = there.groupBy(*keys).agg(F.percentile_approx(x, [k / blocks for k in range(1, blocks)], 10_000).alias("_cuts"))
-    # one row a group
-    cut = there.join(cuts, list(keys)) if keys else there.crossJoin(F.broadcast(cuts))
-    cut = cut.withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    values = there.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
+    side = max(2, math.isqrt(max(blocks, 1) - 1) + 1)
+    n = side * side
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(x, [k / n for k in range(1, n)], 10_000).alias("_cuts"))
+    # a cut is found among every side-th, then among those up to the next of these
+    cuts = cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_cuts", i * side)))
+    cut = values.join(cuts, list(keys)) if keys else values.crossJoin(cuts)  # one row a group
+    below = lambda c: F.size(F.filter(c, lambda v: v < F.col(x)))
+    cut = cut.withColumn("_a", below(F.col("_coarse"))).withColumn("_block", F.col("_a") * side + below(F.slice("_cuts", F.col("_a") * side + 1, side)))
+    cut = cut.drop("_cuts", "_coarse", "_a")
+    sizes = cut.groupBy(*keys, "_block").agg(F.sum("_c").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*keys, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = cut.join(starts, [*keys, "_block"])
-    return joined.withColumn("rank", F.col("_before") + average_rank(F.col(x), *keys, "_block")).drop("_block", "_before")
+    so_far = F.sum("_c").over(Window.partitionBy(*keys, "_block").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = cut.join(starts, [*keys, "_block"]).select(*keys, x, (F.col("_before") + so_far - (F.col("_c") - 1) / 2).alias("rank"))
+    return there.join(ranks, [*keys, x]).select(*df.columns, "rank")
+
+
+def nearest_dates(dates: DataFrame, probes: DataFrame, days: int = 366) -> DataFrame:
+    """probe, date: the nearest of ``dates`` (date) to each of ``probes`` (probe), the earlier of two; no row where there are no dates.
+
+    Both are merged in order of date within spans of ``days``; what comes from
+    beyond a span is carried over from its neighbours, of which there is a row a
+    span. Any number of dates and probes: nothing is compared pair by pair.
+    """
+    rows = dates.select("date", F.lit(None).cast("date").alias("probe")).distinct().unionByName(probes.select(F.lit(None).cast("date").alias("date"), "probe").where("probe is not null").distinct())
+    rows = rows.withColumn("_at", F.coalesce("date", "probe")).withColumn("_span", F.floor(F.unix_date("_at") / days))
+    run = lambda order: Window.partitionBy("_span").orderBy(order, F.col("probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumns({"_below": F.last("date", ignorenulls=True).over(run(F.col("_at"))), "_above": F.last("date", ignorenulls=True).over(run(F.desc("_at")))})
+    spans = rows.groupBy("_span").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    order = Window.orderBy("_span")  # one row a span
+    carried = spans.select("_span", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    near = found.where("probe is not null").join(carried, "_span").select("probe", F.coalesce("_below", "_before").alias("a"), F.coalesce("_above", "_after").alias("b"))
+    date = F.when(F.col("b").isNull() | (F.datediff("probe", "a") <= F.datediff("b", "probe")), F.col("a")).otherwise(F.col("b"))
+    return near.select("probe", date.alias("date")).where("date is not null")
 
 
 def sample_skewness(x: Column, on: Callable[[Column], Column] = lambda c: c) -> Column:

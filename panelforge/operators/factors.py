@@ -6,14 +6,19 @@ share one sort by ticker and, where they compare tickers, one by date.
 
 from __future__ import annotations
 
-from abc import ABC, abstractmethod
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from panelforge.functions.stats import average_rank, let, ratio, rolling, sample_skewness, series
+from panelforge.functions.stats import average_rank, ratio, rolling, sample_skewness, series
+from panelforge.session import for_workers
 
 
 def _ticker() -> WindowSpec:
@@ -25,7 +30,41 @@ def _ticker() -> WindowSpec:
 TINY = 1e-10
 
 
-class Factor(ABC):
+class RankTree:
+    """A multiset of some of the values of ``order`` (sorted, distinct), by their places: counts and sums in Fenwick trees."""
+
+    def __init__(self, order: np.ndarray):
+        self.values = order.tolist()
+        self.count, self.total = [0] * (len(order) + 1), [0.0] * (len(order) + 1)
+        self.top = 1 << len(order).bit_length() >> 1
+
+    def add(self, place: int, times: int) -> None:
+        value, node = self.values[place] * times, int(place) + 1
+        while node < len(self.count):
+            self.count[node] += times
+            self.total[node] += value
+            node += node & -node
+
+    def select(self, k: int) -> float:
+        """The value with ``k`` before it."""
+        node, step = 0, self.top
+        while step:
+            if node + step < len(self.count) and self.count[node + step] <= k:
+                node += step
+                k -= self.count[node]
+            step >>= 1
+        return self.values[node]
+
+    def below(self, place: int) -> tuple[int, float]:
+        """Count and sum of those at the first ``place`` places."""
+        count, total = 0, 0.0
+        while place:
+            count, total = count + self.count[place], total + self.total[place]
+            place &= place - 1
+        return count, total
+
+
+class Factor:
     """A signal of its name, with the rows of history it needs. Subclass and give ``over_time``; add ``across`` to compare tickers."""
 
     name: str
@@ -33,9 +72,12 @@ class Factor(ABC):
     #: Columns that the panel must have besides date, rn, ticker, close and ret.
     needs: tuple[str, ...] = ()
 
-    @abstractmethod
     def over_time(self) -> Column | list[Column]:
         """The expression over a ticker's own rows; a list is evaluated step by step, each as _step0, _step1..."""
+        raise NotImplementedError(f"{type(self).__name__} needs over_time or over_series")
+
+    #: In the place of ``over_time``, for what windows can't express: a function of a ticker's returns in order (NaN for null) that gives as many values.
+    over_series: Callable[[np.ndarray], np.ndarray] | None = None
 
     def across(self, own: Column, panel: DataFrame) -> Column:
         """The expression over the rows of a date, from ``over_time``'s result."""
@@ -188,19 +230,26 @@ class RollingCVaR(Factor):
     def __post_init__(self):
         self.name, self.lookback = f"rolling_cvar_{self.window}_{int(self.confidence * 100)}", self.window
 
-    def over_time(self) -> list[Column]:
-        window = rolling(F.collect_list, F.col("ret"), self.window, _ticker())
+    def over_series(self, ret: np.ndarray) -> np.ndarray:
+        """A rank tree holds the window: two selections and a sum of a tail a row, each in logarithmic time."""
+        there, out = ~np.isnan(ret), np.full(len(ret), np.nan)
+        order = np.unique(ret[there])
+        rank = np.searchsorted(order, ret)
+        tree, held = RankTree(order), 0
         at = (self.window - 1) * self.confidence
         low, high = int(at), min(int(at) + 1, self.window - 1)
-
-        def cut(s: Column) -> Column:
-            return F.get(s, F.lit(low)) + (F.get(s, F.lit(high)) - F.get(s, F.lit(low))) * (at - low)
-
-        def mean(tail: Column) -> Column:
-            return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
-
-        tail = lambda s: let(cut(s), lambda c: let(F.filter(s, lambda x: x <= c), mean))
-        return [window, F.when(F.col("_step0").isNotNull(), let(F.sort_array("_step0"), tail))]
+        for t in range(len(ret)):
+            if there[t]:
+                tree.add(rank[t], 1)
+                held += 1
+            if t >= self.window and there[t - self.window]:
+                tree.add(rank[t - self.window], -1)
+                held -= 1
+            if held == self.window:
+                a, b = tree.select(low), tree.select(high)
+                count, total = tree.below(int(np.searchsorted(order, a + (b - a) * (at - low), "right")))
+                out[t] = total / count
+        return out
 
 
 @dataclass
@@ -259,6 +308,21 @@ class RollingSkewness(Factor):
 ALL = [Momentum, CrossSectionalMomentum, RSI, BollingerZScore, ShortTermReversal, LowVol, ResidualMomentum, SectorNeutralMomentum, QualityProxy, RollingSharpe, RollingCVaR, RollingMaxDrawdown, RollingSkewness]
 
 
+def _by_series(panel: DataFrame, functions: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """``panel`` with a column for each function of a ticker's returns. A ticker's rows, one a date, are in one task, as windows have them too."""
+    schema = reduce(lambda s, c: s.add(c, "double"), functions, T.StructType(list(panel.schema.fields)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        ret = table["ret"].to_numpy().astype(float)
+        for name, function in functions.items():
+            found = function(ret)
+            table = table.append_column(name, pa.array(found, mask=np.isnan(found)))
+        return table
+
+    return for_workers(panel).groupBy("ticker").applyInArrow(run, schema)
+
+
 def compute(panel: DataFrame, factors: list[Factor]) -> DataFrame:
     """factor, date, rn, ticker, value for every cell of the panel and every factor."""
     names = [f.name for f in factors]
@@ -268,7 +332,11 @@ def compute(panel: DataFrame, factors: list[Factor]) -> DataFrame:
         if missing := [c for c in f.needs if c not in panel.columns]:
             raise ValueError(f"{f.name} needs {', '.join(missing)}")
     out = panel if "ret" in panel.columns else panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(_ticker())) - 1)
+    if in_order := {f"_own{k}": f.over_series for k, f in enumerate(factors) if f.over_series}:
+        out = _by_series(out, in_order)
     for k, f in enumerate(factors):
+        if f.over_series:
+            continue
         steps = f.over_time()
         steps = steps if isinstance(steps, list) else [steps]
         for i, step in enumerate(steps[:-1]):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.stats import ratio, rolling, safe_corr, sample_kurtosis, sample_skewness, series
+from panelforge.functions.stats import nearest_dates, ratio, rolling, safe_corr, sample_kurtosis, sample_skewness, series
 from panelforge.operators import factors as fx
 from panelforge.operators import ic, metrics
 from panelforge.operators.backtest import Backtest
 from panelforge.operators.combine import ICWeighted, zscored
+from panelforge.session import for_workers
 from panelforge.sources.panel import forward_returns
 
 
@@ -76,14 +79,63 @@ def sub_periods(table: DataFrame, split: str) -> DataFrame:
     return parts.groupBy("factor", "horizon", "period").agg(F.avg("ic").alias("mean"), (ratio(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))) * F.sqrt(F.count("ic"))).alias("t_stat"), F.count("ic").alias("n"))
 
 
-def leave_one_out(signal: DataFrame, panel: DataFrame, horizon: int = 1) -> DataFrame:
-    """factor, left_out, mean_ic: the coefficient without each ticker in turn. The ticker left out is a column, so it is one job."""
-    names = panel.select(F.col("ticker").alias("left_out")).distinct()
-    cut = lambda d: d.join(F.broadcast(names), F.col("ticker") != F.col("left_out"))
-    s = cut(signal).withColumn("factor", F.concat_ws("|", "factor", "left_out")).drop("left_out")
-    table = ic.compute_ic(s, forward_returns(panel, [horizon]))
-    both = F.split("factor", r"\|")
-    return table.groupBy(both[0].alias("factor"), both[1].alias("left_out")).agg(F.avg("ic").alias("mean_ic"))
+def without_each(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The rank correlation of ``x`` and ``y``, and that without each pair in turn; NaN where a side is constant.
+
+    Without a pair every greater value's rank falls by one and every equal one's
+    by a half, so nothing is ranked again. Ranks are multiples of a half: the sums
+    are exact. Pairs are left out in slices, so memory is linear in their number.
+    """
+
+    def ranks(v: np.ndarray) -> np.ndarray:
+        _, at, times = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(times) - (times - 1) / 2)[at]
+
+    def corr(n, xx, yy, xy):
+        mean = (n + 1) / 2
+        spread = np.sqrt((xx - n * mean**2) * (yy - n * mean**2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(spread > 0, (xy - n * mean**2) / spread, np.nan)
+
+    n, rx, ry = len(x), ranks(x), ranks(y)
+    out = np.empty(n)
+    for at in range(0, n, 256):
+        cut = slice(at, min(at + 256, n))
+        lower = lambda v: (v[:, None] > v[None, cut]) + 0.5 * (v[:, None] == v[None, cut])
+        a, b = rx[:, None] - lower(x), ry[:, None] - lower(y)
+        a[np.arange(cut.start, cut.stop), np.arange(cut.stop - cut.start)] = 0
+        b[np.arange(cut.start, cut.stop), np.arange(cut.stop - cut.start)] = 0
+        out[cut] = corr(n - 1, (a * a).sum(0), (b * b).sum(0), (a * b).sum(0))
+    return float(corr(n, rx @ rx, ry @ ry, rx @ ry)), out
+
+
+def leave_one_out(signal: DataFrame, panel: DataFrame, horizon: int = 1, min_periods: int = 5) -> DataFrame:
+    """factor, left_out, mean_ic: the coefficient without each ticker in turn.
+
+    A date's cross-section is ranked once and gives a row for each of its tickers.
+    A ticker's mean is the factor's sums over all dates, with its own dates' whole
+    coefficients changed for those without it.
+    """
+    forward = forward_returns(panel, [horizon]).select("date", "ticker", "fwd")
+    pairs = signal.join(forward, ["date", "ticker"]).where("value is not null and fwd is not null").select("factor", "date", "ticker", "value", "fwd")
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        whole, each = without_each(table["value"].to_numpy(), table["fwd"].to_numpy())
+        whole = whole if n >= min_periods else np.nan
+        each = each if n - 1 >= min_periods else np.full(n, np.nan)
+        null = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+        names = pa.array([*table["ticker"].to_pylist(), None], pa.string())
+        return pa.table({"factor": pa.array(table["factor"].to_pylist()[:1] * (n + 1), pa.string()), "left_out": names, "whole": null(np.full(n + 1, whole)), "without": null(np.append(each, np.nan))})
+
+    cut = for_workers(pairs).groupBy("factor", "date").applyInArrow(run, "factor string, left_out string, whole double, without double")
+    sums = cut.groupBy("factor", "left_out").agg(*[f(c).alias(f"{n}_{c}") for c in ("whole", "without") for n, f in (("s", F.sum), ("c", F.count))])
+    total = sums.where("left_out is null").select("factor", F.coalesce("s_whole", F.lit(0.0)).alias("s"), F.col("c_whole").alias("c"))
+    every = signal.select("factor").distinct().crossJoin(panel.select(F.col("ticker").alias("left_out")).distinct())  # factors times names
+    of = every.join(sums.where("left_out is not null"), ["factor", "left_out"], "left").join(total, "factor", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mean = ratio(zero("s") - zero("s_whole") + zero("s_without"), (zero("c") - zero("c_whole") + zero("c_without")).cast("double"))
+    return of.select("factor", "left_out", F.when(zero("c") - zero("c_whole") + zero("c_without") > 0, mean).alias("mean_ic"))
 
 
 def most_volatile(panel: DataFrame) -> DataFrame:
@@ -132,9 +184,9 @@ def orientation_lag(table: DataFrame, probes: list[str], trailing: int = 52, ahe
     """probe, date (the nearest there is, the earlier of two), trailing and realised mean coefficient around it, and whether their signs agree."""
     w = series("factor", "horizon")
     x = table.withColumn("trailing", rolling(F.avg, F.col("ic"), trailing, w, least=1)).withColumn("realised", F.avg("ic").over(w.rowsBetween(1, ahead)))
-    asked = F.explode(F.array(*[F.lit(p).cast("date") for p in probes])).alias("probe")
-    near = table.select("date").distinct().select("date", asked).groupBy("probe").agg(F.min_by("date", F.struct(F.abs(F.datediff("date", "probe")), "date")).alias("date"))
-    return x.join(F.broadcast(near), "date").select("factor", "horizon", "probe", "date", "trailing", "realised", (F.signum("trailing") == F.signum("realised")).alias("agrees"))
+    asked = table.sparkSession.createDataFrame([(p,) for p in probes], "probe string").select(F.col("probe").cast("date").alias("probe"))
+    near = nearest_dates(table.select("date").distinct(), asked)
+    return x.join(near, "date").select("factor", "horizon", "probe", "date", "trailing", "realised", (F.signum("trailing") == F.signum("realised")).alias("agrees"))
 
 
 def decision_table(table: DataFrame, returns: DataFrame) -> DataFrame:
