@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import LOWER, UPPER
 from panelforge.llm.components import connected_components, skew_join
 
-#: Rules are tried one by one in an expression, so their number is bounded.
-MOST_RULES = 1000
+#: So many rules are tried one by one in an expression; more are found by hash joins.
+MOST_RULES = 100
 #: Query parameters that don't change the page.
 TRACKING = r"(?i)^(utm_[a-z]+|ref|fbclid|gclid)="
 
@@ -45,16 +45,52 @@ def path_of(url: Column) -> Column:
 
 
 def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits, as a struct (rule, verdict); null if none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are tried one by one")
+    """The longest rule that fits, as a struct (rule, verdict); null if none does. Of rules as long as one another the greatest text wins, of two verdicts on one text ``allow``."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
+    for r in sorted(rules, key=lambda r: (len(r.text), r.text, r.host, r.verdict == "allow")):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
         found = F.when(fits, F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
     return found
 
 
+def rule_table(rules: DataFrame) -> DataFrame:
+    """host, path, verdict without repetitions; of two verdicts on a host and path, ``allow``. Rules with a null are none."""
+    return rules.where("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+
+
+def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, _r (as ``best_rule``) of every distinct host and path of ``urls`` that a rule fits.
+
+    A host is looked up by each of its domains, which gives the lengths of the
+    paths that these have rules for; the path's beginnings of those lengths are
+    then looked up. Any number of rules: both joins are by hash, and Spark can
+    split a domain that many hosts share.
+    """
+    table = rule_table(rules)
+    lengths = table.groupBy("host").agg(F.collect_set(F.char_length("path")).alias("_lengths"))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = urls.select("host", "path").distinct().select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.explode(domains).alias("host"))
+    known = skew_join(each, lengths, "host")
+    begun = known.select("_host", "_path", "host", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("_path"))).alias("_n"))
+    begun = begun.select("_host", "_path", F.struct("host", F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("path")).alias("_key"))
+    found = skew_join(begun, table.select(F.struct("host", "path").alias("_key"), "verdict"), "_key")
+    text = F.concat("_key.host", "_key.path")
+    order = F.struct(F.char_length(text), text, F.col("_key.host"))
+    best = found.groupBy("_host", "_path").agg(F.max_by(F.struct(text.alias("rule"), "verdict"), order).alias("_r"))
+    return best.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "_r")
+
+
+def with_rule(urls: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """``urls`` (host, path, ...) with ``_r``, the rule that fits."""
+    if isinstance(rules, list) and len(rules) <= MOST_RULES:
+        return urls.withColumn("_r", best_rule(F.col("host"), F.col("path"), rules))
+    if isinstance(rules, list):
+        rules = urls.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    keyed = urls.withColumn("_key", F.struct("host", "path"))
+    return skew_join(keyed, joined_rules(urls, rules).select(F.struct("host", "path").alias("_key"), "_r"), "_key", "left").drop("_key")
+
+
 def canonical(url: Column) -> Column:
     """The URL without scheme, fragment, tracking parameters and letter case of the host: what a server takes for the same page."""
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
@@ -105,25 +141,28 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return ends.where("src is not null and dst is not null and src <> dst")
 
 
-def judge(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, edges: DataFrame | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id column, host, path, rule, verdict and source (rule, alias or default) of every row.
 
     ``edges`` (src, dst: URLs) are further redirects, such as a crawler's log;
     a URL that is no page is judged by the rules like any other, so a block on
     it reaches the pages that lead there. Null URLs have empty parts and the
-    default verdict. Repeated rows are judged alike.
+    default verdict. Repeated rows are judged alike. ``rules`` may be a list or a
+    table (host, path, verdict) of any size; of rules as long as one another the
+    greatest text wins, then the greatest host, of two verdicts on one host and
+    path ``allow``.
     """
     links = page_edges(pages, url_col, html_col)
     if edges is not None:
         links = links.unionByName(edges.select(canonical(F.col("src")).alias("src"), canonical(F.col("dst")).alias("dst")))
     groups = connected_components(links)
     member = F.concat(F.lit("x://"), F.col("node"))
-    ruled = groups.withColumn("_r", best_rule(host_of(member), path_of(member), rules))
+    ruled = with_rule(groups.withColumns({"host": host_of(member), "path": path_of(member)}), rules)
     blocked = ruled.where("_r.verdict = 'block'").select("component").distinct()
     tainted = groups.join(blocked, "component").select(F.col("node").alias("_node")).distinct().withColumn("_tainted", F.lit(True))
     url = F.col(url_col)
     own = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("_node"))
-    own = own.withColumn("_r", best_rule(F.col("host"), F.col("path"), rules))
+    own = with_rule(own, rules)
     seen = skew_join(own, tainted, "_node", "left")
     return seen.select(
         id_col,
