@@ -17,6 +17,7 @@ from panelforge.operators import combine, diagnostics, ic, metrics
 from panelforge.operators import factors as fx
 from panelforge.operators.backtest import Backtest, sweep
 from panelforge.plans import research, tearsheet
+from panelforge.plans.report import ReportConfig, SignalReport
 from panelforge.sources import fundamentals, store, universe
 from panelforge.sources.panel import forward_returns, price_panel, trade_bars
 
@@ -418,6 +419,16 @@ def backtest_grid(p):
     return metrics.total_return(sweep(p, sig(p, 1), [1, 5, 21]), ["rebalance", "smooth", "factor"])
 
 
+_SMOOTH_GRID = [part for k, (f, sm) in enumerate([(1, 0.0), (1, 0.6), (5, 0.0), (5, 0.6)]) for part in q.backtest(rebalance=f, smooth=sm, prefix="abcd"[k])]
+_SMOOTH_ROWS = "gr AS (" + " UNION ALL ".join(f"SELECT {f} AS rebalance, {sm}::DOUBLE AS smooth, * FROM {'abcd'[k]}bt" for k, (f, sm) in enumerate([(1, 0.0), (1, 0.6), (5, 0.0), (5, 0.6)])) + ")"
+
+
+@on_panel(chain(q.SIG1, *_SMOOTH_GRID, _SMOOTH_ROWS, select=f"SELECT rebalance, smooth, factor, {r('product(1 + ret * 0.05::DOUBLE) - 1', 'total_return')} FROM gr GROUP BY rebalance, smooth, factor"))
+def backtest_grid_smooth(p):
+    """A grid with smoothing: two holding periods by two shares of yesterday's position, in one pass."""
+    return metrics.total_return(scaled(sweep(p, sig(p, 1), [1, 5], [0.0, 0.6])), ["rebalance", "smooth", "factor"])
+
+
 # --- metrics ------------------------------------------------------------------------------------------------
 
 _BENCH = "wb AS (SELECT sc.*, b.bench FROM sc LEFT JOIN (SELECT date, lead(market) OVER (ORDER BY rn) / market - 1 AS bench FROM days) b USING (date))"
@@ -457,6 +468,33 @@ def benchmark_equity(p):
     return tearsheet.benchmark_equity(research.with_benchmark(scaled(Backtest().run(p, sig(p, 1))), p), ["factor"])
 
 
+@on_panel(chain(q.SIG2, *q.backtest(), _SCALED, *_MONTHS, "mt AS (SELECT factor, month, coalesce(r, 0) AS r FROM sp LEFT JOIN mr USING (factor, month))", select="SELECT factor, CAST(year(month) AS INTEGER) AS year, " + ", ".join(r(f"max(r) FILTER (month(month) = {m})", f'"{m}"') for m in range(1, 13)) + " FROM mt GROUP BY 1, 2"))
+def monthly_table(p):
+    """A row a year, a column a month."""
+    return tearsheet.monthly_table(scaled(Backtest().run(p, sig(p, 2))), ["factor"])
+
+
+@on_panel(chain(q.SIG2, *q.backtest(), _SCALED, _BENCH, *q.metrics("wb", "factor", True), "sd AS (SELECT factor, min(date) AS first_date, max(date) AS last_date FROM sc GROUP BY factor)", select="SELECT factor, first_date, last_date, " + ", ".join(r(c, c) for c in _ALL) + " FROM my JOIN sd USING (factor)"))
+def tear_banner(p):
+    """The dates and metrics above a tear sheet."""
+    return tearsheet.banner(research.with_benchmark(scaled(Backtest().run(p, sig(p, 2))), p), ["factor"])
+
+
+_REPORT = ReportConfig(horizons=[5], decay_lags=5, replicates=200)
+
+
+@on_panel(chain(q.SIG1, q.forward(5), q.IC, q.NW, *[re.sub(r"\b(xs|sz|dr)\b", r"\1_b", part) for part in _BOOT], "sm AS (" + _SUMMARY + ")", select=f"SELECT sm.*, {r('(SELECT quantile_cont(m, 0.025) FROM ms)', 'ci_lower')}, {r('(SELECT quantile_cont(m, 0.975) FROM ms)', 'ci_upper')}, {r('(SELECT stddev_samp(m) FROM ms)', 'se_bootstrap')} FROM sm"))
+def report_horizons(p):
+    """The coefficients of a whole report, with their intervals."""
+    return SignalReport(sig(p, 1), p, _REPORT).run().results["ic_by_horizon"]
+
+
+@on_panel(chain(q.SIG1, *q.backtest(), "eq AS (SELECT factor, date, ret, turnover, product(1 + ret) OVER (PARTITION BY factor ORDER BY date) AS e FROM bt)", select=f"SELECT 'daily' AS run, factor, date, {r('ret', 'ret')}, {r('turnover', 'turnover')}, {r('e', 'equity')}, {r('e / max(e) OVER (PARTITION BY factor ORDER BY date) - 1', 'drawdown')} FROM eq"))
+def report_equity(p):
+    """The curve behind a report's last plot, rebalanced daily."""
+    return SignalReport(sig(p, 1), p, _REPORT).run().panels()["equity"].where("run = 'daily'")
+
+
 # --- research -----------------------------------------------------------------------------------------------
 
 

@@ -47,12 +47,11 @@ def full_summary(returns: DataFrame, keys: list[str], periods: int = PERIODS, rf
     p, q = F.when(both, r), F.when(both, b)
     n, size = F.count(r), F.count(F.lit(1))
     pairs = F.count(p)
-    cuts = x.groupBy(*keys).agg(F.percentile(r, 1 - 0.95).alias("_var"), F.percentile(r, tail).alias("_low"), F.percentile(r, 1 - tail).alias("_high"))
-    fall = drawdowns(x, keys).groupBy(*keys).agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("_mdd"))
-    # one row a key, left to Spark to broadcast
-    cuts = cuts.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    j = x.join(cuts, same).drop(*[f"_{k}" for k in keys])
+    # quantiles and falls are columns of the series itself, so that it is read once, however it was made
+    series_of = Window.partitionBy(*keys)
+    so_far = series_of.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    j = x.withColumns({"_var": F.percentile(r, 1 - 0.95).over(series_of), "_low": F.percentile(r, tail).over(series_of), "_high": F.percentile(r, 1 - tail).over(series_of), "_equity": F.product(1 + r).over(so_far)})
+    j = j.withColumn("_fall", ratio(F.col("_equity"), F.greatest(F.lit(1.0), F.max("_equity").over(so_far))) - 1)
     mean, sd = F.avg(excess), F.stddev_samp(excess)
     downside = F.sqrt(F.avg(F.when(excess < 0, excess * excess)))
     years = size.cast("double") / periods
@@ -91,9 +90,8 @@ def full_summary(returns: DataFrame, keys: list[str], periods: int = PERIODS, rf
             "up_capture": _or_zero(pairs >= 2, ratio(up, F.nullif(up_b, F.lit(0.0)))),
             "down_capture": _or_zero(pairs >= 2, ratio(down, F.nullif(down_b, F.lit(0.0)))),
         }
-    out = j.groupBy(*keys).agg(*[c.cast("double").alias(k) for k, c in cols.items()])
-    out = out.join(fall.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
-    out = out.withColumn("max_drawdown", F.coalesce("_mdd", F.lit(0.0))).withColumn("calmar_ratio", F.when(F.col("max_drawdown") == 0, 0.0).otherwise(ratio(F.col("annualized_return"), F.abs("max_drawdown"))))
+    out = j.groupBy(*keys).agg(*[c.cast("double").alias(k) for k, c in cols.items()], F.least(F.min("_fall"), F.lit(0.0)).alias("max_drawdown"))
+    out = out.withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0))).withColumn("calmar_ratio", F.when(F.col("max_drawdown") == 0, 0.0).otherwise(ratio(F.col("annualized_return"), F.abs("max_drawdown"))))
     return out.select(*keys, *PERFORMANCE, *(BENCHMARK if with_bench else []), *DISTRIBUTION)
 
 
