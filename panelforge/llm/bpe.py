@@ -5,7 +5,7 @@ exactly the token sequences BPE gives. It begins as one state on which every byt
 loops. Each merge (u, v) -> w, in order of rank, adds its gadget: the state after u
 is split off and loses its arc for v, and w gets an arc from every state that has
 one for u, to the state after v. A word has one accepted path; ``encode`` finds it
-byte by byte and remembers the words it has seen.
+arc by arc and remembers the words it has seen.
 
 What each case gives:
 
@@ -36,9 +36,12 @@ from panelforge.llm.common import for_workers
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Up to here every version of Unicode has the same letters and digits.
 SETTLED = "ɏ"
+#: Marks that make one word, in a run of them. An apostrophe may join what follows.
+_MARKS = ".,;:!?*#$%&|<>\"()[]{}-_/+=~^@`\\"
 TWO_SPACES = re.compile(r"\s\s")
 #: A space between two other characters always begins a word.
 GAP = re.compile(r"(?<=\S)(?= \S)")
+_SPACED = " ".__add__
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,6 +61,8 @@ class MergeAutomaton:
     """
 
     START = 0
+    #: Transitions that are kept, in the tables of all states.
+    TABLE = 1_000_000
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         """``labels``: the bytes of each token; ``merges``: (u, v, w) in order of rank."""
@@ -100,97 +105,131 @@ class MergeAutomaton:
             token, rank = self.left[token]
 
     def _compile_bytes(self, labels: dict[int, bytes]) -> None:
-        """Tables from bytes to tokens: the trie of the labels of tokens that have arcs with, at each node, its longest suffix that is a token."""
+        """The arcs' labels as a trie over bytes, and each token's next shorter beginning that is a token."""
         self.children: list[dict[int, int]] = [{}]
-        token_at = {}
+        self.token_at: list[int] = [-1]
         for token, label in labels.items():
             node = 0
             for b in label:
                 if b not in self.children[node]:
                     self.children[node][b] = len(self.children)
                     self.children.append({})
+                    self.token_at.append(-1)
                 node = self.children[node][b]
-            token_at[node] = token
-        self.fail, self.longest, self.shorter = [0] * len(self.children), [-1] * len(self.children), {}
-        level = [0]
-        while level:
-            deeper = []
-            for node in level:
-                for b, child in self.children[node].items():
-                    if node:
-                        back = self.fail[node]
-                        while back and b not in self.children[back]:
-                            back = self.fail[back]
-                        self.fail[child] = self.children[back].get(b, 0)
-                    suffix = self.longest[self.fail[child]]
-                    self.longest[child] = token_at.get(child, suffix)
-                    if child in token_at:
-                        self.shorter[token_at[child]] = suffix
-                    deeper.append(child)
-            level = deeper
+            self.token_at[node] = token
+        self.shorter = {}
+        for token, label in labels.items():
+            node, best = 0, -1
+            for b in label[:-1]:
+                node = self.children[node][b]
+                if self.token_at[node] >= 0:
+                    best = self.token_at[node]
+            self.shorter[token] = best
         self.length = {t: len(label) for t, label in labels.items()}
-
-    def _step(self, node: int, byte: int) -> int:
-        """The next node; what the trie lacks is filled in as it is met."""
-        row = self.children[node]
-        if byte not in row:
-            row[byte] = self._step(self.fail[node], byte) if node else 0
-        return row[byte]
+        self.whole = {label: [t] for t, label in labels.items()}
+        self.table: list[dict[int, bool]] = [{} for _ in self.lost]
+        self.filled = 0
+
+    def _transition(self, state: int, token: int) -> bool:
+        """Works out a transition and enters it into its state's table; the tables start anew when they are full."""
+        if self.filled >= self.TABLE:
+            for row in self.table:
+                row.clear()
+            self.filled = 0
+        self.filled += 1
+        self.table[state][token] = known = self.has_arc(state, token)
+        return known
+
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest token that ``word`` goes on with."""
+        children, token_at, node, best = self.children, self.token_at, 0, -1
+        for k in range(at, len(word)):
+            node = children[node].get(word[k])
+            if node is None:
+                break
+            if token_at[node] >= 0:
+                best = token_at[node]
+        return best
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens on the only accepted path that spells ``word``."""
-        children, longest, shorter, length, after, has_arc = self.children, self.longest, self.shorter, self.length, self.after, self.has_arc
-        node, last, state = 0, [-1] * (len(word) + 1), [self.START] * (len(word) + 1)
-        for end, byte in enumerate(word, 1):
-            row = children[node]
-            node = row[byte] if byte in row else self._step(node, byte)
-            token = longest[node]
-            while (begin := end - length[token]) and not has_arc(state[begin], token):
+        """The tokens on the only accepted path that spells ``word``.
+
+        A beginning of a word has one accepted path too, so no place is reached
+        twice: one that leads nowhere is remembered, and the search is linear.
+        """
+        if word in self.whole:  # the start has every arc
+            return list(self.whole[word])
+        shorter, length, after, table = self.shorter, self.length, self.after, self.table
+        path, at, state, end = [], 0, self.START, len(word)
+        dead: set[int] = set()
+        token = self._longest(word, 0) if word else -1
+        while at < end:
+            while token >= 0:
+                known = table[state].get(token)
+                if known is None:
+                    known = self._transition(state, token)
+                if known and at + length[token] not in dead:
+                    break
                 token = shorter[token]
-            last[end], state[end] = token, after[token]
-        found, end = [], len(word)
-        while end:
-            found.append(last[end])
-            end -= length[last[end]]
-        return found[::-1]
+            if token >= 0:
+                path.append(token)
+                at, state = at + length[token], after[token]
+                token = self._longest(word, at)
+            else:
+                dead.add(at)
+                token = path.pop()
+                at, state = at - length[token], after[path[-1]] if path else self.START
+                token = shorter[token]
+        return path
 
 
-class Encoder:
-    """Whole texts to ids and back. Words that were seen are remembered, in two bounded halves."""
-
-    CACHE = 400_000
-    #: Longer chunks and words aren't remembered.
-    LONGEST = 200
+class Spelling:
+    """What a tokenizer file says of its tokens: their bytes, the merges and the special ones. Enough to decode."""
 
     def __init__(self, path: str):
         """``path``: a tokenizer file with a byte-level BPE model, no normalizer, and special tokens that are matched as they stand."""
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"].get("type") != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or not spec["pre_tokenizer"].get("use_regex", True):
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        added = spec["added_tokens"]
-        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path} has special tokens that take in what surrounds them")
         byte_of = {letter: b for b, letter in byte_letters().items()}
-        vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        spelled = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if all(c in byte_of for c in token)}
-        special = {t["content"]: t["id"] for t in added}
-        made = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
-        alphabet = {i for i, label in spelled.items() if len(label) == 1}
-        self.automaton = MergeAutomaton({i: spelled[i] for i in alphabet | {w for _, _, w in made}}, made)
-        self.labels = spelled | {i: content.encode() for content, i in special.items()}
-        self.special = {content: array("I", [i]).tobytes() for content, i in special.items()}
-        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
+        vocab, pairs = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.plain = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items() if all(c in byte_of for c in token)}
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.labels = self.plain | {i: content.encode() for content, i in self.special.items()}
+
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
+class Encoder(Spelling):
+    """Whole texts to ids and back. Words that were seen are remembered, in two bounded halves."""
+
+    CACHE = 250_000
+    #: Longer chunks and words aren't remembered.
+    LONGEST = 200
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        made = {w for _, _, w in self.merges}
+        self.automaton = MergeAutomaton({i: label for i, label in self.plain.items() if len(label) == 1 or i in made}, self.merges)
+        self.packed = {content: array("I", [i]).tobytes() for content, i in self.special.items()}
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.presplit = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.first: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.word: dict[str, bytes] = {}
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokenizer's words. Its own code splits what has letters that are new to Unicode."""
+        core = chunk.rstrip(_MARKS)
+        if core.lstrip(" ").isalpha() and core.count(" ") <= 1 and max(core) <= SETTLED:  # letters, perhaps with marks behind
+            return [core, chunk[len(core) :]] if len(core) < len(chunk) else [core]
         if chunk and max(chunk) > SETTLED:
             return [chunk[a:b] for _, (a, b) in self.presplit(chunk)]
         return WORDS.findall(chunk)
@@ -207,43 +246,40 @@ class Encoder:
             found.append(ids)
         return b"".join(found)
 
-    def _chunk(self, piece: str, space: str) -> bytes:
-        """The ids of a piece of text behind ``space``, remembered."""
-        cache = self.spaced if space else self.first
-        if (ids := cache.get(piece)) is None:
-            chunk = space + piece
-            ids = self.old.get(chunk) or self._ids(chunk)
-            if len(piece) <= self.LONGEST:
-                if len(self.first) + len(self.spaced) > self.CACHE:
-                    self.old = self.first | {" " + k: v for k, v in self.spaced.items()}
-                    self.first, self.spaced = {}, {}
-                    cache = self.spaced if space else self.first
-                cache[piece] = ids
-        return ids
+    def _learn(self, chunks: set[str]) -> None:
+        for chunk in chunks:
+            ids = self.old.get(chunk)
+            self.cache[chunk] = self._ids(chunk) if ids is None else ids
 
     def _plain(self, text: str) -> bytes:
         """The ids of a text without special tokens."""
         if TWO_SPACES.search(text):
-            pieces = GAP.split(text)
-            return b"".join([self._chunk(pieces[0], ""), *(self._chunk(p[1:], " ") for p in pieces[1:])])
-        first, *rest = text.split(" ")
-        head = self._chunk(first, "")
+            chunks = GAP.split(text)
+        else:
+            first, *rest = text.split(" ")
+            chunks = [first, *map(_SPACED, rest)]
         try:
-            return head + b"".join(map(self.spaced.__getitem__, rest))
+            return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
-            return head + b"".join(self._chunk(p, " ") for p in rest)
+            if len(self.cache) > self.CACHE:
+                self.cache, self.old = {"": b""}, self.cache
+            lacking = set(chunks).difference(self.cache)
+            self._learn(lacking)
+            ids = b"".join(map(self.cache.__getitem__, chunks))
+            for chunk in lacking:
+                if len(chunk) > self.LONGEST:
+                    del self.cache[chunk]
+            return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cut is None or not self.cut.search(text):
             return self._plain(text)
-        return b"".join(self.special.get(part) or self._plain(part) for part in self.cut.split(text))
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        return b"".join(self.packed.get(part) or self._plain(part) for part in self.cut.split(text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_SPELLINGS: dict[str, Spelling] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -253,6 +289,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def spelling(path: str) -> Spelling:
+    """The same for what only decodes: a worker that does has no need of the automaton."""
+    if path not in _SPELLINGS:
+        _SPELLINGS[path] = Spelling(path)
+    return _SPELLINGS[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -278,7 +321,7 @@ def decode_documents(rows: DataFrame, ids: str = "ids", into: str = "text", path
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = encoder(path).decode
+        decode = spelling(path).decode
         for batch in batches:
             yield pa.array([decode(x or b"") for x in batch.to_pylist()], pa.string())
 
