@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 from datetime import date
 from importlib import import_module
 
@@ -38,8 +39,10 @@ def main(args: list[str] | None = None) -> fundamentals.Cycle:
 
     def save(df) -> None:
         lines = ["\t".join((r["ticker"], r["endpoint"], r["last_fetch"].isoformat() if r["last_fetch"] else "")) for r in df.orderBy("ticker", "endpoint").collect()]
-        with open(a.ledger, "w") as f:
+        draft = f"{a.ledger}.draft"
+        with open(draft, "w") as f:
             f.write("".join(x + "\n" for x in lines))
+        os.replace(draft, a.ledger)  # whoever is stopped meanwhile leaves the ledger of the last success
 
     fetch = getattr(import_module(a.fetcher.partition(":")[0]), a.fetcher.partition(":")[2]) if a.fetcher else None
     cycle, _ = fundamentals.run_cycle(spark, universe, ledger, fetch, date.today(), a.budget, a.refresh_days, save, a.dry_run)
