@@ -332,8 +332,6 @@ def compute(panel: DataFrame, factors: list[Factor]) -> DataFrame:
         if missing := [c for c in f.needs if c not in panel.columns]:
             raise ValueError(f"{f.name} needs {', '.join(missing)}")
     out = panel if "ret" in panel.columns else panel.withColumn("ret", ratio(F.col("close"), F.lag("close").over(_ticker())) - 1)
-    if in_order := {f"_own{k}": f.over_series for k, f in enumerate(factors) if f.over_series}:
-        out = _by_series(out, in_order)
     for k, f in enumerate(factors):
         if f.over_series:
             continue
@@ -342,6 +340,9 @@ def compute(panel: DataFrame, factors: list[Factor]) -> DataFrame:
         for i, step in enumerate(steps[:-1]):
             out = out.withColumn(f"_step{i}", step)
         out = out.withColumn(f"_own{k}", steps[-1]).drop(*[f"_step{i}" for i in range(len(steps) - 1)])
+    # after the windows, which use the panel's own partitioning; what it gives out is dealt anew by date, if at all
+    if in_order := {f"_own{k}": f.over_series for k, f in enumerate(factors) if f.over_series}:
+        out = _by_series(out, in_order)
     for k, f in enumerate(factors):
         out = out.withColumn(f"_own{k}", f.across(F.col(f"_own{k}"), panel))
     each = [F.struct(F.lit(f.name).alias("factor"), F.col(f"_own{k}").cast("double").alias("value")) for k, f in enumerate(factors)]
