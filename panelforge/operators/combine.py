@@ -123,6 +123,9 @@ class RollingLasso:
         cols = [c for c in daily.columns if c not in ("date", "rn")]
         rolled = daily.select("date", "rn", *[F.sum(c).over(past).alias(c) for c in cols]).where(F.col("rn") >= self.lookback)
 
+        # the window above is one task, the paths needn't be
+        rolled = rolled.repartition(int(rolled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "date")
+
         def solve(frames):
             for frame in frames:
                 paths = [_of_sums(r, k, alphas) for r in frame.to_dict("records")]
