@@ -78,7 +78,7 @@ def canonical_tokens(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
-    """key, _v (values in slots), _n, pos, h of every window; texts shorter than a window are one window.
+    """key, _s (values in slots), _n, pos, h of every window; texts shorter than a window are one window.
 
     A window is a row of the tokens zipped with themselves shifted, so rows are
     hashed in generated code.
@@ -88,18 +88,21 @@ def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
 
 
 def _hashed(tokens: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """keys, _v, _n, pos, h of every window of rows with _t (tokens) and _v."""
+    """keys, _s (the window's values in slots; null for a text without slots), _n, pos, h of every window of rows with _t (tokens) and _v.
+
+    Each window gets its own values only: none carries those of the whole text.
+    """
     n = F.size("_t")
     shifted = [F.slice("_t", k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(window)]
-    each = tokens.select(*keys, "_v", n.alias("_n"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_z"))
+    values = F.when(F.col("_v").isNotNull(), F.transform("_v", lambda _, i: F.slice("_v", i + 1, window))).otherwise(F.array().cast("array<array<string>>"))
+    each = tokens.select(*keys, n.alias("_n"), F.arrays_zip(*shifted, values.alias("s")).alias("_a")).select(*keys, "_n", F.posexplode("_a").alias("pos", "_z"))
     whole = F.col(f"_z.w{window - 1}").isNotNull() | ((F.col("pos") == 0) & (F.col("_n") < window))
-    return each.where(whole).select(*keys, "_v", "_n", "pos", F.xxhash64(*[F.col(f"_z.w{k}") for k in range(window)]).alias("h"))
+    return each.where(whole).select(*keys, F.col("_z.s").alias("_s"), "_n", "pos", F.xxhash64(*[F.col(f"_z.w{k}") for k in range(window)]).alias("h"))
 
 
 def _slots(window: int) -> Column:
     """Slot values of a window; literals are null."""
-    size = F.least(F.lit(window), F.col("_n"))
-    return F.coalesce(F.slice("_v", F.col("pos") + 1, window), F.array_repeat(F.lit(None).cast("string"), size))
+    return F.coalesce("_s", F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(window), F.col("_n"))))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
@@ -172,18 +175,22 @@ def _item_streams(items: DataFrame) -> DataFrame:
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
     """item, item_kind, item_pos, h, item_slots, rank (among the kind's windows), place, counts (towards the share) and n_windows."""
-    each = _item_streams(items).select("item", "kind", F.size("x").alias("_n"), "x", F.posexplode("x").alias("pos", "_x"))
-    each = each.select("item", "kind", "_n", "pos", F.col("_x.place").alias("place"), F.slice("x", F.col("pos") + 1, window).alias("_z"))
-    each = each.where((F.size("_z") == window) | ((F.col("pos") == 0) & (F.col("_n") < window) & (F.col("kind") == "t")))
-    each = each.select("item", "kind", "pos", "place", F.col("_z.v").alias("slots"), F.xxhash64(*[F.get("_z", F.lit(k))["t"] for k in range(window)]).alias("h"))
+    n = F.size("x")
+    shifted = [F.slice("x", k + 1, F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(window)]
+    zipped = _item_streams(items).select("item", "kind", n.alias("_n"), F.arrays_zip(*shifted).alias("_a"))
+    each = zipped.select("item", "kind", "_n", F.posexplode("_a").alias("pos", "_z"))
+    each = each.where(F.col(f"_z.w{window - 1}").isNotNull() | ((F.col("pos") == 0) & (F.col("_n") < window) & (F.col("kind") == "t")))
+    of = lambda c: [F.col(f"_z.w{k}.{c}") for k in range(window)]
+    slots = F.slice(F.array(*of("v")), F.lit(1), F.least(F.lit(window), F.col("_n")))
+    each = each.select("item", "kind", "pos", F.col("_z.w0.place").alias("place"), slots.alias("slots"), F.xxhash64(*of("t")).alias("h"))
     literals = F.size(F.filter("slots", lambda v: v.isNull()))
     kept = each.where((F.col("kind") == "p") | (literals >= F.least(F.lit(LEAST_LITERALS), F.size("slots"))))
     kept = kept.groupBy("item", "kind", "pos", "h").agg(F.first("slots").alias("slots"), F.min("place").alias("place"))
-    templates = F.count_if(F.col("kind") == "t")
-    sizes = kept.groupBy("item").agg(F.when(templates > 0, templates).otherwise(F.count(F.lit(1))).alias("n_windows"), F.collect_set(F.when(F.col("kind") == "t", F.col("place"))).alias("_places"))
-    ranked = kept.withColumn("rank", F.dense_rank().over(Window.partitionBy("item", "kind").orderBy("pos")))
-    counts = (F.size("_places") == 0) | F.array_contains("_places", F.col("place"))
-    return ranked.join(sizes, "item").select("item", F.col("kind").alias("item_kind"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "rank", "place", counts.alias("counts"), "n_windows")
+    template_window, of_item = F.col("kind") == "t", Window.partitionBy("item")
+    kept = kept.withColumns({"rank": F.dense_rank().over(Window.partitionBy("item", "kind").orderBy("pos")), "_own": F.max(template_window).over(Window.partitionBy("item", "place")), "_templates": F.count_if(template_window).over(of_item), "_all": F.count(F.lit(1)).over(of_item)})
+    n_windows = F.when(F.col("_templates") > 0, F.col("_templates")).otherwise(F.col("_all"))
+    counts = (F.col("_templates") == 0) | F.col("_own")
+    return kept.select("item", F.col("kind").alias("item_kind"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), "rank", "place", counts.alias("counts"), n_windows.alias("n_windows"))
 
 
 def _doc_streams(docs: DataFrame) -> DataFrame:
@@ -202,19 +209,60 @@ def _short_leaks(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     short = items.where(F.size(F.filter(template(words_of(F.coalesce("_text", F.lit("")))), lambda x: x["t"] != "")) < window)
     short = short.select("item", words(F.col("_text")).alias("_p")).where(F.size("_p").between(1, window - 1))
     short = checkpoint(short.select("item", F.size("_p").alias("size"), F.xxhash64("_p").alias("h")).distinct())
-    sizes = [r["size"] for r in short.select("size").distinct().collect()]
+    sizes = [r["size"] for r in short.select("size").distinct().collect()]  # fewer than window
     if not sizes:
-        return docs.select("doc").limit(0).crossJoin(short.select("item").limit(0))
+        return docs.select("doc", F.lit(None).cast(items.schema["item"].dataType).alias("item")).limit(0)
+
+    def hashes(size: int) -> Column:
+        at = F.when(F.size("_p") >= size, F.sequence(F.lit(1), F.size("_p") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(F.lit(size).alias("size"), F.xxhash64(F.slice("_p", k, size)).alias("h")))
+
     tokens = docs.select("doc", words(F.col("_text")).alias("_p"))
-    every = None
-    for size in sizes:
-        at = F.sequence(F.lit(1), F.size("_p") - size + 1)
-        hashes = F.transform(at, lambda k: F.xxhash64(F.slice("_p", k, size)))  # noqa: B023
-        own = tokens.where(F.size("_p") >= size).select("doc", F.explode(F.array_distinct(hashes)).alias("h")).withColumn("size", F.lit(size))
-        every = own if every is None else every.unionByName(own)
+    every = tokens.select("doc", F.explode(F.array_distinct(F.flatten(F.array(*[hashes(size) for size in sizes])))).alias("_x")).select("doc", "_x.size", "_x.h")
     return every.join(short, ["h", "size"]).select("doc", "item").distinct()
 
 
+def _judged(matched: DataFrame, least_run: int) -> DataFrame:
+    """doc, item, n_windows, _n_strict and _n_places (places that count by either rule), _run, _strict_changed and _changed.
+
+    Matched windows are taken apart into a row for each of their slots, so each
+    value is counted, compared and put back by sorting rows: the cost follows
+    the windows, however many slots an item has. One exchange by document and
+    item serves every step after repeated windows are gone.
+    """
+    line = ["doc", "item", "kind", "item_kind", "shift"]
+    place = ["item_pos", "rank", "place", "counts", "pairs"]
+    windows = matched.groupBy(*line, *place).agg(F.max("n_windows").alias("n_windows")).repartition("doc", "item")
+    slots = windows.select("*", F.explode_outer("pairs").alias("_q")).select(*line, *place, "n_windows", F.col("_q.i").alias("_i"), F.col("_q.d").alias("_d"))
+    # how often each value of the document meets each value of the item, and the one that most windows give
+    of_value = Window.partitionBy(*line, "_i")
+    slots = slots.withColumn("_n", F.count("_d").over(Window.partitionBy(*line, "_i", "_d")))
+    slots = slots.withColumn("_best", F.max(F.struct("_n", (F.col("_i") == F.col("_d")).alias("same"), "_d")).over(of_value)["_d"])
+    slots = slots.withColumn("_split", F.min("_d").over(of_value) != F.max("_d").over(of_value))
+    meets = Window.partitionBy(*line, "_d")
+    slots = slots.withColumn("_shared", F.min("_i").over(meets) != F.max("_i").over(meets))
+    differs = F.coalesce(F.col("_i") != F.col("_d"), F.lit(False))
+    each = slots.groupBy(*line, *place).agg(
+        F.max("n_windows").alias("n_windows"), F.max(differs).alias("_differs"), F.max(F.coalesce(F.col("_d") != F.col("_best"), F.lit(False))).alias("_contradicts"),
+        F.max(F.coalesce(F.col("_split") | F.col("_shared"), F.lit(False))).alias("_torn"),
+    )
+    kept = ~F.col("_differs") | ~F.col("_contradicts")
+    on_line = Window.partitionBy(*line)
+    sound = (F.col("kind") == "t") & (F.col("item_kind") == "t") & ~F.max("_torn").over(on_line)
+    each = each.withColumns({"_kept": kept, "_sound": sound})
+    # ranks in a row keep their distance from their number among the line's ranks
+    island = F.col("rank") - F.dense_rank().over(Window.partitionBy(*line, "_kept").orderBy("rank"))
+    each = each.withColumn("_island", island)
+    runs = Window.partitionBy(*line, "_kept", "_island")
+    each = each.withColumn("_run", F.col("_kept") & (F.max("rank").over(runs) - F.min("rank").over(runs) + 1 >= least_run))
+    # at most as many places as the item has windows
+    places = lambda when, c: F.size(F.collect_set(F.when(when, F.col(c)))).cast("long")
+    return each.groupBy("doc", "item").agg(
+        F.max("n_windows").alias("n_windows"), places(F.col("_sound"), "item_pos").alias("_n_strict"), places(F.col("_kept") & F.col("counts"), "place").alias("_n_places"),
+        F.max("_run").alias("_run"), F.max(F.when(F.col("_sound"), F.col("_differs"))).alias("_strict_changed"), F.max(F.col("_kept") & F.col("_differs")).alias("_changed"),
+    )
+
+
 def all_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """What ``leaks`` finds, with the same figures, and the leaks that its rule passes over.
 
@@ -238,33 +286,7 @@ def all_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least
     else:
         matched = found.select("doc", "kind", "pos", "h", slots.alias("slots")).join(wanted, "h").select(*own_columns, "slots")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"].isNotNull() & x["d"].isNotNull())
-    line = ["doc", "item", "kind", "item_kind", (F.col("pos") - F.col("item_pos")).alias("_shift")]
-    diagonal = matched.groupBy(*line).agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("item_pos", "rank", "place", "counts", pairs.alias("pairs"))).alias("_w"))
-    # how often each value of the document meets each value of the item, and the one that most windows give
-    diagonal = diagonal.withColumn("_p", F.flatten("_w.pairs"))
-    diagonal = diagonal.withColumn("_d", F.array_distinct("_p"))
-    tally = F.transform("_d", lambda x: F.struct(x["i"].alias("i"), F.size(F.filter("_p", lambda y: y == x)).alias("n"), (x["i"] == x["d"]).alias("same"), x["d"].alias("d")))
-    diagonal = diagonal.withColumn("_c", tally)
-    rank_of = lambda x: F.struct(x["n"], x["same"], x["d"])
-    best = F.filter("_c", lambda x: ~F.exists("_c", lambda y: (y["i"] == x["i"]) & (rank_of(y) > rank_of(x))))
-    diagonal = diagonal.withColumn("_best", F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))))
-    fits = lambda w: F.forall(w["pairs"], lambda q: q["i"] == q["d"]) | F.forall(w["pairs"], lambda q: F.array_contains("_best", q))
-    size = F.size("_d")
-    one_to_one = (F.size(F.array_distinct(F.col("_d.i"))) == size) & (F.size(F.array_distinct(F.col("_d.d"))) == size)
-    diagonal = diagonal.withColumn("_kept", F.filter("_w", fits)).withColumn("_sound", one_to_one & (F.col("kind") == "t") & (F.col("item_kind") == "t"))
-    ranks = F.sort_array(F.array_distinct("_kept.rank"))
-    least_run = run_words - window + 1
-    run = let(ranks, lambda r: F.exists(F.transform(r, lambda x, i: F.coalesce(F.get(r, i + least_run - 1) == x + least_run - 1, F.lit(False))), lambda x: x))
-    judged = diagonal.select(
-        "doc", "item", "n_windows", "_sound", F.when(F.col("_sound"), F.col("_w.item_pos")).alias("_strict"),
-        F.transform(F.filter("_kept", lambda w: w["counts"]), lambda w: w["place"]).alias("_places"), run.alias("_run"),
-        F.exists("_d", lambda x: x["i"] != x["d"]).alias("_strict_changed"), F.exists("_kept", lambda w: F.exists(w["pairs"], lambda q: q["i"] != q["d"])).alias("_changed"),
-    )
-    size_of = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
-    whole = judged.groupBy("doc", "item").agg(
-        F.max("n_windows").alias("n_windows"), size_of("_strict").alias("_n_strict"), size_of("_places").alias("_n_places"), F.max("_run").alias("_run"),
-        F.max(F.when(F.col("_sound"), F.col("_strict_changed"))).alias("_strict_changed"), F.max("_changed").alias("_changed"),
-    )
+    whole = _judged(matched.select("doc", "item", "kind", "item_kind", (F.col("pos") - F.col("item_pos")).alias("shift"), "n_windows", "item_pos", "rank", "place", "counts", pairs.alias("pairs")), run_words - window + 1)
     strict = F.col("_n_strict") / F.col("n_windows") >= least_share
     whole = whole.where(strict | (F.col("_n_places") / F.col("n_windows") >= least_share) | F.col("_run"))
     n = F.when(strict, F.col("_n_strict")).otherwise(F.col("_n_places"))
