@@ -83,7 +83,8 @@ def _windows(rows: DataFrame, key: str, text: Column, window: int) -> DataFrame:
     A window is a row of the tokens zipped with themselves shifted, so rows are
     hashed in generated code.
     """
-    tokens = rows.select(key, canonical_tokens(F.coalesce(text, F.lit(""))).alias("_x"))
+    # a generator of one row, so that the tokens are worked out once and not for each window
+    tokens = rows.select(key, F.explode(F.array(canonical_tokens(F.coalesce(text, F.lit(""))))).alias("_x"))
     return _hashed(tokens.select(key, F.col("_x.t").alias("_t"), F.col("_x.v").alias("_v")).where(F.size("_t") > 0), [key], window)
 
 
