@@ -171,7 +171,7 @@ def collected(spark: SparkSession, sf_dir: str) -> fundamentals.Collected:
     nations = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("ticker"), "s_nationkey")
     age = F.when(F.col("s_nationkey") == 7, 6).when(F.col("s_nationkey") == 8, 7)
     cache = bodies.join(nations, "ticker").where(age.isNotNull()).select("ticker", F.col("full").alias("body"), (F.lit(_NOW) - F.make_dt_interval(age)).alias("fetched_at"))
-    return fundamentals.collect(bodies.select("ord", "ticker"), cache, lambda units: vendor.fetch(spark, units, path=path, lanes="4"), _NOW)
+    return fundamentals.collect_rows(bodies.select("ord", "ticker"), cache, lambda units: vendor.answers(units, path=path, lanes="4"), _NOW)
 
 
 @on_tables(f"{_OVERVIEW}, CASE WHEN s_nationkey = 7 THEN 'cache' ELSE 'fetched' END AS origin FROM supplier WHERE s_nationkey = 7 OR s_suppkey % 10 NOT IN (1, 2, 3, 4, 5)")

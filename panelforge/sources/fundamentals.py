@@ -108,7 +108,17 @@ def collect(universe: DataFrame, cache: DataFrame, fetch: Callable[[list[tuple[s
     """
     cached, due = split_by_cache(universe, cache, now, days)
     units = [(r["ticker"], OVERVIEW) for r in due.orderBy("ord").toLocalIterator()]
-    got = fetch(units).withColumn("fetched_at", F.lit(now))
+    return _collected(cached, cache, fetch(units), now)
+
+
+def collect_rows(universe: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame], now: datetime, days: float = 7) -> Collected:
+    """As ``collect``, for any number of tickers: ``fetch`` takes the units as rows (ord, ticker, endpoint), so none of them pass through the driver."""
+    cached, due = split_by_cache(universe, cache, now, days)
+    return _collected(cached, cache, fetch(due.withColumn("endpoint", F.lit(OVERVIEW))), now)
+
+
+def _collected(cached: DataFrame, cache: DataFrame, responses: DataFrame, now: datetime) -> Collected:
+    got = responses.withColumn("fetched_at", F.lit(now))
     found = interpret(cached.drop("ord").withColumn("origin", F.lit("cache")).unionByName(got.withColumn("origin", F.lit("fetched"))))
     good = found.where(F.col("status") == "ok")
     typed = good.select("origin", F.col("ticker").alias("asked"), *_typed(lambda k: F.try_variant_get("payload", f"$['{k}']", "string")))
@@ -120,8 +130,8 @@ OVERVIEW_COLUMNS = [*TEXT_FIELDS.values(), *NUMBER_FIELDS.values()]
 
 
 def save_overviews(typed: DataFrame, path: str) -> None:
-    """The combined overviews as CSV with a header; a row a ticker, so one file."""
-    typed.select(*OVERVIEW_COLUMNS).coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """The combined overviews as a folder of CSV with headers; a file a task, so that collecting and writing aren't one task's work."""
+    typed.select(*OVERVIEW_COLUMNS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def load_overviews(spark: SparkSession, path: str) -> DataFrame:

@@ -18,11 +18,13 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from importlib import import_module
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,27 +45,83 @@ def transport(name: str):
     return getattr(import_module(module), function)
 
 
-@lru_cache(maxsize=4)
-def _recordings(path: str):
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+#: Bytes of a row group of recorded responses; how many of them a worker keeps.
+GROUP_BYTES, GROUPS_KEPT = 1 << 20, 16
 
-    system, where = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    return ds.dataset(where, filesystem=system, format="parquet")
+
+class _Recordings:
+    """A folder of recordings by the keys of its row groups: a request reads the groups that may have its ticker, and the last ones stay in memory.
+
+    In a folder that ``record`` wrote, that is one group, found by bisection. Those who
+    ask in the order of tickers read each group once, however many requests there are.
+    """
+
+    def __init__(self, path: str):
+        import pyarrow.dataset as ds
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        self.system, where = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        self.footers = {f: pq.read_metadata(f, filesystem=self.system) for f in ds.dataset(where, filesystem=self.system, format="parquet").files}
+        self.group = lru_cache(maxsize=GROUPS_KEPT)(self._group)
+        self.of_kind = lru_cache(maxsize=None)(self._of_kind)
+
+    def _range(self, file: str, k: int, column: str) -> tuple[str, str] | None:
+        """A group's least and greatest value of a column; None where its notes don't say."""
+        notes = self.footers[file].row_group(k)
+        chunk = next(c for c in map(notes.column, range(notes.num_columns)) if c.path_in_schema == column)
+        return (chunk.statistics.min, chunk.statistics.max) if chunk.is_stats_set and chunk.statistics.has_min_max else None
+
+    def _of_kind(self, kind: str) -> tuple[list, list, list, list]:
+        """The groups that may have a kind, by their first tickers: first tickers, the greatest ticker so far, the groups; and those of unknown tickers."""
+        known, unknown = [], []
+        for file, footer in self.footers.items():
+            for k in range(footer.num_row_groups):
+                kinds, tickers = self._range(file, k, "kind"), self._range(file, k, "ticker")
+                if kinds is None or kinds[0] <= kind <= kinds[1]:
+                    known.append((*tickers, (file, k))) if tickers else unknown.append((file, k))
+        known.sort()
+        last = list(accumulate((b for _, b, _ in known), max))
+        return [a for a, _, _ in known], last, [g for _, _, g in known], unknown
+
+    def _group(self, file: str, k: int) -> tuple[dict, pa.ChunkedArray]:
+        """(kind, ticker, page) -> row, and the rows' bodies."""
+        import pyarrow.parquet as pq
+
+        with self.system.open_input_file(file) as source:
+            rows = pq.ParquetFile(source, metadata=self.footers[file]).read_row_group(k, columns=["kind", "ticker", "page", "body"])
+        places: dict = {}
+        for at, key in enumerate(zip(*(rows[c].to_pylist() for c in ("kind", "ticker", "page")), strict=True)):
+            places.setdefault(key, at)
+        return places, rows["body"]
+
+    def find(self, kind: str, ticker: str, page: int) -> str | None:
+        first, last, groups, unknown = self.of_kind(kind)
+        at = bisect_right(first, ticker) - 1
+        while at >= 0 and last[at] >= ticker:
+            if (found := self._look(groups[at], (kind, ticker, page))) is not None:
+                return found.as_py()
+            at -= 1
+        found = next((x for g in unknown if (x := self._look(g, (kind, ticker, page))) is not None), None)
+        return None if found is None else found.as_py()
+
+    def _look(self, group: tuple[str, int], key: tuple) -> pa.Scalar | None:
+        places, bodies = self.group(*group)
+        return bodies[places[key]] if key in places else None
+
+
+_recordings = lru_cache(maxsize=4)(_Recordings)
 
 
 def recorded(request: dict) -> str | None:
     """The recorded response to ``request``; None where there is none."""
-    import pyarrow.compute as pc
-
-    rows = _recordings(request["path"]).to_table(["body"], filter=(pc.field("kind") == request["kind"]) & (pc.field("ticker") == request["ticker"]) & (pc.field("page") == request.get("page", 0)))
-    return rows["body"][0].as_py() if rows.num_rows else None
+    return _recordings(request["path"]).find(request["kind"], request["ticker"], request.get("page", 0))
 
 
 def record(responses: DataFrame, path: str) -> None:
-    """Write responses (kind, ticker, page, body) as a folder that ``recorded`` reads; sorted, so that a request touches few row groups."""
+    """Write responses (kind, ticker, page, body) as a folder that ``recorded`` reads; sorted and in small row groups, so that a request touches little."""
     tidy = responses.select("kind", "ticker", F.col("page").cast("int").alias("page"), "body")
-    tidy.repartitionByRange("kind", "ticker").sortWithinPartitions("kind", "ticker", "page").write.mode("overwrite").parquet(path)
+    tidy.repartitionByRange("kind", "ticker").sortWithinPartitions("kind", "ticker", "page").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 # --- what both sources share --------------------------------------------------------------------------------
@@ -160,6 +218,21 @@ class VendorBars(DataSource):
 # --- responses as they are ----------------------------------------------------------------------------------
 
 
+RESPONSES = "ticker string, endpoint string, body string, failure string"
+
+
+def answered(units: Iterable[tuple[str, str]], asked: dict, answer: str, pause: float) -> Iterator[tuple]:
+    """A lane's requests, one after the other, with ``pause`` seconds between them."""
+    ask = transport(answer)
+    for k, (ticker, endpoint) in enumerate(units):
+        if k and pause:
+            time.sleep(pause)
+        try:
+            yield ticker, endpoint, ask(asked | {"kind": endpoint, "ticker": ticker}), None
+        except Exception as e:  # noqa: BLE001: a request that fails is a row, not the end of the job
+            yield ticker, endpoint, None, f"{type(e).__name__}: {e}"
+
+
 class ResponseReader(DataSourceReader):
     def __init__(self, options: dict):
         self.asked, self.answer = _asked(options), options.get("transport", RECORDED)
@@ -170,14 +243,7 @@ class ResponseReader(DataSourceReader):
         return [Lane(self.units[k :: self.lanes]) for k in range(self.lanes)]
 
     def read(self, partition: Lane) -> Iterator[tuple]:
-        ask = transport(self.answer)
-        for k, (ticker, endpoint) in enumerate(partition.units):
-            if k and self.pause:
-                time.sleep(self.pause)
-            try:
-                yield ticker, endpoint, ask(self.asked | {"kind": endpoint, "ticker": ticker}), None
-            except Exception as e:  # noqa: BLE001: a request that fails is a row, not the end of the job
-                yield ticker, endpoint, None, f"{type(e).__name__}: {e}"
+        return answered(partition.units, self.asked, self.answer, self.pause)
 
 
 class VendorResponses(DataSource):
@@ -188,7 +254,7 @@ class VendorResponses(DataSource):
         return "vendor_responses"
 
     def schema(self) -> str:
-        return "ticker string, endpoint string, body string, failure string"
+        return RESPONSES
 
     def reader(self, schema) -> ResponseReader:
         return ResponseReader(dict(self.options))
@@ -217,3 +283,18 @@ class VendorSource:
 def fetch(spark: SparkSession, units: list[tuple[str, str]], **options: str) -> DataFrame:
     """The responses of ``units`` (ticker, endpoint)."""
     return register(spark).read.format("vendor_responses").options(units=json.dumps(units), **options).load()
+
+
+def answers(units: DataFrame, **options: str) -> DataFrame:
+    """The responses of ``units`` (ord, ticker, endpoint), which stay rows: each lane asks for a span of them, in their order. Options as for ``vendor_responses``."""
+    asked, answer = _asked(options), options.get("transport", RECORDED)
+    lanes, pause = int(options.get("lanes", 1)), float(options.get("pause", 0))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = answered((u for b in batches for u in zip(b["ticker"].to_pylist(), b["endpoint"].to_pylist(), strict=True)), asked, answer, pause)
+        # bodies may be long: some at a time
+        while some := list(islice(rows, 100)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], ["ticker", "endpoint", "body", "failure"])
+
+    with_package(units.sparkSession)
+    return units.repartitionByRange(lanes, "ord").sortWithinPartitions("ord").select("ticker", "endpoint").mapInArrow(ask, RESPONSES)
