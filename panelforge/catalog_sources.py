@@ -125,22 +125,22 @@ def store_panel(spark, sf_dir):
 
 @on_tables("""SELECT event_type AS ticker, date_trunc('day', ts) AS "timestamp", arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
 def stream_daily_bars(spark, sf_dir):
-    """Events as a stream of ticks, up to a day out of order and half of them twice, against their daily bars."""
+    """Events as a stream of ticks, up to a day out of order and half of them twice, against their daily bars. A delivery is ten days, in as many files as there are cores, and a micro-batch."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("price"), F.lit(1).cast("long").alias("size"))
     ticks, path = e.withColumn("_late", F.pmod(F.xxhash64("tick_id"), F.lit(86_400))), scratch_folder(spark, "ticks")
     arrives = F.floor((F.unix_timestamp("timestamp") + F.col("_late")) / (10 * 86_400))
-    arrived = ticks.select("*", arrives.alias("_file")).persist()
+    arrived, files = ticks.select("*", arrives.alias("_file")).persist(), spark.sparkContext.defaultParallelism
     try:
         for (k,) in sorted(arrived.select("_file").distinct().collect()):
             # of those that come again, the repetition comes with the next file
             again = arrived.where((F.col("_file") == k - 1) & (F.col("_late") % 2 == 0))
-            arrived.where(F.col("_file") == k).unionByName(again).drop("_file", "_late").coalesce(1).write.mode("append").parquet(path)
+            arrived.where(F.col("_file") == k).unionByName(again).drop("_file", "_late").repartition(files).write.mode("append").parquet(path)
         last = arrived.agg(F.max("timestamp")).first()[0]
     finally:
         arrived.unpersist()
     end_of_ticks(spark, path, last + timedelta(days=60))
     store = BarStore(spark, scratch_folder(spark, "store"))
-    stream_ticks(store, path, scratch_folder(spark, "offsets"), wait="15 days", files=1).awaitTermination()
+    stream_ticks(store, path, scratch_folder(spark, "offsets"), wait="15 days", files=files).awaitTermination()
     return naive(store.load(), "timestamp")
 
 

@@ -171,8 +171,11 @@ class BarStore:
         return self._commit(lambda _: bars, source)
 
     def upsert(self, incoming: DataFrame, source: str = "file") -> int:
-        """Merge bars into the store; a bar that is there already is replaced."""
-        tickers = [r["ticker"] for r in incoming.select("ticker").distinct().toLocalIterator()]
+        """Merge bars into the store; a bar that is there already is replaced. Without bars nothing is done."""
+        # at once: an iterator would run a job a partition
+        tickers = [r["ticker"] for r in incoming.select("ticker").distinct().collect()]
+        if not tickers:
+            return self.snapshot()[0]
         return self._commit(lambda entries: merge_bars([self._read(self._own(entries, tickers)), incoming]), source)
 
     def vacuum(self, keep: int = 1) -> None:

@@ -13,7 +13,7 @@ TICKS = "tick_id long, ticker string, timestamp timestamp, price double, size lo
 
 
 def _started(stream: DataFrame, store: BarStore, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(lambda batch, _: store.upsert(batch, "stream") if batch.take(1) else None).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, _: store.upsert(batch, "stream")).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
