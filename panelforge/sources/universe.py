@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
+from math import inf
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from panelforge.session import for_workers
 from panelforge.sources.schemas import CONSTITUENTS, RANKED_CONSTITUENTS
@@ -33,11 +38,11 @@ def only_in_one(merged: DataFrame) -> DataFrame:
 
 
 def save_constituents(constituents: DataFrame, path: str) -> None:
-    """Constituents as one CSV with a header, by weight; the columns that a loader knows come in its order."""
+    """Constituents as a folder of CSV with headers, by weight within the files and from each to the next; the columns that a loader knows come in its order."""
     named = [c for c in RANKED_CONSTITUENTS.names if c in constituents.columns]
     order = [F.desc_nulls_last("weight")] if "weight" in named else []
-    # an index has hundreds of rows
-    constituents.select(*named).coalesce(1).sortWithinPartitions(*order, "ticker").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    # sorted by all tasks; an index of hundreds of rows is one file
+    constituents.select(*named).orderBy(*order, "ticker").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def prepare(constituents: DataFrame, held: DataFrame, market: str = "SPY", twins: dict[str, str] | None = None) -> DataFrame:
@@ -82,8 +87,8 @@ class _Grids(HTMLParser):
         if tag in ("script", "style"):
             self.silent += 1
         elif tag == "table":
-            self.open.append({"rows": [], "cell": None})
-            self.tables.append(self.open[-1]["rows"])
+            self.open.append({"rows": [], "cell": None, "ended": False})
+            self.tables.append(self.open[-1])
         elif self.open:
             table = self.open[-1]
             if tag == "tr":
@@ -108,12 +113,13 @@ class _Grids(HTMLParser):
         elif self.open and tag in ("td", "th", "tr", "table"):
             self._close_cell(self.open[-1])
             if tag == "table":
-                self.open.pop()
+                self.open.pop()["ended"] = True
 
     def close(self):
         super().close()
         while self.open:
-            self._close_cell(self.open.pop())
+            self._close_cell(self.open[-1])
+            self.open.pop()["ended"] = True
 
     def _close_cell(self, table):
         if table["cell"]:
@@ -122,70 +128,114 @@ class _Grids(HTMLParser):
             table["cell"] = None
 
 
+def _lines(rows: list[list[tuple]], hanging: dict[int, tuple]) -> Iterator[list[str]]:
+    """Rows of cells as rows of a grid. ``hanging`` has the cells that still span rows, column -> (text, rows left), and is kept up to date."""
+    for row in rows:
+        line, cells = [], iter(row)
+        pending = next(cells, None)
+        while pending is not None or any(c >= len(line) for c in hanging):
+            at = len(line)
+            if at in hanging:
+                text, left = hanging.pop(at)
+                line.append(text)
+                if left > 1:
+                    hanging[at] = (text, left - 1)
+            elif pending is not None:
+                text, down, across = pending
+                # 0: down to the table's end
+                down = inf if down == 0 else min(down, _Grids.ROWSPAN)
+                for at in range(len(line), len(line) + across):
+                    if at in hanging:  # two spans meet: the one from above keeps its place
+                        break
+                    line.append(text)
+                    if down > 1:
+                        hanging[at] = (text, down - 1)
+                # columns that hang from this very row begin with the next one
+                pending = next(cells, None)
+            else:
+                line.append("")
+        yield line
+
+
 def grids(html: str) -> list[list[list[str]]]:
     """The tables of a page, each as a grid: a cell that spans rows or columns is repeated in all of them."""
     parser = _Grids()
     parser.feed(html)
     parser.close()
-    found = []
-    for rows in parser.tables:
-        grid, hanging = [], {}  # column -> (text, rows it still spans)
-        for k, row in enumerate(rows):
-            line, cells = [], iter(row)
-            pending = next(cells, None)
-            while pending is not None or any(c >= len(line) for c in hanging):
-                at = len(line)
-                if at in hanging:
-                    text, left = hanging.pop(at)
-                    line.append(text)
-                    if left > 1:
-                        hanging[at] = (text, left - 1)
-                elif pending is not None:
-                    text, down, across = pending
-                    down = len(rows) - k if down == 0 else min(down, _Grids.ROWSPAN)
-                    for at in range(len(line), len(line) + across):
-                        if at in hanging:  # two spans meet: the one from above keeps its place
-                            break
-                        line.append(text)
-                        if down > 1:
-                            hanging[at] = (text, down - 1)
-                    # columns that hang from this very row begin with the next one
-                    pending = next(cells, None)
-                else:
-                    line.append("")
-            grid.append(line)
-        if grid:
-            found.append(grid)
-    return found
+    return [list(_lines(t["rows"], {})) for t in parser.tables if t["rows"]]
 
 
-def headed(grid: list[list[str]]) -> list[dict[str, str]]:
-    """The rows below the first one as records; a heading that is repeated gets a number, as in ``Chg`` and ``Chg.1``."""
+def _names(heading: list[str]) -> list[str]:
     names, seen = [], {}
-    for name in grid[0]:
+    for name in heading:
         names.append(f"{name}.{seen[name]}" if name in seen else name)
         seen[name] = seen.get(name, 0) + 1
+    return names
+
+
+def headed(grid: list[list[str]]) -> list[dict[str, str]]:
+    """The rows below the first one as records; a heading that is repeated gets a number, as in ``Chg`` and ``Chg.1``."""
+    names = _names(grid[0])
     return [dict(zip(names, row, strict=False)) for row in grid[1:]]
 
 
+#: Characters of a page that are parsed at a time, and records that are handed on at a time.
+CHUNK, RECORDS = 1 << 18, 2_000
+
+
+def records(html: str, must_have: str | None) -> Iterator[dict[str, str]]:
+    """``headed`` of the first of a page's ``grids`` whose first row has ``must_have``, while the page is parsed.
+
+    Rows of other tables go as soon as they are whole, unless the first table in
+    question can't be told yet: one of tables that hold one another comes before what it holds.
+    """
+    parser, turned_down, chosen, names, hanging = _Grids(), 0, None, None, {}
+    whole = lambda t: len(t["rows"]) - (not t["ended"])
+    for at in range(0, len(html) + CHUNK, CHUNK):
+        if at < len(html):
+            parser.feed(html[at : at + CHUNK])
+        else:
+            parser.close()
+        while chosen is None and turned_down < len(parser.tables):
+            table = parser.tables[turned_down]
+            if whole(table) > 0 and (must_have is None or must_have in next(_lines(table["rows"][:1], {}))):
+                chosen = table
+            elif whole(table) > 0 or table["ended"]:
+                turned_down += 1
+            else:
+                break
+        for k, table in enumerate(parser.tables):
+            if table is chosen:
+                done = table["rows"][: whole(table)]
+                for line in _lines(done, hanging):
+                    if names is None:
+                        names = _names(line)
+                    else:
+                        yield dict(zip(names, line, strict=False))
+            elif k >= turned_down and chosen is None:
+                continue
+            del table["rows"][: max(whole(table), 0)]
+        if chosen is not None and chosen["ended"]:
+            return
+
+
 def html_tables(pages: DataFrame, html_col: str = "html", must_have: str | None = "Symbol") -> DataFrame:
-    """The records of the first table of each page that has a column ``must_have`` (of the first table at all without one): the page's columns with record (map of heading to cell)."""
-    from pyspark.sql.types import MapType, StringType, StructField, StructType
+    """The records of the first table of each page that has a column ``must_have`` (of the first table at all without one): the page's columns with record (map of heading to cell).
 
+    A worker holds the texts of a batch of pages (``spark.sql.execution.arrow.maxBytesPerBatch``) and some records, whatever the tables' length.
+    """
     keep = [c for c in pages.columns if c != html_col]
     schema = StructType([*(pages.schema[c] for c in keep), StructField("record", MapType(StringType(), StringType()))])
 
-    def parse(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for row in frame.to_dict("records"):
-                tables = [g for g in grids(row[html_col] or "") if must_have is None or must_have in g[0]]
-                rows += [{k: row[k] for k in keep} | {"record": r} for r in (headed(tables[0]) if tables else [])]
-            yield pd.DataFrame(rows, columns=[*keep, "record"])
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = records(batch[html_col][k].as_py() or "", must_have)
+                while some := list(islice(found, RECORDS)):
+                    row = batch.select(keep).take(pa.array([k] * len(some)))
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array([list(r.items()) for r in some], pa.map_(pa.string(), pa.string()))], [*keep, "record"])
 
-    return for_workers(pages).mapInPandas(parse, schema)
+    return for_workers(pages).mapInArrow(parse, schema)
 
 
 #: A table's heading -> column: fixed values.
